@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import budget, encoder, leakage, mixing, splitting
+from sparkloom.llm import budget, containers, encoder, leakage, mixing, splitting
 from sparkloom.storage import table
 
 
 def queries() -> dict:
     documents = lambda s, d: table(s, d, "documents")
     return {
+        "p1_windows": containers.agentic_windows,
+        "p1_utilization": containers.utilization,
         "p2_found": leakage.found,
         "p2_spans": leakage.spans,
         "p3_found": splitting.found,
