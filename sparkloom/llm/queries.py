@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import budget, containers, encoder, leakage, mixing, splitting
+from sparkloom.llm import budget, containers, encoder, leakage, mixing, mojibake, splitting
 from sparkloom.storage import table
 
 
@@ -20,6 +20,8 @@ def queries() -> dict:
         "p7_ids": lambda s, d: encoder.encode_texts(documents(s, d)),
         "p8_draw": mixing.draw,
         "p8_shares": mixing.shares,
+        "p9_found": mojibake.found,
+        "p9_restored": lambda s, d: mojibake.damaged(documents(s, d)),
     }
 
 
