@@ -153,8 +153,10 @@ class Model:
 
     def _word(self, token: str) -> float:
         """Score of a repaired token: its own, or its sound part's where marks that nobody types were glued on."""
-        plain = normal(token.replace("﻿", ""))
-        return self.score(plain) if not plain.isascii() else log(KNOWN * 10) if plain else log(UNKNOWN)
+        plain = normal(token.replace("\ufeff", ""))
+        if plain and (plain.isascii() or token.startswith("\ufeff")):
+            return max(self.score(plain), log(KNOWN * 10))
+        return self.score(plain) if plain else log(UNKNOWN)
 
     def readings(self, token: str, depth: int = 3) -> list[tuple[str, float, float, str]]:
         """(channel, evidence, cost of entering, repaired token) of the channels that say something about ``token``."""
