@@ -50,12 +50,18 @@ def ready(documents: DataFrame) -> DataFrame:
     return documents.where(~blank_text())
 
 
-def with_copies_marked(documents: DataFrame) -> DataFrame:
-    """``dedup_status``: ``passed`` for the smallest doc_id of a text, ``duplicate`` for its copies. The first of each text
-    comes from a partial aggregate over hashes, so a text with any number of copies stays distributed."""
-    hashed = documents.withColumn("text_hash", F.sha2("text", 256))
-    firsts = hashed.where("text IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit("passed").alias("dedup_status"))
-    return hashed.join(firsts, "doc_id", "left").withColumn("dedup_status", F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.coalesce("dedup_status", F.lit("duplicate"))))
+def with_copies_marked(hashed: DataFrame) -> DataFrame:
+    """``dedup_status`` of rows (doc_id, text_hash, ...): ``passed`` for the smallest doc_id of a text, ``duplicate`` for its
+    copies, null without a text. The first of each text comes from a partial aggregate over hashes, so a text with any
+    number of copies stays distributed. Hash texts before (:func:`hashed`), so that no text is shuffled."""
+    firsts = hashed.where("text_hash IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit("passed").alias("dedup_status"))
+    marked = hashed.join(firsts, "doc_id", "left")
+    return marked.withColumn("dedup_status", F.when(F.col("text_hash").isNotNull(), F.coalesce("dedup_status", F.lit("duplicate"))))
+
+
+def hashed(documents: DataFrame, *columns: str) -> DataFrame:
+    """The named columns with the text's digest and length in place of the text."""
+    return documents.select("doc_id", *columns, F.sha2("text", 256).alias("text_hash"), F.length("text").alias("characters"))
 
 
 def group_key(buckets: int = BUCKETS) -> Column:
@@ -79,21 +85,21 @@ def license_rollup(column: str = "license_tier") -> Column:
 def shards(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row per shard group: ids in order, roll-ups and the content hash over its documents' hashes. Copies of a text and
     texts without letters are held back in groups of their own, so that one bad document does not block a lane."""
-    marked = with_copies_marked(ready(documents))
+    marked = with_copies_marked(hashed(ready(documents), "document_id", "capability_lane", "source", "script", "data_type", "license_tier"))
     key = F.when(F.col("dedup_status") == "duplicate", F.concat(F.lit("held/"), group_key(buckets))).otherwise(group_key(buckets))
     keyed = marked.withColumn("group_key", key).withColumn("source", reference("source"))
     grouped = keyed.groupBy("group_key").agg(
         F.count("*").alias("documents"),
         F.array_sort(F.collect_list(F.struct("document_id", "text_hash"))).alias("members"),
         F.countDistinct("source").alias("sources"),
-        F.sum(F.length("text")).alias("characters"),
+        F.sum("characters").alias("characters"),
         single_or_multi("script").alias("script"),
         single_or_multi("data_type").alias("data_type"),
         license_rollup().alias("license_tier"),
         single_or_multi("dedup_status").alias("dedup_status"),
     )
-    hashed = grouped.withColumn("content_hash", content_hash(F.array_join(F.transform("members", lambda m: m["text_hash"]), "\n")))
-    return hashed.withColumn("shard_id", shard_id(F.col("content_hash"))).withColumn("document_ids", F.transform("members", lambda m: m["document_id"])).drop("members")
+    named = grouped.withColumn("content_hash", content_hash(F.array_join(F.transform("members", lambda m: m["text_hash"]), "\n")))
+    return named.withColumn("shard_id", shard_id(F.col("content_hash"))).withColumn("document_ids", F.transform("members", lambda m: m["document_id"])).drop("members")
 
 
 def block_reasons() -> Column:

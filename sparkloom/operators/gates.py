@@ -2,8 +2,7 @@
 
 Identity overlaps are equi-joins on unnested ids. A held-out string is looked for as a substring, without regard to case:
 the string's longest inner word must be a word of the text, which makes the search an equi-join on words, and only the
-pairs it gives are compared in full. Strings of fewer than three words have no inner word and are searched by a filter over
-a list whose length is checked.
+pairs it gives are compared in full. Strings of fewer than three words have no inner word; their number is checked.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import bare_hash, decision_id, unit_float
 
-#: Most short strings that one filter tests.
-SHORT_STRINGS = 10_000
+#: Most strings that go to every task.
+STRINGS = 10_000
 
 
 def registry_entries(registry: DataFrame) -> DataFrame:
@@ -37,24 +36,29 @@ def identity_overlaps(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     return parts[0].unionAll(parts[1]).distinct()
 
 
-def text_overlaps(documents: DataFrame, registry: DataFrame, short_limit: int = SHORT_STRINGS) -> DataFrame:
-    """(document_id, entry_id): texts that contain one of the entry's strings."""
+def text_overlaps(documents: DataFrame, registry: DataFrame, limit: int = STRINGS) -> DataFrame:
+    """(document_id, entry_id): texts that contain one of the entry's strings. Up to ``limit`` strings go to every task and texts
+    are searched where they are read; beyond, words and strings are joined, and only candidate pairs meet their text again."""
     strings = registry_entries(registry).select("entry_id", F.explode("canaries").alias("c")).select("entry_id", F.lower("c").alias("s")).distinct()
     inner = F.expr("slice(split(s, ' '), 2, greatest(size(split(s, ' ')) - 2, 0))")
     anchor = F.expr("array_max(transform(w, x -> struct(length(x) AS n, x AS x))).x")
-    anchored = strings.withColumn("w", F.filter(inner, lambda x: x != "")).withColumn("anchor", anchor)
+    anchored = strings.withColumn("w", F.filter(inner, lambda x: x != "")).withColumn("anchor", anchor).select("entry_id", "s", "anchor")
+    rows = anchored.limit(limit + 1).collect()
     lowered = documents.where("text IS NOT NULL").select("document_id", F.lower("text").alias("t"))
-    words = lowered.select("document_id", F.explode(F.array_distinct(F.split("t", " "))).alias("anchor"))
-    long = anchored.where("anchor IS NOT NULL").select("entry_id", "s", "anchor")
-    pairs = words.join(long, "anchor").select("document_id", "entry_id", "s")
+    words = F.array_distinct(F.split("t", " "))
+    if len(rows) <= limit:
+        known = F.array(*[F.lit(a) for a in sorted({r.anchor for r in rows if r.anchor})]).cast("array<string>")
+        # The empty anchor stands for strings without an inner word: every text is compared with those.
+        kept = lowered.select("document_id", "t", F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words, known))).alias("anchor"))
+        table_ = documents.sparkSession.createDataFrame([(r.entry_id, r.s, r.anchor or "") for r in rows], "entry_id string, s string, anchor string")
+        return kept.join(F.broadcast(table_), "anchor").where(F.contains("t", "s")).select("document_id", "entry_id").distinct()
+    short = anchored.where("anchor IS NULL").limit(limit + 1).collect()
+    if len(short) > limit:
+        raise ValueError(f"more than {limit} strings of fewer than three words")
+    pairs = lowered.select("document_id", F.explode(words).alias("anchor")).join(anchored.where("anchor IS NOT NULL"), "anchor").select("document_id", "entry_id", "s")
     hits = pairs.join(lowered, "document_id").where(F.contains("t", "s")).select("document_id", "entry_id")
-    short = [(r.entry_id, r.s) for r in anchored.where("anchor IS NULL").select("entry_id", "s").limit(short_limit + 1).collect()]
-    if len(short) > short_limit:
-        raise ValueError(f"more than {short_limit} strings of fewer than three words")
-    if short:
-        tests = F.array(*[F.when(F.contains("t", F.lit(s)), F.lit(e)) for e, s in short])
-        hits = hits.unionAll(lowered.select("document_id", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("entry_id")))
-    return hits.distinct()
+    tests = F.array(*[F.when(F.contains("t", F.lit(r.s)), F.lit(r.entry_id)) for r in short]).cast("array<string>")
+    return hits.unionAll(lowered.select("document_id", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("entry_id"))).distinct()
 
 
 def hash_overlaps(documents: DataFrame, registry: DataFrame) -> DataFrame:

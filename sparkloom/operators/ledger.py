@@ -105,6 +105,7 @@ def audit_links(consumption: DataFrame, audit: DataFrame) -> DataFrame:
     """Consumption rows by what the audit says of their decision: ``missing``, ``not_accepting`` or ``accepted``; an audit that
     wrote a decision several times counts by its last delivery. Counted per outcome."""
     last = audit.groupBy(clean_id("opus_decision_id").alias("decision_id")).agg(F.max_by("decision", "delivery_id").alias("decision"))
-    rows = consumption.select(reference("opus_decision_id").alias("decision_id")).where("decision_id IS NOT NULL")
+    # Counted by decision first: one that a third of all rows name is then one row of the join.
+    rows = consumption.select(reference("opus_decision_id").alias("decision_id")).where("decision_id IS NOT NULL").groupBy("decision_id").agg(F.count("*").alias("n"))
     outcome = F.when(F.col("decision").isNull(), "missing").when(F.col("decision").isin("accepted", "protected_override"), "accepted").otherwise("not_accepting")
-    return rows.join(last, "decision_id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("batches"))
+    return rows.join(last, "decision_id", "left").groupBy(outcome.alias("outcome")).agg(F.sum("n").alias("batches"))

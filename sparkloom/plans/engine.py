@@ -115,7 +115,7 @@ _MARKED = """SELECT *, CASE WHEN text IS NULL THEN NULL WHEN row_number() OVER (
 
 @query("dedup_status", f"SELECT doc_id, dedup_status FROM ({_MARKED})")
 def dedup_status(s, d):
-    return D.with_copies_marked(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "dedup_status")
+    return D.with_copies_marked(D.hashed(table(s, d, "documents"))).select("doc_id", "dedup_status")
 
 
 @query("dedup_status_rollup", f"SELECT dedup_status, count(*) AS documents FROM ({_MARKED}) GROUP BY ALL")
@@ -638,7 +638,7 @@ def candidates_committed(s, d):
 
 @query("candidates_never_committed", f"SELECT {_clean('candidate_id')} AS candidate_id FROM candidates EXCEPT SELECT nullif({_clean('candidate_id')}, '') FROM consumption")
 def candidates_never_committed(s, d):
-    return table(s, d, "candidates").select(clean_id("candidate_id").alias("candidate_id")).exceptAll(table(s, d, "consumption").select(reference("candidate_id").alias("candidate_id"))).distinct().join(table(s, d, "consumption").select(reference("candidate_id").alias("candidate_id")).where("candidate_id IS NOT NULL"), "candidate_id", "left_anti")
+    return table(s, d, "candidates").select(clean_id("candidate_id").alias("candidate_id")).subtract(table(s, d, "consumption").select(reference("candidate_id").alias("candidate_id")))
 
 
 def _evidence(s, d):

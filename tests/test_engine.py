@@ -138,7 +138,7 @@ def test_plan_matches_naive_exclusion(spark):
 def test_documents(spark):
     rows = [(1, "d1", "x y", "web"), (2, "d2", "x y", "web"), (3, "d3", None, None), (4, "d4", " ", "web")]
     docs = spark.createDataFrame(rows, "doc_id long, document_id string, text string, capability_lane string").withColumns({"source": F.lit("S "), "script": F.lit("Latin"), "data_type": F.lit("pretrain"), "license_tier": F.lit("safe"), "lang": F.lit("en")})
-    assert {r.doc_id: r.dedup_status for r in D.with_copies_marked(docs).collect()} == {1: "passed", 2: "duplicate", 3: None, 4: "passed"}
+    assert {r.doc_id: r.dedup_status for r in D.with_copies_marked(D.hashed(docs)).collect()} == {1: "passed", 2: "duplicate", 3: None, 4: "passed"}
     admitted = D.admission(D.shards(docs))
     assert {r.admission: r.documents for r in admitted.collect()} == {"admitted": 1, "blocked": 1}
     assert {r.document_id for r in D.sample_pool(admitted, docs).collect()} == {"d1", "d2"}
@@ -149,7 +149,9 @@ def test_documents(spark):
 def test_text_overlaps(spark):
     docs = spark.createDataFrame([("a", "so ONE Amber sluice measures it"), ("b", "one amberx sluice"), ("c", None), ("d", "canary")], "document_id string, text string")
     reg = spark.createDataFrame([("e", None, None, None, ["one amber sluice", " ", None]), ("f", None, None, None, ["CANARY"]), ("g", None, None, None, None)], "entry_id string, document_id string, shard_id string, content_hash string, canary_strings array<string>")
-    assert {tuple(r) for r in G.text_overlaps(docs, reg).collect()} == {("a", "e"), ("d", "f")}
+    for limit in (100, 1):
+        assert {tuple(r) for r in G.text_overlaps(docs, reg, limit).collect()} == {("a", "e"), ("d", "f")}
+    assert G.text_overlaps(docs, reg.limit(0)).count() == 0
 
 
 MESSAGES = "run string, branch string, attempt int, off int, microbatch_id string, global_step int, batch_content_hash string, loss_mask_hash string, packed_sample_ids array<string>"
