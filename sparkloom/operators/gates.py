@@ -66,6 +66,28 @@ def hash_overlaps(documents: DataFrame, registry: DataFrame) -> DataFrame:
     return documents.where("text IS NOT NULL").select("document_id", F.sha2("text", 256).alias("sha")).join(registry_entries(registry).select("sha", "entry_id").where("sha <> ''"), "sha").select("document_id", "entry_id").distinct()
 
 
+def build_registry(documents: DataFrame, shard_members: DataFrame, held_out: Column, benchmark: str) -> DataFrame:
+    """Entries for the documents that ``held_out`` is true of: their hash, their shard (the last by id, null without one) and one
+    string to look for, the title or else the first 48 characters."""
+    shard = shard_members.groupBy("document_id").agg(F.max("shard_id").alias("shard_id"))
+    canary = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(F.trim(F.substring("text", 1, 48)), F.lit("")))
+    chosen = documents.where(held_out).select("document_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("content_hash"), canary.alias("canary"))
+    return chosen.join(shard, "document_id", "left").select(F.concat(F.lit(f"{benchmark}:"), "document_id").alias("entry_id"), "document_id", "shard_id", F.lit(benchmark).alias("benchmark_id"), "content_hash", "canary")
+
+
+def loss_on_held_out(windows: DataFrame, mask: Column, registry: DataFrame) -> DataFrame:
+    """(document_id, targets): held-out documents that have loss-bearing positions in packed windows."""
+    pairs = windows.select(F.explode(F.arrays_zip(F.col("document_ids").alias("d"), mask.alias("m"))).alias("x")).where("x.m = 1 AND x.d <> ''")
+    counted = pairs.groupBy(F.col("x.d").alias("document_id")).agg(F.count("*").alias("targets"))
+    return counted.join(registry.select("document_id").where("document_id IS NOT NULL").distinct(), "document_id", "left_semi")
+
+
+def tagged(df: DataFrame, rules: dict[str, Column], key: str) -> DataFrame:
+    """(key, bucket): a row for each rule that holds; buckets may overlap."""
+    names = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return df.select(key, F.explode(names).alias("bucket"))
+
+
 def decisions(candidates: DataFrame, overlaps: DataFrame) -> DataFrame:
     """(candidate_id, blocked, reasons): every candidate once, with its distinct reasons in order."""
     reasons = overlaps.groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))

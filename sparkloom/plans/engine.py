@@ -17,6 +17,7 @@ from sparkloom.operators import packing as P
 from sparkloom.operators import planner as N
 from sparkloom.operators import runlog as U
 from sparkloom.operators import schedule as S
+from sparkloom.plans import runs
 from sparkloom.sources import shardfiles
 from sparkloom.storage import table
 
@@ -416,6 +417,27 @@ def eval_leak_check(s, d):
     return G.leaked_samples(table(s, d, "consumption"), table(s, d, "eval_registry"))
 
 
+@query("eval_registry_build", """SELECT 'held:' || document_id AS entry_id, document_id, shard_id, 'held' AS benchmark_id, 'sha256:' || sha256(text) AS content_hash,
+    coalesce(nullif(trim(title, ' '), ''), nullif(trim(substr(text, 1, 48), ' '), '')) AS canary FROM documents LEFT JOIN (SELECT document_id, max(shard_id) AS shard_id FROM agentic GROUP BY document_id) USING (document_id) WHERE license_tier = 'blocked'""")
+def eval_registry_build(s, d):
+    return G.build_registry(table(s, d, "documents"), table(s, d, "agentic").select("document_id", "shard_id"), F.col("license_tier") == "blocked", "held")
+
+
+@query("eval_loss_check", f"""{_TOK}, m AS (SELECT shard_id, win, document_id, tok <> 0 AND coalesce(lead(tok) OVER (PARTITION BY shard_id, win ORDER BY place), 0) <> 0 AS on_loss FROM w)
+    SELECT document_id, count(*) AS targets FROM m WHERE on_loss AND document_id IN (SELECT document_id FROM documents WHERE license_tier = 'blocked') GROUP BY document_id""")
+def eval_loss_check(s, d):
+    held = table(s, d, "documents").where("license_tier = 'blocked'")
+    return G.loss_on_held_out(_chopped(s, d), P.loss_mask(F.col("tokens")), held)
+
+
+@query("bucket_tags", """SELECT document_id, bucket FROM (SELECT document_id, unnest([CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN capability_lane = 'indic' THEN 'indic' END, CASE WHEN data_type = 'agentic' THEN 'agentic_format' END,
+    CASE WHEN capability_lane = 'reasoning' AND n_chars < 500 THEN 'reasoning_short' END]) AS bucket FROM documents) WHERE bucket IS NOT NULL""")
+def bucket_tags(s, d):
+    lane = F.col("capability_lane")
+    rules = {"foreign": F.col("lang") != "en", "indic": lane == "indic", "agentic_format": F.col("data_type") == "agentic", "reasoning_short": (lane == "reasoning") & (F.col("n_chars") < 500)}
+    return G.tagged(table(s, d, "documents"), rules, "document_id")
+
+
 _SCORE = _unit("run_id", "branch_id", str(SEED), "global_step", "candidate_id", "nullif(array_to_string(shard_ids, '|'), '')")
 
 
@@ -528,6 +550,27 @@ def replay_verification(s, d):
     return rows.join(plan, "k", "left").groupBy("run", outcome.alias("outcome")).agg(F.count("*").alias("batches"))
 
 
+@query("shard_references", """WITH n AS (SELECT k, count(*) AS uses FROM (SELECT unnest(shard_ids) AS k FROM candidates) GROUP BY k), h AS (SELECT shard_id AS k, count(*) AS records FROM agentic GROUP BY shard_id)
+    SELECT CASE WHEN h.k IS NULL THEN 'not_here' WHEN n.k IS NULL THEN 'unused' ELSE 'used' END AS outcome, count(*) AS shards, coalesce(sum(uses), 0)::BIGINT AS uses FROM n FULL JOIN h ON n.k = h.k GROUP BY ALL""")
+def shard_references(s, d):
+    """Shards that candidates name against the shards whose records are here; both sides are counted before they meet."""
+    named = table(s, d, "candidates").select(F.explode("shard_ids").alias("shard_id")).groupBy("shard_id").agg(F.count("*").alias("uses"))
+    here = table(s, d, "agentic").groupBy("shard_id").agg(F.count("*").alias("records"))
+    outcome = F.when(F.col("records").isNull(), "not_here").when(F.col("uses").isNull(), "unused").otherwise("used")
+    return named.join(here, "shard_id", "full_outer").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("shards"), F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"))
+
+
+@query("planned_ledger")
+def planned_ledger(s, d):
+    """The ledger of a planned run with a resumed attempt: offsets, ids and hashes follow from the plan alone."""
+    pool = table(s, d, "documents").where("capability_lane IS NOT NULL")
+    args = {"steps": STEPS, "batch": BATCH, "size": 4, "run": "plan", "branch": "main", "seed": SEED, "accept": 0.25}
+    first = runs.with_offsets(runs.committed(s, pool, _BASE, stop_step=40, **args))
+    start = first.where("global_step < 30").count()
+    again = runs.with_offsets(runs.committed(s, pool, _BASE, attempt=1, first_step=30, **args), start)
+    return first.unionByName(again).select("run", "branch", "attempt", "off", "global_step", "microbatch_id", "candidate_id", "opus_decision_id", "batch_content_hash")
+
+
 @query("token_spans", f"{_EC} SELECT run, branch, att AS attempt, off, len(token_span_ids)::INT AS spans, coalesce(list_max(list_transform(token_span_ids, lambda x: split_part(x, ':', 3)::INT)), -1) AS last_span FROM c")
 def token_spans(s, d):
     span = F.transform("token_span_ids", lambda x: F.split_part(x, F.lit(":"), F.lit(3)).cast("int"))

@@ -273,3 +273,23 @@ def test_every_query_runs(spark, sf_dir):
     for name, run in engine.queries().items():
         assert run(spark, sf_dir).schema, name
     assert set(engine.oracle_sql()) <= set(engine.queries())
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def test_frozen_tokenizer(spark):
+    from sparkloom.functions import tokenizer as K
+
+    t = K.load(TOKENIZER)
+    with pytest.raises(AttributeError):
+        t.x = 1
+    with pytest.raises(AttributeError):
+        del t._inner
+    assert t.decode(t.encode("hello world")).strip() == "hello world" and t.hash.startswith("tok_") and len(t.hash) == 16
+    df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "n int, text string")
+    assert {r.n: list(r.ids) for r in K.tokenize(df, TOKENIZER).collect()} == {1: t.encode("hello world"), 2: [], 3: []}
+    turns = spark.createDataFrame([("a", '{"role": "user", "x": 1}\n{"role": "assistant"}\nplain')], "k string, text string")
+    r = K.tokenize_turns(turns, TOKENIZER, "k").first()
+    parts = [t.encode(x) for x in ('{"role": "user", "x": 1}\n', '{"role": "assistant"}\n', "plain")]
+    assert list(r.ids) == sum(parts, []) and list(r.eligible) == [False] * len(parts[0]) + [True] * len(parts[1]) + [False] * len(parts[2])
