@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.transducer import Transducer
@@ -221,12 +221,16 @@ def publish_lexicon(texts: DataFrame, column: str = "text", folder: str = TOKENI
     spark = texts.sparkSession
     words = frequent_words(texts, column, limit)
     ids = merges(folder, vocabulary).encode_ordinary_batch([w.decode("utf-8") for w in words], num_threads=4)
-    data = Transducer.compile(words, ids).dump()
+    return publish(spark, Transducer.compile(words, ids))
+
+
+def publish(spark: SparkSession, automaton: Transducer) -> str:
+    """Put an automaton into the shared folder and hand it to every executor, now and later; gives its name."""
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    jvm, path = spark._jvm, f"{shared_dir(spark)}/{name}"
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    path = f"{shared_dir(spark)}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-    out.write(data)
+    out.write(automaton.dump())
     out.close()
     spark.sparkContext.addFile(path)
     return name

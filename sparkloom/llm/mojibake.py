@@ -23,10 +23,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import log
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.encoder import publish
+from sparkloom.llm.transducer import Transducer
 from sparkloom.storage import table
 
 #: Tokens of the language model, and the longest token in it.
@@ -113,7 +117,7 @@ def _class(char: str) -> str:
 class Model:
     """Frequencies of the corpus's tokens."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int], lattice: Lattice | None = None) -> None:
         self.counts = counts
         self.chars: Counter = Counter()
         for t, n in counts.items():
@@ -128,13 +132,7 @@ class Model:
                 shape = ["^", *map(_class, t), "$"]
                 for pair in set(zip(shape, shape[1:], strict=False)):
                     self.pairs[pair] += n
-        # Words by their UTF-8 and single-byte lattices: what is left when every upper byte is lost.
-        self.lost: dict[str, str] = {}
-        for t, n in counts.items():
-            if n >= KNOWN and LOST not in t and any(c.isascii() and c.isalnum() for c in t):
-                for shape in {"".join(c if c.isascii() else LOST for c in t), "".join(c if c.isascii() else LOST * len(c.encode()) for c in t)}:
-                    if n > self.count(self.lost.get(shape, "")):
-                        self.lost[shape] = t
+        self.lattice = lattice or Lattice.compile(counts)
         self.memo: dict[str, list[tuple[str, float, float, str]]] = {}
         self.sound: dict[str, bool] = {}
 
@@ -243,8 +241,8 @@ class Model:
                 bad, good = repaired.count(LOST), [c for c in repaired if ord(c) > 127 and c != LOST]
                 known = sum(self.chars.get(c, 0) >= KNOWN for c in good)
                 before = sum(self.chars.get(c, 0) >= KNOWN for c in token if ord(c) > 127)
-                if known > 2 * bad and known >= 2 and known > before:
-                    offer(f"utf-8>{wrong}", SEQUENCE * (known - bad - before), ENTER_WIDE, repaired)
+                if known > bad and known >= 2 and known > before:
+                    offer(f"utf-8>{wrong}", SEQUENCE * (known - before), ENTER_WIDE, repaired)
         elif sum(ord(c) > 127 for c in token) >= 4:
             for wrong in ("cp1252", "latin-1"):
                 table_ = _bytes_by_char(wrong)
@@ -262,42 +260,91 @@ class Model:
                         offer(f"{right}>{wrong}", log(UNKNOWN) - own + SEQUENCE * (known - 1), ENTER_WIDE, repaired)
 
     def _lost(self, token: str, own: float, offer) -> None:
-        """Lost bytes: wildcards of the lattice, filled by the most frequent word that fits."""
+        """Lost bytes are wildcards of the lattice; the best path spells the most frequent word that fits."""
         core = normal(token)
-        word = self.lost.get(core) or self._fill(core)
-        if word:
-            offer("lost", self.score(word) - min(own, 0.0), ENTER_LOST, token.replace(core, word) if core in token else word)
-        elif re.search(rf"[^\W\d_]{LOST}+[^\W\d_]", token):
+        if any(c.isascii() and c.isalnum() for c in core):
+            ways = [("lost", [CHAR if c == LOST else c.encode("utf-8") for c in core]), ("lost utf-8", [BYTE if c == LOST else c.encode("utf-8") for c in core])]
+            for codec in UTF8_READ_AS[:8]:
+                table_ = _bytes_by_char(codec)
+                upper = [c for c in core if not c.isascii() and c != LOST]
+                if upper and all(c in table_ for c in upper):
+                    ways.append((f"lost utf-8>{codec}", [BYTE if c == LOST else bytes([table_[c]]) if c in table_ else c.encode("ascii") for c in core]))
+            for channel, steps in ways:
+                if word := self.lattice.best(steps):
+                    offer(channel, self.score(word) - min(own, 0.0), ENTER_LOST, _respelled(token, word))
+        if re.search(rf"[^\W\d_]{LOST}+[^\W\d_]", token):
             offer("lost", ENTER_LOST + 1.0, ENTER_LOST, token)
 
-    def _fill(self, core: str) -> str | None:
-        """Viterbi over the words' trie: a wildcard takes one byte, single or of a UTF-8 sequence; others must agree."""
-        best, best_n = None, 0
-        runs = re.split(f"({LOST}+)", core)
-        if len(runs) > 9 or not any(r.strip(LOST) for r in runs):
+
+def _respelled(token: str, word: str) -> str:
+    """``word`` in place of the counted form of ``token``: with its numbers and the punctuation around it."""
+    core = token.strip(_EDGES)
+    numbers = iter(_DIGITS.findall(core))
+    at = token.index(core)
+    return token[:at] + re.sub("0", lambda m: next(numbers, m.group()), word) + token[at + len(core) :]
+
+
+#: Steps of a lattice that are not known: any upper byte, any character beyond ASCII.
+BYTE, CHAR = object(), object()
+
+
+class Lattice:
+    """The corpus's words as an automaton over UTF-8 bytes, walked along all paths of a byte lattice at once."""
+
+    def __init__(self, words: Transducer) -> None:
+        self.words = words
+
+    @classmethod
+    def compile(cls, counts: dict[str, int]) -> Lattice:
+        known = sorted((t.encode("utf-8"), n) for t, n in counts.items() if n >= KNOWN and LOST not in t)
+        return cls(Transducer.compile([w for w, _ in known], [[min(n, 2**31 - 1)] for _, n in known]))
+
+    def _step(self, at: np.ndarray, lows: int, highs: int) -> np.ndarray:
+        """The walks (state, rank, final, path so far) after any byte in [lows, highs)."""
+        wide = at[:, :1] + np.arange(lows, highs)
+        rows = self.words.table[wide]
+        walk, byte = np.nonzero((rows[:, :, 0] == at[:, :1]) & (at[:, :1] > 0))
+        rows = rows[walk, byte]
+        return np.column_stack([rows[:, 1], at[walk, 1] + rows[:, 2], rows[:, 3]])
+
+    def best(self, steps: list) -> str | None:
+        """The most frequent word along a path of ``steps`` (bytes, BYTE or CHAR), or none."""
+        if len(self.words.offsets) < 2:
+            return None
+        at = np.array([[self.words.root, 0, 0]], dtype=np.int64)
+        for step in steps:
+            if step is BYTE:
+                at = self._step(at, 0x80, 0x100)
+            elif step is CHAR:
+                ends = []
+                for lead, more in (((0xC2, 0xE0), 1), ((0xE0, 0xF0), 2), ((0xF0, 0xF5), 3)):
+                    walk = self._step(at, *lead)
+                    for _ in range(more):
+                        walk = self._step(walk, 0x80, 0xC0)
+                    ends.append(walk)
+                at = np.concatenate(ends)
+            else:
+                for b in step:
+                    at = self._step(at, b, b + 1)
+            if not len(at):
+                return None
+        ranks = at[at[:, 2] == 1, 1]
+        if not len(ranks):
             return None
-        pattern = "".join(f".{{{-(-len(r) // 3)},{len(r)}}}" if r.startswith(LOST) else re.escape(r) for r in runs if r)
-        lead = next((r for r in runs if r and not r.startswith(LOST)), "")
-        for t in self._starting(lead[:3] if not core.startswith(LOST) else ""):
-            n = self.counts[t]
-            if n > best_n and re.fullmatch(pattern, t) and not any(c.isascii() for c in _filled(core, t)):
-                best, best_n = t, n
-        return best
-
-    def _starting(self, lead: str) -> list[str]:
-        if not hasattr(self, "_index"):
-            self._index: dict[str, list[str]] = {}
-            for t, n in self.counts.items():
-                if n >= KNOWN and LOST not in t and not t.isascii():
-                    self._index.setdefault(t[:3], []).append(t)
-        return self._index.get(lead, []) if len(lead) == 3 else []
-
-
-def _filled(core: str, word: str) -> str:
-    """The characters of ``word`` that stand for the lost ones, told by the ends that both share."""
-    a = core.find(LOST)
-    b = len(core) - core.rfind(LOST) - 1
-    return word[a : len(word) - b] if core.count(LOST) == core.rfind(LOST) - a + 1 else ""
+        counts = self.words.ids[self.words.offsets[ranks]]
+        return self._spelled(int(ranks[int(counts.argmax())]))
+
+    def _spelled(self, rank: int) -> str:
+        """The word of a rank: down the automaton, by the last edge that does not go beyond it."""
+        out, state, left = bytearray(), self.words.root, rank
+        while True:
+            rows = self.words.table[state : state + 256]
+            mine = np.flatnonzero((rows[:, 0] == state) & (rows[:, 2] <= left))
+            if left == 0 and out and final:
+                return out.decode("utf-8")
+            b = int(mine[-1])
+            out.append(b)
+            state, left, final = int(rows[b, 1]), left - int(rows[b, 2]), int(rows[b, 3])
 
 
 def _encoded(char: str, codec: str) -> bytes:
@@ -393,14 +440,15 @@ _MODEL: dict = {}
 
 def damaged(documents: DataFrame, limit: int = VOCABULARY) -> DataFrame:
     """(doc_id, passages, channels, restored): the damaged documents, and their text as far as it can be restored."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary(documents, limit))
+    spark = documents.sparkSession
+    counts = vocabulary(documents, limit)
+    shared, automaton = spark.sparkContext.broadcast(counts), publish(spark, Lattice.compile(counts).words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _MODEL:
+        if automaton not in _MODEL:
             _MODEL.clear()
-            _MODEL[key] = Model(shared.value)
-        model = _MODEL[key]
+            _MODEL[automaton] = Model(shared.value, Lattice(Transducer.map(SparkFiles.get(automaton))))
+        model = _MODEL[automaton]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
