@@ -56,9 +56,12 @@ ENTER_UTF8, ENTER_SINGLE, ENTER_LOST, ENTER_WIDE, SEQUENCE, IN_PLACE, LEFT_OVER
 #: Frequency of a token that the corpus does not know; least count of one that it knows.
 UNKNOWN, KNOWN = 0.1, 3
 LOST = "�"
+#: Last characters kept at each byte of a lattice of characters.
+BEAM = 12
 
 _SPLIT = re.compile(r"[^ \t\r\n\f\v]+")
 _DIGITS = re.compile(r"[0-9][0-9.,]*")
+_UNSPACED, _CLAUSE = re.compile("[\u3040-\u30ff\u4e00-\u9fff]"), re.compile("[^。、，！？「」]+[。、，！？「」]*")
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -133,6 +136,7 @@ class Model:
                 for pair in set(zip(shape, shape[1:], strict=False)):
                     self.pairs[pair] += n
         self.lattice = lattice or Lattice.compile(counts)
+        self.masked: dict[tuple, list[str]] | None = None
         self.memo: dict[str, list[tuple[str, float, float, str]]] = {}
         self.sound: dict[str, bool] = {}
 
@@ -234,16 +238,19 @@ class Model:
     def _wide(self, token: str, own: float, offer) -> None:
         """Readings by encodings of several bytes to a character."""
         upper = sum(ord(c) > 0x2E7F for c in token)
-        if upper >= 2:
+        strange = sum(ord(c) > 127 and self.chars.get(c, 0) < KNOWN for c in token)
+        if upper >= 2 and strange * 3 >= upper:
             for wrong in WIDE_WRONG:
-                raw = b"".join(_encoded(c, wrong) for c in token)
-                repaired = raw.decode("utf-8", "replace")
+                data = _encoded(token, wrong)
+                if data is None:
+                    continue
+                repaired = self._spell(data)
                 bad, good = repaired.count(LOST), [c for c in repaired if ord(c) > 127 and c != LOST]
                 known = sum(self.chars.get(c, 0) >= KNOWN for c in good)
                 before = sum(self.chars.get(c, 0) >= KNOWN for c in token if ord(c) > 127)
                 if known > bad and known >= 2 and known > before:
                     offer(f"utf-8>{wrong}", SEQUENCE * (known - before), ENTER_WIDE, repaired)
-        elif sum(ord(c) > 127 for c in token) >= 4:
+        elif upper < 2 and sum(ord(c) > 127 for c in token) >= 4:
             for wrong in ("cp1252", "latin-1"):
                 table_ = _bytes_by_char(wrong)
                 if not all(c in table_ or c.isascii() for c in token):
@@ -259,6 +266,34 @@ class Model:
                     if known >= 3 and known == len(good):
                         offer(f"{right}>{wrong}", log(UNKNOWN) - own + SEQUENCE * (known - 1), ENTER_WIDE, repaired)
 
+    def _spell(self, data: list[int | None]) -> str:
+        """Viterbi over the UTF-8 characters along a lattice of bytes (None: any byte), scored by which characters stand side by
+        side in the corpus. A byte that starts no known character is lost for good."""
+        if self.masked is None:
+            self.masked = {}
+            for c in self.chars:
+                raw = c.encode("utf-8")
+                for mask in range(1 << len(raw)):
+                    self.masked.setdefault(tuple(None if mask >> k & 1 else x for k, x in enumerate(raw)), []).append(c)
+        # Best (score, text) by the last character, for each number of bytes read.
+        best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(data) + 1)]
+        best[0][""] = (0.0, "")
+        for i, x in enumerate(data):
+            if not best[i]:
+                continue
+            if len(best[i]) > BEAM:
+                best[i] = dict(sorted(best[i].items(), key=lambda t: -t[1][0])[:BEAM])
+            if x is not None and x < 128:
+                ways = [(1, chr(x))]
+            else:
+                ways = [(1, LOST)] + [(n, c) for n in (2, 3, 4) if i + n <= len(data) for c in self.masked.get(tuple(data[i : i + n]), ())]
+            for last, (score, text) in best[i].items():
+                for n, c in ways:
+                    fit = -8.0 if c == LOST else log(self.pairs.get((_class(last) if last else "^", _class(c)), 0) + UNKNOWN) - log(self.chars.get(last, 1) + 1.0)
+                    if c not in best[i + n] or best[i + n][c][0] < score + fit:
+                        best[i + n][c] = (score + fit, text + c)
+        return max(best[-1].values())[1]
+
     def _lost(self, token: str, own: float, offer) -> None:
         """Lost bytes are wildcards of the lattice; the best path spells the most frequent word that fits."""
         core = normal(token)
@@ -347,11 +382,15 @@ class Lattice:
             state, left, final = int(rows[b, 1]), left - int(rows[b, 2]), int(rows[b, 3])
 
 
-def _encoded(char: str, codec: str) -> bytes:
-    try:
-        return char.encode(codec)
-    except UnicodeEncodeError:
-        return b"\xff" if char == LOST else b"\xfe"
+def _encoded(token: str, codec: str) -> list[int | None] | None:
+    """The bytes that ``codec`` shows as ``token``, a lost one None; nothing if it has no such characters."""
+    out: list[int | None] = []
+    for part in re.split(f"({LOST})", token):
+        try:
+            out += [None] if part == LOST else part.encode(codec)
+        except UnicodeEncodeError:
+            return None
+    return out
 
 
 def passages(text: str, model: Model) -> list[tuple[int, int, str, str]]:
@@ -416,8 +455,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw.update(t for t in text.split() if not t.isascii()) if not _odd(text) else raw.update(t for _, t in tokens_of(text))
         total: Counter = Counter()
         for t, n in raw.items():
-            if len(t) <= LONGEST and not (w := normal(t)).isascii():
-                total[w] += n
+            # Scripts without spaces are counted by clause.
+            for piece in _CLAUSE.findall(t) if _UNSPACED.search(t) else (t,):
+                if len(piece) <= LONGEST and not (w := normal(piece)).isascii():
+                    total[w] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
 
 
