@@ -2,7 +2,7 @@
 
 A source's documents lie end to end in a fixed random order, pass after pass up to its cap; a document's place on that line
 of tokens is a prefix sum, taken in two levels so that a source of any size is summed in many tasks. The draw is the part
-of each line up to the source's quota. Lines are cut into blocks of equal size, and blocks are put in order by Pfair
+of each line up to the source's quota, in whole documents, and one more document that fits best into what is left. Lines are cut into blocks of equal size, and blocks are put in order by Pfair
 scheduling: block j of a source that has n of all N blocks may not come before slot floor(j N / n) and must come by slot
 ceil((j + 1) N / n); of the blocks released, the one with the earliest deadline goes next. No source is then ever a whole
 block ahead of or behind its weight.
@@ -116,10 +116,16 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, fold
     drawn = sum(q.quota for q in quotas)
     block = max(BLOCK_TOKENS, -(-drawn // MOST_BLOCKS))
     small = spark.createDataFrame([(q.source, q.quota, q.supply) for q in quotas if q.quota], "source string, quota long, supply long")
-    # A document belongs to the draw if more than half of it lies within the quota.
-    last = F.expr("cast(floor((quota - place - tokens / 2) / supply) as int)")
-    copies = _laid_out(sized).join(small, "source").withColumn("last", last).where("last >= 0")
-    placed = copies.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("source_offset", F.col("repeat") * F.col("supply") + F.col("place"))
+    laid = materialize(_laid_out(sized), "mix-lines").join(small, "source")
+    # Whole documents up to the quota; then the one document of the current pass that comes nearest to what is left.
+    whole = laid.withColumn("last", F.expr("cast(floor((quota - place - tokens) / supply) as int)"))
+    copies = whole.where("last >= 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("source_offset", F.col("repeat") * F.col("supply") + F.col("place"))
+    used = whole.where("last >= 0").groupBy("source").agg(F.sum(F.expr("tokens * (last + 1)")).alias("used"))
+    free = whole.where("last + 1 <= quota div supply AND quota % supply > 0").join(used, "source", "left").withColumn("gap", F.col("quota") - F.coalesce("used", F.lit(0)))
+    miss = F.abs(F.col("tokens") - F.col("gap"))
+    near = free.where(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "doc_id", "tokens", "last", "quota", "gap")).alias("m"))
+    extra = near.select("source", "m.doc_id", "m.tokens", (F.col("m.last") + 1).alias("repeat"), (F.col("m.quota") - F.col("m.gap")).alias("source_offset"))
+    placed = copies.select("source", "doc_id", "tokens", "repeat", "source_offset").unionByName(extra)
     blocks = {q.source: -(-q.quota // block) for q in quotas if q.quota}
     placed = placed.withColumn("block", F.expr(f"source_offset div {block}"))
     draw = placed.join(_schedule(spark, blocks), ["source", "block"]).select("slot", "source", "doc_id", "repeat", "tokens", "source_offset")
