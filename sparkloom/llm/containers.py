@@ -191,7 +191,7 @@ def pieces_of(records: DataFrame, limits: DataFrame) -> DataFrame:
     row = limits.agg(F.min("seq_len").alias("n")).first()
     shortest = row.n or FALLBACK
     slim = records.select("document_id", "shard_id", "run_id", "token_ids")
-    joined = slim.join(limits, "run_id", "left").withColumns({"grp": F.when(F.col("seq_len").isNull(), F.lit("")).otherwise(F.col("run_id")), "capacity": F.coalesce("seq_len", F.lit(shortest)).cast("int")}).drop("run_id", "seq_len")
+    joined = slim.join(limits, "run_id", "left").withColumns({"grp": F.when(F.col("seq_len").isNull(), F.lit("")).otherwise(F.concat(F.lit("run "), "run_id")), "capacity": F.coalesce("seq_len", F.lit(shortest)).cast("int")}).drop("run_id", "seq_len")
     size = F.coalesce(F.size("token_ids"), F.lit(0))
     keys = ["grp", "capacity", "document_id", "shard_id"]
     # A long record leaves as little as can be: whole windows and one rest.
@@ -202,7 +202,8 @@ def pieces_of(records: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def windows(records: DataFrame, report: DataFrame) -> DataFrame:
-    """(grp, capacity, block, window, document_id, shard_id, piece, begin, size): the window of every piece."""
+    """(grp, capacity, block, window, document_id, shard_id, piece, begin, size): the window of every piece. ``grp`` is ``run `` and
+    the run's id, or empty without a window length."""
     pieces = materialize(pieces_of(records, run_limits(report)), "windows-pieces")
     full = pieces.where("size > 0 AND size < capacity")
     # A hash deals a run's pieces into as many blocks as its number asks for; the counts are one row per run.
@@ -234,12 +235,12 @@ def _packed(dealt: DataFrame, label: str) -> DataFrame:
 def agentic_windows(spark, sf_dir: str) -> DataFrame:
     """The window of every agentic record or part of it: (run_id, seq_len, window_id, document_id, shard_id, piece, begin, tokens)."""
     placed = windows(table(spark, sf_dir, "agentic"), table(spark, sf_dir, "packing_utilization"))
-    name = F.concat_ws("/", F.when(F.col("grp") == "", "no-run").otherwise(F.col("grp")), "block", "window")
+    name = F.concat_ws("/", F.when(F.col("grp") == "", "no run").otherwise(F.col("grp")), "block", "window")
     # Copies of a record that fills a window share the hash; each has a window of its own.
     nth = F.row_number().over(Window.partitionBy("grp", "block", "window").orderBy("document_id", "shard_id"))
     full = placed.where("block = -1").withColumn("window_id", F.concat_ws("/", name, nth.cast("string")))
     rest = placed.where("block <> -1").withColumn("window_id", name)
-    return full.unionByName(rest).select(F.nullif("grp", F.lit("")).alias("run_id"), F.col("capacity").alias("seq_len"), "window_id", "document_id", "shard_id", "piece", "begin", F.col("size").alias("tokens"))
+    return full.unionByName(rest).select(F.when(F.col("grp") != "", F.substring("grp", 5, 1 << 20)).alias("run_id"), F.col("capacity").alias("seq_len"), "window_id", "document_id", "shard_id", "piece", "begin", F.col("size").alias("tokens"))
 
 
 def utilization(spark, sf_dir: str) -> DataFrame:

@@ -77,15 +77,15 @@ COLS = "document_id string, shard_id string, run_id string, token_ids array<int>
 def _agentic(spark):
     rng = random.Random(8)
     rows = [(f"d{i}", "s", "big" if i % 3 == 0 else f"r{i % 5}", [rng.choice([7, 3, 1]) for _ in range(rng.choice([1, 5, 20, 33, 64, 90, 200]))], "x") for i in range(900)]
-    rows += [("n1", "s", None, [7, 7], "x"), ("n2", "s", "r1", None, "x"), ("n3", "s", "r1", [], "x"), ("n4", "s", "nowhere", [7] * 50, "x"), rows[0], rows[4]]
-    report = [("big", 64), ("r0", 32), ("r1", 64), ("r2", 128), ("r3", 64), ("r4", None), ("r4", 100), (None, 5), ("r1", 64)]
+    rows += [("n1", "s", None, [7, 7], "x"), ("n2", "s", "r1", None, "x"), ("n3", "s", "r1", [], "x"), ("n4", "s", "nowhere", [7] * 50, "x"), ("n5", None, "", [7] * 70, "x"), rows[0], rows[4]]
+    report = [("big", 64), ("r0", 32), ("r1", 64), ("r2", 128), ("r3", 64), ("r4", None), ("r4", 100), (None, 5), ("r1", 64), ("", 64)]
     return spark.createDataFrame(rows, COLS).drop("seq_len"), spark.createDataFrame(report, "run_id string, seq_len int"), rows
 
 
 def test_split_operator(spark):
     records, report, rows = _agentic(spark)
     limits = {r.run_id: r.seq_len for r in splitting.run_limits(report).collect()}
-    assert limits == {"big": 64, "r0": 32, "r1": 64, "r2": 128, "r3": 64, "r4": 100}
+    assert limits == {"big": 64, "r0": 32, "r1": 64, "r2": 128, "r3": 64, "r4": 100, "": 64}
     pieces = splitting.split(records.join(splitting.run_limits(report), "run_id"), 4).collect()
     long = {(r[0], r[2]): r[3] for r in rows if r[3] and r[2] in limits and len(r[3]) > limits[r[2]]}
     assert {(p.document_id, p.run_id) for p in pieces} == set(long)
@@ -103,12 +103,12 @@ def test_windows(spark):
         if p.block != -1:
             used[p.grp, p.block, p.window] = used.get((p.grp, p.block, p.window), 0) + p.size
             assert used[p.grp, p.block, p.window] <= p.capacity
-        assert p.capacity == limits.get(p.grp, 32)
+        assert p.capacity == (limits[p.grp[4:]] if p.grp else 32)
         seen.setdefault(p.document_id, []).append((p.begin, p.size))
     for d, _, _, ids, _ in rows:
         assert sum(n for _, n in seen[d]) == len(ids or []) * sum(r[0] == d for r in rows)
     size = sum(p.size for p in placed)
-    windows = sum(limits.get(g, 32) for g, _, _ in {k for k, v in used.items() if v}) + sum(p.capacity for p in placed if p.block == -1)
+    windows = sum((limits[g[4:]] if g else 32) for g, _, _ in {k for k, v in used.items() if v}) + sum(p.capacity for p in placed if p.block == -1)
     assert size / windows > 0.9
     assert containers.windows(records.limit(0), report.limit(0)).count() == 0
 
