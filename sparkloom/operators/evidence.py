@@ -26,6 +26,23 @@ def bundle(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, checks)
 
 
+def unregistered(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Shard files whose hash no manifest has."""
+    return files.join(manifests.select(F.col("content_hash").alias("shard_hash")), "shard_hash", "left_anti")
+
+
+def unlogged_forks(report: DataFrame, log: DataFrame) -> DataFrame:
+    """Forks of a report that the fork log does not have, by child and parent."""
+    return report.join(log, ["child_branch_id", "parent_branch_id"], "left_anti")
+
+
+def uncovered(bundled: DataFrame, requirements: list[str]) -> DataFrame:
+    """(requirement, problem): requirements without a check, and checks of unknown requirements."""
+    wanted = bundled.sparkSession.createDataFrame([(r,) for r in requirements], "requirement string")
+    have = bundled.select("requirement").distinct()
+    return wanted.subtract(have).withColumn("problem", F.lit("no check")).unionAll(have.subtract(wanted).withColumn("problem", F.lit("unknown")))
+
+
 def summary(bundled: DataFrame) -> DataFrame:
     """A requirement passes if all its checks do."""
     return bundled.groupBy("requirement").agg(F.count("*").alias("checks"), F.bool_and("passed").alias("passed"))

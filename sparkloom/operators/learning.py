@@ -84,3 +84,10 @@ def per_document_loss(tokens: DataFrame) -> DataFrame:
     at = tokens.select("seq", F.posexplode(F.arrays_zip("loss_mask", "losses")).alias("i", "x"), "document_ids").where("x.loss_mask = 1")
     owned = at.select("seq", "i", F.get("document_ids", F.col("i") + 1).alias("document_id"), F.col("x.losses").alias("loss")).where("document_id <> ''")
     return owned.groupBy("seq", "document_id").agg(F.min("i").alias("first"), F.count("*").alias("targets"), (F.sum("loss") / F.count("*")).alias("mean_loss"))
+
+
+def step_loss(rows: DataFrame) -> DataFrame:
+    """Token-weighted loss of each (run, branch, step); null where nothing was trained."""
+    micro = F.sum(F.when(F.col("mean_loss").isNotNull(), F.round(F.col("mean_loss") * MILLION).cast("long") * F.col("loss_bearing_tokens")))
+    tokens = F.sum(F.when(F.col("mean_loss").isNotNull(), F.col("loss_bearing_tokens")))
+    return rows.groupBy("run", "branch", "global_step").agg(tokens.alias("tokens"), micro.alias("weighted")).withColumn("mean_loss", F.when(F.col("tokens") > 0, F.col("weighted") / (F.col("tokens") * F.lit(float(MILLION))))).drop("weighted")

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.hashing import json_hash
+
 PAD = 0
 
 
@@ -33,7 +35,7 @@ def concat_and_chop(records: DataFrame, length: int, group: str = "shard_id", or
     parts = placed.withColumn("window", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.lit(0), F.col("window") * length - F.col("offset"))
     end = F.least(F.size(ids).cast("long"), (F.col("window") + 1) * length - F.col("offset"))
-    sliced = parts.select(group, "window", F.col("offset"), F.col(order).alias("document"), begin.alias("begin"), F.slice(F.col(ids), (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    sliced = parts.select(group, "window", F.col("offset"), F.col(order).cast("string").alias("document"), begin.alias("begin"), F.slice(F.col(ids), (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))
     gathered = sliced.groupBy(group, "window").agg(F.array_sort(F.collect_list(F.struct("offset", "document", "begin", "part"))).alias("p"))
     useful = F.aggregate("p", F.lit(0), lambda a, x: a + F.size(x["part"]))
     fill = lambda value: F.array_repeat(value, F.lit(length) - F.col("useful"))
@@ -57,7 +59,7 @@ def one_per_window(records: DataFrame, length: int, order: str = "document_id",
         "shard_id",
         F.col(order),
         F.concat(F.slice(F.col(ids), F.lit(1), F.col("useful")), F.array_repeat(F.lit(PAD), pad)).alias("tokens"),
-        F.concat(F.array_repeat(F.col(order), F.col("useful")), F.array_repeat(F.lit(""), pad)).alias("document_ids"),
+        F.concat(F.array_repeat(F.col(order).cast("string"), F.col("useful")), F.array_repeat(F.lit(""), pad)).alias("document_ids"),
         F.concat(F.sequence(F.lit(0), F.col("useful") - 1), F.array_repeat(F.lit(-1), pad)).alias("spans"),
         "useful",
     )
@@ -119,3 +121,25 @@ def eligible_by_turn(tokens: Column, line: int, first: bool = False) -> Column:
     begin = F.struct(F.lit(first).alias("on"), F.array().cast("array<boolean>").alias("out"))
     step = lambda acc, t: F.struct(F.when(t == line, ~acc["on"]).otherwise(acc["on"]).alias("on"), F.concat(acc["out"], F.array(acc["on"])).alias("out"))
     return F.aggregate(tokens, begin, step, lambda acc: acc["out"])
+
+
+def assemble(members: DataFrame, length: int) -> DataFrame:
+    """(microbatch, mode, row, tokens, loss_mask, position_ids, useful, content_hash) from (microbatch, slot, document_id, turns,
+    token_ids, eligible). One record of turns makes its whole microbatch keep records apart; otherwise they are laid end to
+    end. Microbatches are bounded by their size; one without any loss-bearing token comes out with ``useful`` 0 or masks of 0."""
+    mode = F.when(F.max("turns"), "agentic").otherwise("pretrain")
+    modes = members.groupBy("microbatch").agg(mode.alias("mode"))
+    rows = members.join(modes, "microbatch").where(F.size("token_ids") > 0)
+    apart, joined = rows.where("mode = 'agentic'"), rows.where("mode = 'pretrain'")
+    own = one_per_window(apart.withColumn("shard_id", F.col("microbatch").cast("string")), length, order="slot")
+    flags = apart.select("microbatch", "slot", "eligible", "document_id")
+    single = own.withColumn("microbatch", F.col("shard_id").cast("long")).join(flags, ["microbatch", "slot"])
+    whole = F.transform("tokens", lambda t: F.lit(True))
+    kept = F.coalesce("eligible", whole)
+    named = F.transform("tokens", lambda t: F.when(t == PAD, "").otherwise(F.col("document_id")))
+    first = single.select("microbatch", F.lit("agentic").alias("mode"), F.col("slot").cast("long").alias("row"), "tokens", loss_mask(F.col("tokens"), kept).alias("loss_mask"), named.alias("document_ids"), "useful")
+    chopped = concat_and_chop(joined, length, group="microbatch", order="slot")
+    owners = F.transform("document_ids", lambda d: d.cast("string"))
+    second = chopped.select("microbatch", F.lit("pretrain").alias("mode"), F.col("window").alias("row"), "tokens", loss_mask(F.col("tokens")).alias("loss_mask"), owners.alias("document_ids"), "useful")
+    both = first.unionByName(second).withColumn("position_ids", position_ids(F.col("tokens"), F.col("document_ids"), True))
+    return both.withColumn("content_hash", json_hash(input_ids=F.col("tokens"), loss_mask=F.col("loss_mask")))

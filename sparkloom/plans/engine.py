@@ -364,6 +364,16 @@ def attention_mask_hash(s, d):
     return small.select("shard_id", "window", json_hash(attention_mask=P.attention_mask(F.col("tokens"))).alias("mask_hash"))
 
 
+@query("assembled_microbatches")
+def assembled_microbatches(s, d):
+    """Agentic records in microbatches by hash, with their windows, masks and hashes; every fourth microbatch keeps records apart."""
+    parts = F.pmod(F.xxhash64("document_id", "shard_id"), F.lit(2000))
+    slot = F.xxhash64("shard_id", "document_id")
+    turns = (F.col("microbatch") % 4 == 0) & (F.col("token_ids")[0] % 2 == 0)
+    members = table(s, d, "agentic").where("size(token_ids) > 0").select(parts.alias("microbatch"), slot.alias("slot"), "document_id", "token_ids").withColumn("turns", turns).withColumn("eligible", P.eligible_by_turn(F.col("token_ids"), 1))
+    return P.assemble(members, LENGTH).select("microbatch", "mode", "row", "useful", F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x).alias("targets"), "content_hash")
+
+
 _REPORT = "(SELECT DISTINCT ON (run_id, branch_id, attempt, ledger_offset, microbatch_id) * FROM packing_utilization WHERE useful_tokens IS NOT NULL AND capacity IS NOT NULL)"
 
 
@@ -609,6 +619,12 @@ def usefulness_counts(s, d):
     return L.shards(L.exposures(_newest(s, d))).groupBy("usefulness").agg(F.count("*").alias("shards"), F.sum("tokens").alias("tokens"))
 
 
+@query("step_losses", f"""{_NEWEST} SELECT run, branch, global_step, sum(CASE WHEN mean_loss IS NOT NULL THEN loss_bearing_tokens END)::BIGINT AS tokens,
+    round(sum(round(mean_loss * 1000000)::BIGINT * loss_bearing_tokens) / (sum(CASE WHEN mean_loss IS NOT NULL THEN loss_bearing_tokens END) * 1000000.0::DOUBLE), 9) AS mean_loss FROM n GROUP BY ALL""")
+def step_losses(s, d):
+    return L.step_loss(_newest(s, d)).withColumn("mean_loss", F.round("mean_loss", 9))
+
+
 @query("most_exposed_shards", f"{_USEFUL} SELECT shard_id, exposures FROM v ORDER BY exposures DESC, shard_id LIMIT 3")
 def most_exposed_shards(s, d):
     return L.most_exposed(L.shards(L.exposures(_newest(s, d))).select("shard_id", "exposures"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sparkloom.sources import jsonl
 
 _DDL = {
+    "documents": "document_id STRING, source_id STRING, title STRING, text STRING, content_status STRING, capability_lane STRING, data_type STRING, packing_policy STRING, language STRING, script STRING, license_tier STRING, cleaning_pipeline_hash STRING, dedup_status STRING, pii_screen_status STRING, eval_overlap_status STRING, never_train BOOLEAN, curriculum_band STRING, indic_tier STRING, indic_language_tier STRING, reasoning_trace_band STRING, always_on_eligible BOOLEAN, opus_eligible BOOLEAN, anneal_eligible BOOLEAN, epoch_budget_max INT, content_sha256 STRING, char_count INT, local_path STRING",
     "provenance": "id STRING, title STRING, source_url STRING, local_path STRING, format STRING, license STRING, track STRING, transforms ARRAY<STRING>, cleaning_pipeline_hash STRING",
     "consumption": "schema_version STRING, run_id STRING, branch_id STRING, attempt INT, global_step INT, ledger_offset INT, checkpoint_id STRING, microbatch_id STRING, packed_sample_ids ARRAY<STRING>, shard_ids ARRAY<STRING>, token_span_ids ARRAY<STRING>, loss_mask_hash STRING, attention_policy STRING, position_policy STRING, mixture_lane STRING, curriculum_stage STRING, tokenizer_hash STRING, dataloader_version STRING, opus_decision_id STRING, batch_content_hash STRING, candidate_id STRING",
     "learning": "schema_version STRING, run_id STRING, branch_id STRING, attempt INT, global_step INT, ledger_offset INT, microbatch_id STRING, sample_id STRING, shard_id STRING, capability_lane STRING, curriculum_stage STRING, model_phase STRING, loss_bearing_tokens INT, mean_loss DOUBLE, perplexity DOUBLE, opus_score DOUBLE, opus_decision_id STRING, batch_content_hash STRING",
@@ -79,3 +80,27 @@ def curriculum_of(config: dict):
     stages = tuple(Stage(p["name"], p["step_start"], p["step_end"], dict(p["opus_mixture"]), p.get("lr_multiplier", 1.0)) for p in config["phases"])
     change = config.get("transitions", {})
     return Curriculum(stages, config["batch"]["always_on_fraction"], change.get("warmup_steps", 0), tuple(change.get("blend", (0.5, 0.5))), dict(config.get("always_on", {}).get("sub_shares", {})))
+
+
+def load_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Provenance, documents, and the problems between them: (key, problem) of repeated ids and of documents whose source has
+    no provenance."""
+    provenance, documents = read_table(spark, f"{folder}/provenance.jsonl", "provenance"), read_table(spark, f"{folder}/documents.jsonl", "documents")
+    twice = [jsonl.repeated(df, key).select(F.col(key).alias("key"), F.lit(f"repeated {key}").alias("problem")) for df, key in ((provenance, "id"), (documents, "document_id"))]
+    orphans = documents.join(provenance.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(F.col("document_id").alias("key"), F.lit("unknown source").alias("problem"))
+    return provenance, documents, twice[0].unionAll(twice[1]).unionAll(orphans)
+
+
+def load_artifacts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a finished run; a missing one is an error that names it."""
+    places = {"consumption": "ledgers/consumption.jsonl", "learning": "ledgers/learning.jsonl", "opus_audit": "ledgers/opus_audit.jsonl", "forks": "ledgers/forks.jsonl", "step_timings": "reports/step_timings.jsonl"}
+    missing = [p for p in places.values() if not jsonl.exists(spark, f"{folder}/{p}")]
+    if missing:
+        raise FileNotFoundError(f"missing in {folder}: {', '.join(missing)}")
+    return {name: read_ledger(spark, f"{folder}/{p}", name) for name, p in places.items()} | {"manifests": read_manifests(spark, f"{folder}/manifests")}
+
+
+def validate_batch(global_batch: int, microbatch: int, accumulation: int) -> None:
+    """A global batch is its microbatches times the accumulation steps."""
+    if min(global_batch, microbatch, accumulation) <= 0 or microbatch * accumulation != global_batch:
+        raise ValueError(f"{microbatch} x {accumulation} is not {global_batch}")

@@ -7,7 +7,7 @@ import os
 import tempfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ledger import assigned_offsets
@@ -89,3 +89,42 @@ def checkpoints_available(folder: str) -> list[int]:
 def load_checkpoint(folder: str, step: int) -> dict:
     with open(os.path.join(folder, f"ckpt-{step:05d}", "checkpoint.json"), encoding="utf-8") as f:
         return json.load(f)
+
+
+def audit_json(score: str = "opus_score") -> Column:
+    """An audit row as JSON: keys in order, the score to six places and left out when null, other nulls written."""
+    from sparkloom.sources.schemas import schema
+
+    names = sorted(f.name for f in schema("opus_audit").fields)
+    part = lambda keep: F.to_json(F.struct(*[F.round(n, 6).alias(n) if n == score else F.col(n) for n in names if keep or n != score]), {"ignoreNullFields": "false"})
+    return F.when(F.col(score).isNull(), part(False)).otherwise(part(True))
+
+
+class RunLog:
+    """A run log on the driver: one JSON line an event, flushed; the sequence goes on where the file ends."""
+
+    def __init__(self, path: str) -> None:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        self.path, self.seq = path, 0
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                self.seq = sum(1 for line in f if line.strip())
+
+    def emit(self, event_type: str, **fields: object) -> int:
+        from datetime import datetime, timezone
+
+        if {"seq", "ts", "event_type"} & fields.keys():
+            raise ValueError("seq, ts and event_type are the log's own")
+        stamp = datetime.now(timezone.utc).isoformat(timespec="milliseconds")
+        with open(self.path, "a", encoding="utf-8") as f:
+            f.write(json.dumps({"seq": self.seq, "ts": stamp, "event_type": event_type, **fields}, ensure_ascii=False) + "\n")
+        self.seq += 1
+        return self.seq - 1
+
+
+def require_empty(spark, path: str) -> None:
+    """A fresh run does not write over a ledger that is there."""
+    from sparkloom.sources.jsonl import exists
+
+    if exists(spark, path):
+        raise FileExistsError(f"{path} holds a ledger; resume it or choose another folder")

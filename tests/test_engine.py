@@ -293,3 +293,45 @@ def test_frozen_tokenizer(spark):
     r = K.tokenize_turns(turns, TOKENIZER, "k").first()
     parts = [t.encode(x) for x in ('{"role": "user", "x": 1}\n', '{"role": "assistant"}\n', "plain")]
     assert list(r.ids) == sum(parts, []) and list(r.eligible) == [False] * len(parts[0]) + [True] * len(parts[1]) + [False] * len(parts[2])
+
+
+def test_assembled_microbatches(spark):
+    rows = [(1, 0, "a", False, [1, 2, 3], None), (1, 1, "b", False, [4, 5], None), (2, 0, "c", True, [1, 2, 3], [False, True, True]), (2, 1, "d", False, [4, 5, 6, 7, 8], None), (3, 0, "e", False, [], None)]
+    df = spark.createDataFrame(rows, "microbatch long, slot int, document_id string, turns boolean, token_ids array<int>, eligible array<boolean>")
+    got = {(r.microbatch, r.row): r for r in P.assemble(df, 4).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1)}
+    assert (got[1, 0].tokens, got[1, 0].loss_mask, got[1, 0].position_ids, got[1, 0].mode) == ([1, 2, 3, 4], [1, 1, 1, 0], [0, 1, 2, 0], "pretrain")
+    assert (got[2, 0].tokens, got[2, 0].loss_mask, got[2, 0].mode) == ([1, 2, 3, 0], [1, 1, 0, 0], "agentic")
+    assert (got[2, 1].tokens, got[2, 1].useful) == ([4, 5, 6, 7], 4)
+    text = '{"input_ids":[1,2,3,4],"loss_mask":[1,1,1,0]}'
+    assert got[1, 0].content_hash == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_corpus_and_run_files(spark, tmp_path):
+    doc = {f.name: None for f in schemas.schema("documents").fields}
+    src = {f.name: None for f in schemas.schema("provenance").fields}
+    lines = lambda rows: "".join(json.dumps(r) + "\n" for r in rows)
+    (tmp_path / "provenance.jsonl").write_text(lines([src | {"id": "p"}]))
+    (tmp_path / "documents.jsonl").write_text(lines([doc | {"document_id": "a", "source_id": "p"}, doc | {"document_id": "a", "source_id": "p"}, doc | {"document_id": "b", "source_id": "q"}]))
+    problems = schemas.load_corpus(spark, str(tmp_path))[2]
+    assert {tuple(r) for r in problems.collect()} == {("a", "repeated document_id"), ("b", "unknown source")}
+    with pytest.raises(FileNotFoundError, match="learning"):
+        schemas.load_artifacts(spark, str(tmp_path))
+    log = sinks.RunLog(str(tmp_path / "run.log"))
+    log.emit("run_start", x=1)
+    assert sinks.RunLog(str(tmp_path / "run.log")).emit("run_end") == 1
+    assert [(r.seq, r.event_type) for r in schemas.read_run_log(spark, str(tmp_path / "run.log")).collect()] == [(0, "run_start"), (1, "run_end")]
+    with pytest.raises(FileExistsError):
+        sinks.require_empty(spark, str(tmp_path / "run.log"))
+    audit = {f.name: None for f in schemas.schema("opus_audit").fields}
+    rows = spark.createDataFrame([audit | {"opus_score": 0.12345678}, audit], schemas.schema("opus_audit")).select(sinks.audit_json().alias("j")).collect()
+    assert json.loads(rows[0].j)["opus_score"] == 0.123457 and "opus_score" not in json.loads(rows[1].j) and json.loads(rows[1].j)["rejection_reason"] is None
+    with pytest.raises(ValueError, match="is not 5"):
+        schemas.validate_batch(5, 2, 2)
+
+
+def test_coverage_of_evidence(spark):
+    b = E.none_of("a", "x", spark.range(0))
+    assert {tuple(r) for r in E.uncovered(b, ["a", "b"]).collect()} == {("b", "no check")}
+    files = spark.createDataFrame([("h1",), ("h2",)], "shard_hash string")
+    assert E.unregistered(files, spark.createDataFrame([("h1",)], "content_hash string")).count() == 1
