@@ -73,17 +73,24 @@ POLICIES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
 }
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value`` worked out once: a column that a lambda names would be worked out anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def loss_mask(tokens: Column, eligible: Column | None = None) -> Column:
     """1 where a token and its successor are no padding (and the successor is eligible): it predicts the successor."""
-    follow = lambda i: F.get(tokens, i + 1)
 
-    def bit(t: Column, i: Column) -> Column:
-        good = (t != PAD) & (F.coalesce(follow(i), F.lit(PAD)) != PAD)
-        if eligible is not None:
-            good = good & F.coalesce(F.get(eligible, i + 1), F.lit(False))
-        return F.when(good, 1).otherwise(0)
+    def mask(ts: Column, es: Column | None) -> Column:
+        def bit(t: Column, i: Column) -> Column:
+            good = (t != PAD) & (F.coalesce(F.get(ts, i + 1), F.lit(PAD)) != PAD)
+            return F.when(good if es is None else good & F.coalesce(F.get(es, i + 1), F.lit(False)), 1).otherwise(0)
 
-    return F.transform(tokens, bit)
+        return F.transform(ts, bit)
+
+    if eligible is None:
+        return bound(tokens, lambda ts: mask(ts, None))
+    return bound(F.struct(tokens.alias("t"), eligible.alias("e")), lambda x: bound(x["t"], lambda ts: bound(x["e"], lambda es: mask(ts, es))))
 
 
 def attention_row(tokens: Column, row: Column) -> Column:
@@ -93,34 +100,42 @@ def attention_row(tokens: Column, row: Column) -> Column:
 
 def attention_mask(tokens: Column) -> Column:
     """The whole causal mask; quadratic in the window, so only for hashing and short windows."""
-    return F.transform(tokens, lambda _, i: attention_row(tokens, i))
+    return bound(tokens, lambda ts: F.transform(ts, lambda _, i: attention_row(ts, i)))
 
 
 def attention_ones(tokens: Column) -> Column:
     """How many ones the causal mask has, without building it."""
-    real = F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a + F.when(t != PAD, 1).otherwise(0))
+    real = F.size(F.filter(tokens, lambda t: t != PAD)).cast("long")
     return F.shiftright(real * (real + 1), 1)
 
 
+def _lengths(ends: Column) -> Column:
+    """Differences of neighbours of rising numbers that begin with 0."""
+    return bound(ends, lambda e: F.zip_with(F.slice(e, 2, F.size(e)), F.slice(e, F.lit(1), F.size(e) - 1), lambda b, a: b - a))
+
+
 def position_ids(tokens: Column, document_ids: Column, reset: bool) -> Column:
     """Positions from 0, over the window or anew at each document; padding has 0."""
     if not reset:
         return F.transform(tokens, lambda t, i: F.when(t == PAD, 0).otherwise(i))
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = F.when(x["d"] == "", F.lit(0)).when(acc["last"].eqNullSafe(x["d"]), acc["at"] + 1).otherwise(0)
-        return F.struct(x["d"].alias("last"), at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+    def runs(ds: Column) -> Column:
+        starts = F.filter(F.transform(ds, lambda d, i: F.when(~d.eqNullSafe(F.get(ds, i - 1)) & (i > 0), i)), lambda i: i.isNotNull())
+        lengths = _lengths(F.concat(F.array(F.lit(0)), starts, F.array(F.size(ds))))
+        return F.flatten(F.transform(lengths, lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))))
 
-    pairs = F.transform(document_ids, lambda d: F.struct(d.alias("d")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return bound(document_ids, lambda ds: F.zip_with(ds, runs(ds), lambda d, p: F.when(d == "", 0).otherwise(p)))
 
 
 def eligible_by_turn(tokens: Column, line: int, first: bool = False) -> Column:
     """Eligibility that alternates from turn to turn; an id ``line`` ends a turn and belongs to it."""
-    begin = F.struct(F.lit(first).alias("on"), F.array().cast("array<boolean>").alias("out"))
-    step = lambda acc, t: F.struct(F.when(t == line, ~acc["on"]).otherwise(acc["on"]).alias("on"), F.concat(acc["out"], F.array(acc["on"])).alias("out"))
-    return F.aggregate(tokens, begin, step, lambda acc: acc["out"])
+
+    def flags(ts: Column) -> Column:
+        ends = F.filter(F.transform(ts, lambda t, i: F.when(t == line, i + 1)), lambda i: i.isNotNull())
+        lengths = _lengths(F.concat(F.array(F.lit(0)), ends, F.array(F.size(ts))))
+        return F.flatten(F.transform(lengths, lambda m, k: F.array_repeat((k % 2 == 1) != F.lit(first), m)))
+
+    return bound(tokens, flags)
 
 
 def assemble(members: DataFrame, length: int) -> DataFrame:

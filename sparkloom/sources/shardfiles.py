@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.packing import bound
+
 #: Magic and version of the format, and the size of its header.
 MAGIC, VERSION, HEADER = "S6BIN", 1, 13
 
 
+def _swapped(x: Column) -> Column:
+    """A 32-bit number with its bytes in the opposite order."""
+    byte = lambda k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255).cast("long"))
+    return F.shiftleft(byte(0), 24) + F.shiftleft(byte(1), 16) + F.shiftleft(byte(2), 8) + byte(3)
+
+
 def _little_endian(x: Column) -> Column:
     """Hex digits of a 32-bit number, lowest byte first."""
-    h = F.lpad(F.hex(x.cast("long")), 8, "0")
-    return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
+    return F.lpad(F.hex(_swapped(x.cast("long"))), 8, "0")
 
 
 def encoded(ids: str) -> Column:
@@ -22,24 +29,31 @@ def encoded(ids: str) -> Column:
     return F.when(good, F.unhex(F.concat(head, F.array_join(F.transform(ids, _little_endian), ""))))
 
 
-def _number(data: Column, at: Column) -> Column:
-    """The little-endian number at byte ``at`` (from 1)."""
-    h = F.hex(F.substring(data, at, F.lit(4)))
-    return F.conv(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+def _number(data: Column, byte: Column | int) -> Column:
+    """The little-endian number that begins at ``byte`` (from 0); bytes are cut from binary data, which takes no search."""
+    at = F.lit(byte + 1) if isinstance(byte, int) else byte + 1
+    return _swapped(F.conv(F.hex(F.substring(data, at, F.lit(4))), 16, 10).cast("long"))
+
+
+def _is_valid(d: Column) -> Column:
+    head = F.substring(d, 1, len(MAGIC)) == F.lit(MAGIC).cast("binary")
+    # Numbers are read only where there are enough bytes.
+    return F.coalesce(F.when(F.length(d) > HEADER, head & (_number(d, 5) == VERSION) & (F.length(d) == _number(d, 9) * 4 + HEADER)), F.lit(False))
 
 
 def is_valid(data: str) -> Column:
     """Magic, version, at least one id, and exactly as many bytes as the count asks for."""
-    d = F.col(data)
-    count = _number(d, F.lit(10))
-    return (F.length(d) > HEADER) & (F.substring(d, 1, 5) == F.lit(MAGIC).cast("binary")) & (_number(d, F.lit(6)) == VERSION) & (F.length(d) == count * 4 + HEADER)
+    return bound(F.col(data), _is_valid)
 
 
 def decoded(data: str) -> Column:
     """Ids of a shard; null if it is not valid."""
-    d = F.col(data)
-    places = F.sequence(F.lit(0), ((F.length(d) - HEADER) / 4).cast("int") - 1)
-    return F.when(is_valid(data), F.transform(places, lambda i: _number(d, i * 4 + HEADER + 1)))
+
+    def ids(d: Column) -> Column:
+        places = F.sequence(F.lit(0), ((F.length(d) - HEADER) / 4).cast("int") - 1)
+        return F.when(_is_valid(d), F.transform(places, lambda i: _number(d, i * 4 + HEADER)))
+
+    return bound(F.col(data), ids)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
