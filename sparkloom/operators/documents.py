@@ -18,8 +18,8 @@ DATA_TYPES = ("pretrain", "agentic", "sft")
 LICENSES = ("safe", "needs_review", "blocked")
 #: Script of each base language.
 SCRIPTS = {"en": "Latin", "hi": "Devanagari", "bn": "Bengali", "ta": "Tamil", "mr": "Devanagari", "de": "Latin", "fr": "Latin", "es": "Latin", "pt": "Latin", "ru": "Cyrillic", "ja": "Japanese"}
-#: Buckets of a lane; a shard is a bucket.
-BUCKETS = 8
+#: Documents of a shard, on average, in the largest lane.
+SHARD_DOCUMENTS = 10_000
 
 
 def blank_text(column: str = "text") -> Column:
@@ -64,7 +64,13 @@ def hashed(documents: DataFrame, *columns: str) -> DataFrame:
     return documents.select("doc_id", *columns, F.sha2("text", 256).alias("text_hash"), F.length("text").alias("characters"))
 
 
-def group_key(buckets: int = BUCKETS) -> Column:
+def buckets_for(documents: DataFrame, per_shard: int = SHARD_DOCUMENTS) -> int:
+    """Buckets of a lane, so that a shard of the largest has about ``per_shard`` documents however many there are."""
+    largest = documents.groupBy("capability_lane").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+    return max(1, -(-(largest or 0) // per_shard))
+
+
+def group_key(buckets: int) -> Column:
     """The shard group of a document: its lane and a bucket drawn from its id."""
     bucket = F.floor(unit_float("shard", F.col("document_id")) * buckets).cast("int")
     return F.concat_ws("/", F.coalesce("capability_lane", F.lit("unknown")), bucket.cast("string"))
@@ -82,9 +88,10 @@ def license_rollup(column: str = "license_tier") -> Column:
     return F.when(safe, "safe").when(blocked, "blocked").otherwise("needs_review")
 
 
-def shards(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def shards(documents: DataFrame, per_shard: int = SHARD_DOCUMENTS) -> DataFrame:
     """One row per shard group: ids in order, roll-ups and the content hash over its documents' hashes. Copies of a text and
     texts without letters are held back in groups of their own, so that one bad document does not block a lane."""
+    buckets = buckets_for(documents, per_shard)
     marked = with_copies_marked(hashed(ready(documents), "document_id", "capability_lane", "source", "script", "data_type", "license_tier"))
     key = F.when(F.col("dedup_status") == "duplicate", F.concat(F.lit("held/"), group_key(buckets))).otherwise(group_key(buckets))
     keyed = marked.withColumn("group_key", key).withColumn("source", reference("source"))

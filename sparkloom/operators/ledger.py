@@ -15,6 +15,8 @@ from sparkloom.functions.ids import attempt_or_zero, clean_id, reference
 KEY = ["run", "branch", "attempt", "off"]
 #: Offsets that are compared in one task.
 RANGE = 10_000
+#: Steps that are numbered in one task.
+STEP_RANGE = 1_000
 
 
 def effective(ledger: DataFrame, *columns: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -52,9 +54,15 @@ def newest_of_step(messages: DataFrame, step: str = "global_step") -> DataFrame:
 
 
 def assigned_offsets(committed: DataFrame, start: int = 0) -> DataFrame:
-    """``off`` counted from ``start`` in order of step and place within (run, branch, attempt); a branch is one task's rows."""
-    order = Window.partitionBy("run", "branch", "attempt").orderBy("global_step", "microbatch_id")
-    return committed.withColumn("assigned", F.row_number().over(order) - 1 + start)
+    """``assigned``: offsets counted from ``start`` in order of step and place within (run, branch, attempt). Steps are counted by
+    range first, so that a branch of any length is numbered in many tasks."""
+    key = ["run", "branch", "attempt"]
+    cut = committed.withColumn("__part", F.floor(F.col("global_step") / STEP_RANGE))
+    sizes = cut.groupBy(*key, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    opens = sizes.select(*key, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__s"))
+    inner = F.row_number().over(Window.partitionBy(*key, "__part").orderBy("global_step", "microbatch_id"))
+    return cut.withColumn("__r", inner).join(opens, [*key, "__part"]).withColumn("assigned", F.col("__s") + F.col("__r") - 1 + start).drop("__part", "__r", "__s")
 
 
 def checkpoints(messages: DataFrame, interval: int) -> DataFrame:

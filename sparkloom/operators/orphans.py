@@ -6,8 +6,10 @@ and takes one away when it is deleted. Adding up the deltas gives the state, and
 old state by the same sum (:func:`merge_counts`). A key with positive references and zero existence is an orphan.
 
 Point-in-time orphans (:func:`orphans_at_reference`) need the existence count at the reference's own instant: a running
-sum over a key's deltas in time order. A key may hold a third of all rows, so a key is cut into time slices; the slices'
-net existence is a partial aggregate, its prefix sum opens each slice, and the running sum never spans more than a slice.
+sum over a key's deltas in time order. A key may hold a third of all rows, so references of one key and instant are one row
+of the sum, and a key is cut into time slices: the slices' net existence is a partial aggregate, its prefix sum opens each
+slice, and the running sum never spans more than a slice. The lone instants then pick their rows by a semi-join, whose
+skewed partitions adaptive execution may split.
 
 Defined cases: a null or blank reference refers to nothing; a reference without an instant cannot have a target before it
 and is an orphan; a target row without ``logged_at`` or key never existed; one deleted at or before it was logged existed
@@ -27,7 +29,7 @@ from sparkloom.functions.ids import reference
 from sparkloom.storage import table
 
 #: Seconds of a time slice of a key.
-SLICE_SECONDS = 6 * 3600
+SLICE_SECONDS = 900
 
 
 @dataclass(frozen=True)
@@ -85,23 +87,24 @@ def current_orphans(state: DataFrame) -> DataFrame:
 def orphans_at_reference(references: DataFrame, existence: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """The rows of ``references`` whose key had no existence at their own instant."""
     part = F.floor(F.col("at") / F.lit(slice_seconds * 1_000_000))
-    # Deltas of one key and instant are one: bounded by the distinct instants, and added before the shuffle.
+    # Deltas of one key and instant are one, and so are references: copies of a message refer at the same instant.
     net = existence.groupBy("target", "key", "at").agg(F.sum("existence").alias("existence")).withColumn("part", part)
-    by_slice = net.groupBy("target", "key", "part").agg(F.sum("existence").alias("existence"))
-    none = F.lit(None)
-    instants = F.lit(False).alias("is_ref")
-    columns = ["target", "key", "part", "at", "is_ref", "existence", "ledger", "ref_field", "row_id"]
-    events = net.withColumns({"is_ref": instants, "ledger": none.cast("string"), "ref_field": none.cast("string"), "row_id": none.cast("long")}).select(columns)
-    refs = references.withColumns({"part": part, "is_ref": F.lit(True), "existence": F.lit(0).cast("long")}).select(columns)
+    instants = references.where("at IS NOT NULL").select("target", "key", "at").distinct().withColumn("part", part)
+    none = F.lit(0).cast("long").alias("existence")
     # A slice that has references or deltas opens with what all earlier slices left.
-    named = refs.select("target", "key", "part", F.lit(0).cast("long").alias("existence")).distinct().unionAll(by_slice)
-    slices = named.groupBy("target", "key", "part").agg(F.sum("existence").alias("existence"))
+    slices = instants.select("target", "key", "part", none).unionAll(net.select("target", "key", "part", "existence")).groupBy("target", "key", "part").agg(F.sum("existence").alias("existence"))
     before = Window.partitionBy("target", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     opening = slices.select("target", "key", "part", F.coalesce(F.sum("existence").over(before), F.lit(0)).alias("existence")).where("existence <> 0")
-    opens = opening.select("target", "key", "part", F.lit(-(2**62)).alias("at"), F.lit(False).alias("is_ref"), "existence", none.cast("string").alias("ledger"), none.cast("string").alias("ref_field"), none.cast("long").alias("row_id"))
+    kinds = [
+        instants.select("target", "key", "part", "at", F.lit(True).alias("is_ref"), none),
+        net.select("target", "key", "part", "at", F.lit(False).alias("is_ref"), "existence"),
+        opening.select("target", "key", "part", F.lit(-(2**62)).alias("at"), F.lit(False).alias("is_ref"), "existence"),
+    ]
     running = Window.partitionBy("target", "key", "part").orderBy("at", "is_ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = events.unionAll(refs).unionAll(opens).withColumn("standing", F.sum("existence").over(running))
-    return swept.where("is_ref AND (standing = 0 OR at IS NULL)").select("ledger", "ref_field", "target", "key", "at", "row_id")
+    swept = reduce(DataFrame.unionAll, kinds).withColumn("standing", F.sum("existence").over(running))
+    lone = swept.where("is_ref AND standing = 0").select("target", "key", "at")
+    columns = ["ledger", "ref_field", "target", "key", "at", "row_id"]
+    return references.join(lone, ["target", "key", "at"], "left_semi").select(columns).unionAll(references.where("at IS NULL").select(columns))
 
 
 def _inputs(spark, sf_dir: str, refs: Sequence[ReferenceField]) -> tuple[DataFrame, DataFrame]:

@@ -38,7 +38,7 @@ def lane_draws(grid: DataFrame, weights: dict[str, float], *, run: str, branch:
     return grid.withColumn("lane", cumulative_pick(weights, unit_float(run, branch, seed, F.col("step"), F.col("slot"), "lane")))
 
 
-def ranked_pool(pool: DataFrame, lane: str = "capability_lane", key: str = "document_id", parts: int = 64) -> DataFrame:
+def ranked_pool(pool: DataFrame, lane: str = "capability_lane", key: str = "document_id", parts: int = 4096) -> DataFrame:
     """(lane, key, rank, pool_size): ranks from 0 in an order drawn from the key. The draw's leading digits cut each lane
     into parts that are ranked apart; part sizes are added up to give where each part begins."""
     drawn = pool.select(F.col(lane).alias("lane"), F.col(key), unit_float("pool", F.col(key)).alias("u")).withColumn("part", F.floor(F.col("u") * parts).cast("int"))

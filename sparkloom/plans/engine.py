@@ -124,7 +124,8 @@ def dedup_status_rollup(s, d):
     return dedup_status(s, d).groupBy("dedup_status").agg(F.count("*").alias("documents"))
 
 
-_GROUP = f"concat_ws('/', coalesce(capability_lane, 'unknown'), floor({_unit(chr(39) + 'shard' + chr(39), 'document_id')} * {D.BUCKETS})::INT)"
+PER_SHARD = 64
+_GROUP = f"concat_ws('/', coalesce(capability_lane, 'unknown'), floor({_unit(chr(39) + 'shard' + chr(39), 'document_id')} * (SELECT greatest(1, ceil(max(n) / {PER_SHARD}.0)) FROM (SELECT count(*) AS n FROM documents GROUP BY capability_lane)))::INT)"
 _one = lambda c: f"CASE WHEN min({c}) = max({c}) THEN min({c}) WHEN min({c}) IS NOT NULL THEN 'multi' END"
 _SHARDS = f"""WITH m AS ({_MARKED}), k AS (SELECT *, {_SOURCE} AS src, sha256(text) AS h,
         CASE WHEN dedup_status = 'duplicate' THEN 'held/' ELSE '' END || {_GROUP} AS group_key FROM m WHERE NOT {_BLANK_TEXT}),
@@ -138,23 +139,23 @@ _SHARDS = f"""WITH m AS ({_MARKED}), k AS (SELECT *, {_SOURCE} AS src, sha256(te
 
 @query("shard_manifest_rollup", f"{_SHARDS} SELECT group_key, shard_id, documents, sources, characters, script, data_type, license_tier, dedup_status, content_hash FROM r")
 def shard_manifest_rollup(s, d):
-    return D.shards(table(s, d, "documents")).drop("document_ids")
+    return D.shards(table(s, d, "documents"), PER_SHARD).drop("document_ids")
 
 
 @query("admission_reasons", f"{_SHARDS} SELECT shard_id, admission, array_to_string(reasons, ',') AS reasons FROM r")
 def admission_reasons(s, d):
-    return D.admission(D.shards(table(s, d, "documents"))).select("shard_id", "admission", F.array_join("reasons", ",").alias("reasons"))
+    return D.admission(D.shards(table(s, d, "documents"), PER_SHARD)).select("shard_id", "admission", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("registry_partition", f"{_SHARDS} SELECT admission, count(*) AS shards, sum(documents)::BIGINT AS documents, sum(characters)::BIGINT AS characters FROM r GROUP BY ALL")
 def registry_partition(s, d):
-    return D.registry(D.admission(D.shards(table(s, d, "documents"))))
+    return D.registry(D.admission(D.shards(table(s, d, "documents"), PER_SHARD)))
 
 
 @query("sample_pool", f"{_SHARDS} SELECT u.shard_id, u.admission, u.document_id, d.capability_lane, d.lang, d.license_tier FROM (SELECT shard_id, admission, unnest(document_ids) AS document_id FROM r) u LEFT JOIN documents d USING (document_id)")
 def sample_pool(s, d):
     docs = table(s, d, "documents")
-    return D.sample_pool(D.admission(D.shards(docs)), docs)
+    return D.sample_pool(D.admission(D.shards(docs, PER_SHARD)), docs)
 
 
 @query("provenance_anti", f"SELECT document_id, source FROM documents WHERE {_SOURCE} IS NULL OR {_SOURCE} NOT IN (SELECT {_SOURCE} FROM mixture_targets)")
@@ -169,7 +170,7 @@ def data_card(s, d):
 
 @query("document_order", "SELECT document_id, row_number() OVER (ORDER BY lang, document_id) - 1 AS position FROM documents")
 def document_order(s, d):
-    return D.numbered_in_order(table(s, d, "documents").select("document_id", "lang"), ["document_id"], F.col("lang")).select("document_id", "position")
+    return D.numbered_in_order(table(s, d, "documents").select("document_id", "lang"), ["document_id"], F.concat_ws("|", "lang", F.substring("document_id", 1, 15))).select("document_id", "position")
 
 
 # Schedule and plan ---------------------------------------------------------------------------------------------------
