@@ -17,6 +17,7 @@ are skipped; an entry that is registered several times counts once.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -183,10 +184,18 @@ def occurrences(documents: DataFrame, registry: DataFrame, run_words: int = RUN_
     return out
 
 
+#: The searcher of this worker, by the block of phrases it was made for.
+_SEARCHERS: dict[str, tuple[Searcher, list[list[str]]]] = {}
+
+
 def _search(shared):
+    block = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        searcher, entries = Searcher(wanted), [sorted(e) for e in wanted.values()]
+        if block not in _SEARCHERS:
+            _SEARCHERS.clear()
+            _SEARCHERS[block] = Searcher(shared.value), [sorted(e) for e in shared.value.values()]
+        searcher, entries = _SEARCHERS[block]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found: dict[tuple[int, str], list[tuple[int, int]]] = {}

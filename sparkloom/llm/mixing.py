@@ -32,8 +32,8 @@ from sparkloom.storage import materialize, table
 
 #: Least tokens of a block, and most blocks of a mix (blocks grow with the mix beyond).
 BLOCK_TOKENS, MOST_BLOCKS = 8_192, 1 << 20
-#: Parts of a source's line in the first level of the prefix sum.
-PARTS = 4_096
+#: Leading bits of a document's hash that name its part of the source's line in the first level of the prefix sum.
+PART_BITS = 12
 #: Sources a mix may have; their plan is made on the driver.
 MOST_SOURCES = 100_000
 
@@ -87,7 +87,7 @@ def _schedule(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
 
 def _laid_out(sized: DataFrame) -> DataFrame:
     """``sized`` (doc_id, source, tokens) with ``place``: tokens of the source before the document, in hash order."""
-    spread = sized.withColumn("o", F.xxhash64("doc_id")).withColumn("part", F.shiftrightunsigned("o", 52))
+    spread = sized.withColumn("o", F.xxhash64("doc_id")).withColumn("part", F.shiftrightunsigned("o", 64 - PART_BITS))
     sums = spread.groupBy("source", "part").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     opened = sums.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("opens"))
