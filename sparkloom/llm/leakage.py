@@ -188,14 +188,19 @@ def occurrences(documents: DataFrame, registry: DataFrame, run_words: int = RUN_
 _SEARCHERS: dict[str, tuple[Searcher, list[list[str]]]] = {}
 
 
+def _searcher(block: str, shared) -> tuple[Searcher, list[list[str]]]:
+    """A function of the module, and not part of the task's own code, so that it finds what an earlier task left."""
+    if block not in _SEARCHERS:
+        _SEARCHERS.clear()
+        _SEARCHERS[block] = Searcher(shared.value), [sorted(e) for e in shared.value.values()]
+    return _SEARCHERS[block]
+
+
 def _search(shared):
     block = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if block not in _SEARCHERS:
-            _SEARCHERS.clear()
-            _SEARCHERS[block] = Searcher(shared.value), [sorted(e) for e in shared.value.values()]
-        searcher, entries = _SEARCHERS[block]
+        searcher, entries = _searcher(block, shared)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found: dict[tuple[int, str], list[tuple[int, int]]] = {}

@@ -476,7 +476,16 @@ def vocabulary(documents: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
     return {r.token: r.n for r in counted.orderBy(F.desc("n"), "token").limit(limit).toLocalIterator()}
 
 
-_MODEL: dict = {}
+#: The model of this worker, by the name of its automaton.
+_MODEL: dict[str, Model] = {}
+
+
+def _model(automaton: str, shared) -> Model:
+    """A function of the module, and not part of the task's own code, so that it finds what an earlier task left."""
+    if automaton not in _MODEL:
+        _MODEL.clear()
+        _MODEL[automaton] = Model(shared.value, Lattice(Transducer.map(SparkFiles.get(automaton))))
+    return _MODEL[automaton]
 
 
 def damaged(documents: DataFrame, limit: int = VOCABULARY) -> DataFrame:
@@ -486,10 +495,7 @@ def damaged(documents: DataFrame, limit: int = VOCABULARY) -> DataFrame:
     shared, automaton = spark.sparkContext.broadcast(counts), publish(spark, Lattice.compile(counts).words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if automaton not in _MODEL:
-            _MODEL.clear()
-            _MODEL[automaton] = Model(shared.value, Lattice(Transducer.map(SparkFiles.get(automaton))))
-        model = _MODEL[automaton]
+        model = _model(automaton, shared)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
