@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import bare_hash, decision_id, unit_float
+from sparkloom.functions.ids import BLANKS
 
 #: Most strings that go to every task.
 STRINGS = 10_000
@@ -20,7 +21,7 @@ STRINGS = 10_000
 
 def registry_entries(registry: DataFrame) -> DataFrame:
     """Distinct entries with bare hashes and non-blank strings."""
-    canaries = F.array_sort(F.array_distinct(F.filter(F.coalesce("canary_strings", F.array().cast("array<string>")), lambda s: s.isNotNull() & (F.trim(s) != ""))))
+    canaries = F.array_sort(F.array_distinct(F.filter(F.coalesce("canary_strings", F.array().cast("array<string>")), lambda s: s.isNotNull() & (F.btrim(s, F.lit(BLANKS)) != ""))))
     return registry.select("entry_id", "document_id", "shard_id", bare_hash(F.col("content_hash")).alias("sha"), canaries.alias("canaries")).distinct()
 
 

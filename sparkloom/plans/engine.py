@@ -392,7 +392,7 @@ def packing_wrong_ratios(s, d):
 # Gates ---------------------------------------------------------------------------------------------------------------
 
 _ENTRIES = """SELECT DISTINCT entry_id, document_id, shard_id, regexp_replace(lower(trim(content_hash)), '^sha256:', '') AS sha,
-    list_sort(list_distinct(list_filter(coalesce(canary_strings, []), lambda s: s IS NOT NULL AND trim(s) <> ''))) AS canaries FROM eval_registry"""
+    list_sort(list_distinct(list_filter(coalesce(canary_strings, []), lambda s: s IS NOT NULL AND trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) <> ''))) AS canaries FROM eval_registry"""
 _OVERLAPS = f"""WITH e AS ({_ENTRIES}), o AS (SELECT DISTINCT candidate_id, 'shard' AS reason, entry_id FROM (SELECT candidate_id, unnest(shard_ids) AS k FROM candidates) c JOIN e ON e.shard_id = k
     UNION SELECT DISTINCT candidate_id, 'document', entry_id FROM (SELECT candidate_id, unnest(sample_ids) AS k FROM candidates) c JOIN e ON e.document_id = k)"""
 

@@ -148,7 +148,7 @@ def test_documents(spark):
 
 def test_text_overlaps(spark):
     docs = spark.createDataFrame([("a", "so ONE Amber sluice measures it"), ("b", "one amberx sluice"), ("c", None), ("d", "canary")], "document_id string, text string")
-    reg = spark.createDataFrame([("e", None, None, None, ["one amber sluice", " ", None]), ("f", None, None, None, ["CANARY"]), ("g", None, None, None, None)], "entry_id string, document_id string, shard_id string, content_hash string, canary_strings array<string>")
+    reg = spark.createDataFrame([("e", None, None, None, ["one amber sluice", " ", " \n\t", None]), ("f", None, None, None, ["CANARY"]), ("g", None, None, None, None)], "entry_id string, document_id string, shard_id string, content_hash string, canary_strings array<string>")
     for limit in (100, 1):
         assert {tuple(r) for r in G.text_overlaps(docs, reg, limit).collect()} == {("a", "e"), ("d", "f")}
     assert G.text_overlaps(docs, reg.limit(0)).count() == 0
