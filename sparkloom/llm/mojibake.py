@@ -55,6 +55,8 @@ WIDE_WRONG, WIDE_RIGHT = ("gbk", "big5", "cp932", "cp949", "euc_jp"), ("cp932",
 ENTER_UTF8, ENTER_SINGLE, ENTER_LOST, ENTER_WIDE, SEQUENCE, IN_PLACE, LEFT_OVER = 2.2, 6.0, 2.5, 4.0, 1.5, 2.5, 1.5
 #: Frequency of a token that the corpus does not know; least count of one that it knows.
 UNKNOWN, KNOWN = 0.1, 3
+#: Share of the corpus's tokens from which one is its own.
+OFTEN = 2e-5
 LOST = "�"
 #: Last characters kept at each byte of a lattice of characters.
 BEAM = 12
@@ -122,6 +124,8 @@ class Model:
 
     def __init__(self, counts: dict[str, int], lattice: Lattice | None = None) -> None:
         self.counts = counts
+        #: Log frequency from which a token counts as the corpus's own, however odd.
+        self.often = log(max(10.0, OFTEN * sum(counts.values())))
         self.chars: Counter = Counter()
         for t, n in counts.items():
             if n >= KNOWN:
@@ -174,10 +178,10 @@ class Model:
         for codec, repaired, places, left in self._utf8(token):
             word = self._word(repaired)
             fits, alone = self._fit(repaired, places)
-            if word > log(KNOWN):
-                evidence = word - own + (max(SEQUENCE, fits) if word > own else 0.0)
-            else:
-                evidence = log(UNKNOWN) - own - 1.0 if alone else log(UNKNOWN) - own + fits - LEFT_OVER * left
+            # A repaired token that the corpus knows better, or characters that fit where the corpus has their like.
+            evidence = word - own + max(SEQUENCE, fits) if word > log(KNOWN) and word > own else log(UNKNOWN)
+            if not alone:
+                evidence = max(evidence, fits - LEFT_OVER * left - max(0.0, own - self.often))
             offer(f"utf-8>{codec}", evidence, ENTER_UTF8, repaired)
             if depth > 1 and left <= 0 and not repaired.isascii():
                 for channel, more, _, again in self.readings(repaired, depth - 1):
