@@ -5,7 +5,7 @@ frequent words, compiled into a :class:`Transducer` with their ids) are found by
 a word the lexicon lacks goes through the merges of the rank file themselves, once per batch and distinct word. The
 lexicon only saves time: any lexicon, an empty one included, gives the same ids.
 
-Null and empty texts have no ids (an empty list).
+Null and empty texts have no ids (an empty list). Bytes that are no valid UTF-8 are read as U+FFFD.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def _words_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def frequent_words(texts: DataFrame, column: str, limit: int = LEXICON_WORDS, least: int = 4) -> list[bytes]:
     """The most frequent words of all texts: at most ``limit``, each occurring ``least`` times or more, 64 bytes at most."""
-    counted = texts.select(column).mapInArrow(_words_of_batches, "word binary, n long").where("length(word) <= 64").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.select(F.make_valid_utf8(column)).mapInArrow(_words_of_batches, "word binary, n long").where("length(word) <= 64").groupBy("word").agg(F.sum("n").alias("n"))
     return sorted(bytes(r[0]) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(limit).select("word").toLocalIterator())
 
 
@@ -254,7 +254,7 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), ids], names=[id_column, "ids"])
                 at += len(ids)
 
-    slim = df.select(id_column, text_column)
+    slim = df.select(id_column, F.make_valid_utf8(text_column).alias(text_column))
     return slim.mapInArrow(run, f"`{id_column}` {slim.dtypes[0][1]}, ids array<int>")
 
 
@@ -271,5 +271,5 @@ def token_counts(df: DataFrame, text_column: str = "text", folder: str = TOKENIZ
             n = pa.array(encoder.counts(batch.column(len(others))), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], n], names=[*others, out])
 
-    slim = df.select(*others, text_column)
+    slim = df.select(*others, F.make_valid_utf8(text_column).alias(text_column))
     return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField(out, T.LongType())]))

@@ -172,7 +172,7 @@ def occurrences(documents: DataFrame, registry: DataFrame, run_words: int = RUN_
     """(doc_id, entry_id, first_word, words, span_start, span_end): runs of words of an entry in a document, merged where
     they touch or overlap; spans are code points of the text, end exclusive."""
     schema = "doc_id long, entry_id string, first_word int, words int, span_start int, span_end int"
-    slim, parts = documents.select("doc_id", "text").where("text IS NOT NULL"), []
+    slim, parts = documents.where("text IS NOT NULL").select("doc_id", F.make_valid_utf8("text").alias("text")), []
     for block in _blocks(_registry(registry), run_words):
         shared = documents.sparkSession.sparkContext.broadcast(block)
         parts.append(slim.mapInArrow(_search(shared), schema))

@@ -78,6 +78,8 @@ def test_corpus(spark, tmp_path):
     out = {r.doc_id: list(r.ids) for r in encoder.encode_texts(df).collect()}
     assert out == dict(enumerate(want(ODD * 3)))
     assert encoder.encode_texts(df.limit(0)).count() == 0
+    broken = spark.createDataFrame([(1, bytearray(b"a\xffb")), (2, bytearray(b"ok"))], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) AS text")
+    assert {r.doc_id: list(r.ids) for r in encoder.encode_texts(broken).collect()} == dict(zip((1, 2), want(["a\ufffdb", "ok"]), strict=True))
 
 
 def test_budget(spark):
