@@ -176,8 +176,9 @@ def pack_blocks(blocks: DataFrame, islands: int = ISLANDS, epochs: int = EPOCHS,
     state = started.where("bins > least").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     state = state.withColumns({"pool": F.array("best"), "guest": F.lit(None).cast("array<int>")})
     for e in range(epochs):
-        # Few rows with much work each: one task per core, not per megabyte.
-        spread = state.repartition(2 * state.sparkSession.sparkContext.defaultParallelism, "grp", "block", "island")
+        # Few rows with much work each: tasks by cores and not by megabytes. By keys the repartitioning would be dropped after
+        # the join of the migration, which has the same keys, and the join's own is coalesced by size.
+        spread = state.repartition(2 * state.sparkSession.sparkContext.defaultParallelism)
         grown = materialize(spread.mapInArrow(_epoch(e, generations), _STATE), f"windows-epoch{e}")
         # The elite of each island visits the next one.
         elite = grown.select(*key, ((F.col("island") + 1) % islands).alias("island"), F.col("best").alias("guest"))
