@@ -35,3 +35,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, label: str, most_rows: int) -> DataFrame:
+    """``df``, worked out once, with a broadcast hint if it has at most ``most_rows`` rows; else the join is left to shuffle."""
+    from pyspark.sql.functions import broadcast
+
+    kept = materialize(df, label)
+    return broadcast(kept) if kept.limit(most_rows + 1).count() <= most_rows else kept
