@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import table
+from sparkloom.storage import small_side, table
 
 #: Ids that end a line, a sentence and a word.
 LINE, SENTENCE, SPACE = 1, 16, 3
@@ -28,6 +28,8 @@ PENALTIES = (0.0, 0.15, 0.6, 5.0)
 PIECE_COST, BALANCE = 1.0, 2.0
 #: Ids shared by neighbouring pieces.
 OVERLAP = 32
+#: Most runs whose limits go to every task (some 50 bytes each).
+BROADCAST_RUNS = 200_000
 
 
 def cut_points(ids: np.ndarray, limit: int, overlap: int) -> np.ndarray:
@@ -109,9 +111,10 @@ def split(records: DataFrame, overlap: int = OVERLAP, ids: str = "token_ids", li
 
 def agentic_pieces(spark, sf_dir: str, overlap: int = OVERLAP) -> DataFrame:
     """The pieces of the agentic records that exceed their run's window."""
-    # A run may hold a third of the records: the limits are small, and are broadcast or split by size at run time.
     records = table(spark, sf_dir, "agentic").select("document_id", "shard_id", "run_id", "token_ids").where("size(token_ids) > 0 AND run_id IS NOT NULL")
-    return split(records.join(run_limits(table(spark, sf_dir, "packing_utilization")), "run_id"), overlap)
+    # The records stay where they are, unless there are very many runs; a run may hold a third of the records.
+    limits = small_side(run_limits(table(spark, sf_dir, "packing_utilization")), "run-limits", BROADCAST_RUNS)
+    return split(records.join(limits, "run_id"), overlap)
 
 
 def found(spark, sf_dir: str) -> DataFrame:
