@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.splitting import run_limits
-from sparkloom.storage import materialize, table
+from sparkloom.llm.splitting import BROADCAST_RUNS, run_limits
+from sparkloom.storage import materialize, small_side, table
 
 #: Pieces of a block, islands of a block, epochs with a migration after each, generations of an epoch, chromosomes of an island.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 512, 3, 2, 40, 8
@@ -191,12 +191,11 @@ def pieces_of(records: DataFrame, limits: DataFrame) -> DataFrame:
     """(grp, capacity, document_id, shard_id, piece, begin, size): records and parts of long ones, without their ids."""
     row = limits.agg(F.min("seq_len").alias("n")).first()
     shortest = row.n or FALLBACK
-    slim = records.select("document_id", "shard_id", "run_id", "token_ids")
-    joined = slim.join(limits, "run_id", "left").withColumns({"grp": F.when(F.col("seq_len").isNull(), F.lit("")).otherwise(F.concat(F.lit("run "), "run_id")), "capacity": F.coalesce("seq_len", F.lit(shortest)).cast("int")}).drop("run_id", "seq_len")
-    size = F.coalesce(F.size("token_ids"), F.lit(0))
+    # Ids are counted before anything is joined.
+    slim = records.select("document_id", "shard_id", "run_id", F.greatest(F.size("token_ids"), F.lit(0)).alias("length"))
+    whole = slim.join(limits, "run_id", "left").withColumns({"grp": F.when(F.col("seq_len").isNull(), F.lit("")).otherwise(F.concat(F.lit("run "), "run_id")), "capacity": F.coalesce("seq_len", F.lit(shortest)).cast("int")}).drop("run_id", "seq_len")
     keys = ["grp", "capacity", "document_id", "shard_id"]
     # A long record leaves as little as can be: whole windows and one rest.
-    whole = joined.select(*keys, size.alias("length"))
     numbered = whole.select(*keys, "length", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr("(length - 1) div capacity").cast("int")))).alias("piece"))
     begin = F.col("piece") * F.col("capacity")
     return numbered.select(*keys, "piece", begin.alias("begin"), F.least(F.col("capacity"), F.col("length") - begin).alias("size"))
@@ -205,7 +204,7 @@ def pieces_of(records: DataFrame, limits: DataFrame) -> DataFrame:
 def windows(records: DataFrame, report: DataFrame) -> DataFrame:
     """(grp, capacity, block, window, document_id, shard_id, piece, begin, size): the window of every piece. ``grp`` is ``run `` and
     the run's id, or empty without a window length."""
-    pieces = materialize(pieces_of(records, run_limits(report)), "windows-pieces")
+    pieces = materialize(pieces_of(records, small_side(run_limits(report), "run-limits", BROADCAST_RUNS)), "windows-pieces")
     full = pieces.where("size > 0 AND size < capacity")
     # A hash deals a run's pieces into as many blocks as its number asks for; the counts are one row per run.
     counts = full.groupBy("grp").agg(F.count("*").alias("n"))
