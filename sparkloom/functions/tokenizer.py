@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.hashing import tokenizer_hash
+from sparkloom.storage import map_batches
 
 
 class FrozenTokenizer:
@@ -70,7 +71,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", out: str = "ids") ->
             ids = tokenizer.encode_batch([x or "" for x in batch.column(columns.index(text)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*columns, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def tokenize_turns(df: DataFrame, path: str, key: str, text: str = "text", role: str = "assistant") -> DataFrame:

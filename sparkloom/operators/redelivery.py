@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.ids import attempt_or_zero, clean_id
-from sparkloom.storage import materialize, table
+from sparkloom.storage import map_batches, materialize, table
 
 #: Deletion-vector words (about 40 bytes each when hashed) that may be broadcast; beyond it files are read one by one.
 BROADCAST_WORDS = 400_000
@@ -118,7 +118,7 @@ def _file_by_file(df: DataFrame, vectors: DataFrame, surplus: bool) -> DataFrame
                         if kept.num_rows:
                             yield pa.RecordBatch.from_arrays([kept.column(f.name).cast(f.type) for f in target], schema=target)
 
-    return plan.repartition("path").mapInArrow(read, df.schema)
+    return map_batches(plan.repartition("path"), read, df.schema)
 
 
 def _apply(df: DataFrame, identity: MessageIdentity, surplus: bool, broadcast_words: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.ledger import assigned_offsets
 from sparkloom.sources import shardfiles
+from sparkloom.storage import map_batches
 
 
 def write_atomic(path: str, data: bytes) -> None:
@@ -51,7 +52,7 @@ def write_shards(records: DataFrame, folder: str, ids: str = "token_ids") -> Dat
                 write_atomic(files[-1], data)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(files, pa.string())], names=["shard_id", "content_hash", "token_count", "file"])
 
-    return slim.mapInArrow(run, "shard_id string, content_hash string, token_count int, file string")
+    return map_batches(slim, run, "shard_id string, content_hash string, token_count int, file string")
 
 
 def append_ledger(committed: DataFrame, path: str, start: int = 0) -> None:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +47,37 @@ def small_side(df: DataFrame, label: str, most_rows: int) -> DataFrame:
 
     kept = materialize(df, label)
     return broadcast(kept) if kept.limit(most_rows + 1).count() <= most_rows else kept
+
+
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file into the shared folder; gives its path."""
+    path = f"{shared_dir(spark)}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(data)
+    out.close()
+    return path
+
+
+#: Applications whose workers have this package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, now and later; once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root, data = Path(__file__).parent, io.BytesIO()
+    if root.is_dir():  # else the package itself came as an archive
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, str(file.relative_to(root.parent)))
+        spark.sparkContext.addPyFile(put(spark, f"{root.name}-{uuid.uuid4().hex}.zip", data.getvalue()))
+    _SHIPPED.add(app)
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` for functions of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
