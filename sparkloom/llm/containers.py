@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.splitting import BROADCAST_RUNS, run_limits
-from sparkloom.storage import materialize, small_side, table
+from sparkloom.storage import map_batches, materialize, small_side, table
 
 #: Pieces of a block, islands of a block, epochs with a migration after each, generations of an epoch, chromosomes of an island.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 512, 3, 2, 40, 8
@@ -171,7 +171,7 @@ _STATE = "grp string, capacity int, block long, sizes array<int>, least int, isl
 
 def pack_blocks(blocks: DataFrame, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
     """(grp, block, best): window number of each piece of ``blocks`` (grp, capacity, block, sizes in falling order)."""
-    started = materialize(blocks.select("grp", "capacity", "block", "sizes").mapInArrow(_start, "grp string, capacity int, block long, sizes array<int>, best array<int>, bins int, least int"), "windows-start")
+    started = materialize(map_batches(blocks.select("grp", "capacity", "block", "sizes"), _start, "grp string, capacity int, block long, sizes array<int>, best array<int>, bins int, least int"), "windows-start")
     key = ["grp", "block"]
     state = started.where("bins > least").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     state = state.withColumns({"pool": F.array("best"), "guest": F.lit(None).cast("array<int>")})
@@ -179,7 +179,7 @@ def pack_blocks(blocks: DataFrame, islands: int = ISLANDS, epochs: int = EPOCHS,
         # Few rows with much work each: tasks by cores and not by megabytes. By keys the repartitioning would be dropped after
         # the join of the migration, which has the same keys, and the join's own is coalesced by size.
         spread = state.repartition(2 * state.sparkSession.sparkContext.defaultParallelism)
-        grown = materialize(spread.mapInArrow(_epoch(e, generations), _STATE), f"windows-epoch{e}")
+        grown = materialize(map_batches(spread, _epoch(e, generations), _STATE), f"windows-epoch{e}")
         # The elite of each island visits the next one.
         elite = grown.select(*key, ((F.col("island") + 1) % islands).alias("island"), F.col("best").alias("guest"))
         state = grown.join(elite, [*key, "island"], "left")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.transducer import Transducer
-from sparkloom.storage import shared_dir
+from sparkloom.storage import map_batches, put
 
 #: Folder of the vocabulary files, the same on every machine.
 TOKENIZERS = os.environ.get("SPARKLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -209,7 +209,7 @@ def _words_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def frequent_words(texts: DataFrame, column: str, limit: int = LEXICON_WORDS, least: int = 4) -> list[bytes]:
     """The most frequent words of all texts: at most ``limit``, each occurring ``least`` times or more, 64 bytes at most."""
-    counted = texts.select(F.make_valid_utf8(column)).mapInArrow(_words_of_batches, "word binary, n long").where("length(word) <= 64").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = map_batches(texts.select(F.make_valid_utf8(column)), _words_of_batches, "word binary, n long").where("length(word) <= 64").groupBy("word").agg(F.sum("n").alias("n"))
     return sorted(bytes(r[0]) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(limit).select("word").toLocalIterator())
 
 
@@ -227,12 +227,7 @@ def publish_lexicon(texts: DataFrame, column: str = "text", folder: str = TOKENI
 def publish(spark: SparkSession, automaton: Transducer) -> str:
     """Put an automaton into the shared folder and hand it to every executor, now and later; gives its name."""
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = f"{shared_dir(spark)}/{name}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-    out.write(automaton.dump())
-    out.close()
-    spark.sparkContext.addFile(path)
+    spark.sparkContext.addFile(put(spark, name, automaton.dump()))
     return name
 
 
@@ -255,7 +250,7 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 at += len(ids)
 
     slim = df.select(id_column, F.make_valid_utf8(text_column).alias(text_column))
-    return slim.mapInArrow(run, f"`{id_column}` {slim.dtypes[0][1]}, ids array<int>")
+    return map_batches(slim, run, f"`{id_column}` {slim.dtypes[0][1]}, ids array<int>")
 
 
 def token_counts(df: DataFrame, text_column: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, out: str = "tokens") -> DataFrame:
@@ -272,4 +267,4 @@ def token_counts(df: DataFrame, text_column: str = "text", folder: str = TOKENIZ
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], n], names=[*others, out])
 
     slim = df.select(*others, F.make_valid_utf8(text_column).alias(text_column))
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField(out, T.LongType())]))
+    return map_batches(slim, run, T.StructType([*slim.schema.fields[:-1], T.StructField(out, T.LongType())]))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.fmindex import FMIndex
 from sparkloom.llm.transducer import Transducer
-from sparkloom.storage import table
+from sparkloom.storage import map_batches, table
 
 RUN_WORDS = 8
 #: Phrases searched at once (each at most RUN_WORDS words) and words of text in one index; a longer text is taken whole.
@@ -175,7 +175,7 @@ def occurrences(documents: DataFrame, registry: DataFrame, run_words: int = RUN_
     slim, parts = documents.where("text IS NOT NULL").select("doc_id", F.make_valid_utf8("text").alias("text")), []
     for block in _blocks(_registry(registry), run_words):
         shared = documents.sparkSession.sparkContext.broadcast(block)
-        parts.append(slim.mapInArrow(_search(shared), schema))
+        parts.append(map_batches(slim, _search(shared), schema))
     if not parts:
         return documents.sparkSession.createDataFrame([], schema)
     out = parts[0]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.ids import reference
 from sparkloom.llm.encoder import TOKENIZERS, VOCABULARY, token_counts
-from sparkloom.storage import materialize, table
+from sparkloom.storage import map_batches, materialize, table
 
 #: Least tokens of a block, and most blocks of a mix (blocks grow with the mix beyond).
 BLOCK_TOKENS, MOST_BLOCKS = 8_192, 1 << 20
@@ -82,7 +82,7 @@ def _schedule(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
                 sources, numbers = zip(*pfair(blocks), strict=True) if blocks else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), pa.array(range(len(numbers)), pa.int64())], names=["source", "block", "slot"])
 
-    return spark.range(1, numPartitions=1).mapInArrow(run, "source string, block long, slot long")
+    return map_batches(spark.range(1, numPartitions=1), run, "source string, block long, slot long")
 
 
 def _laid_out(sized: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.encoder import publish
 from sparkloom.llm.transducer import Transducer
-from sparkloom.storage import table
+from sparkloom.storage import map_batches, table
 
 #: Tokens of the language model, and the longest token in it.
 VOCABULARY, LONGEST = 300_000, 48
@@ -476,7 +476,7 @@ def _odd(text: str) -> bool:
 
 def vocabulary(documents: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
     """The corpus's most frequent tokens beyond ASCII with their counts, at most ``limit``."""
-    counted = documents.select(F.make_valid_utf8("text").alias("text")).mapInArrow(_count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = map_batches(documents.select(F.make_valid_utf8("text").alias("text")), _count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
     return {r.token: r.n for r in counted.orderBy(F.desc("n"), "token").limit(limit).toLocalIterator()}
 
 
@@ -509,7 +509,7 @@ def damaged(documents: DataFrame, limit: int = VOCABULARY) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "passages", "channels", "restored"])
 
-    return documents.select("doc_id", F.make_valid_utf8("text").alias("text")).where(r"text RLIKE '[^\\x00-\\x7F]'").mapInArrow(run, "doc_id long, passages int, channels array<string>, restored string")
+    return map_batches(documents.select("doc_id", F.make_valid_utf8("text").alias("text")).where(r"text RLIKE '[^\\x00-\\x7F]'"), run, "doc_id long, passages int, channels array<string>, restored string")
 
 
 def found(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import small_side, table
+from sparkloom.storage import map_batches, small_side, table
 
 #: Ids that end a line, a sentence and a word.
 LINE, SENTENCE, SPACE = 1, 16, 3
@@ -106,7 +106,7 @@ def split(records: DataFrame, overlap: int = OVERLAP, ids: str = "token_ids", li
 
     kept = [chosen.schema[c] for c in others]
     added = [T.StructField(c, T.IntegerType()) for c in ("piece", "pieces", "begin")]
-    return chosen.mapInArrow(run, T.StructType([*kept, *added, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return map_batches(chosen, run, T.StructType([*kept, *added, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def agentic_pieces(spark, sf_dir: str, overlap: int = OVERLAP) -> DataFrame:
