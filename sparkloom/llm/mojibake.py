@@ -187,14 +187,14 @@ class Model:
                 for channel, more, _, again in self.readings(repaired, depth - 1):
                     if channel.startswith("utf-8>") and more > 0:
                         offer(f"{channel} utf-8>{codec}", more + self.score(normal(repaired)) - own, ENTER_UTF8, again)
-        if own < log(50):
-            for right, wrong in SINGLE:
-                repaired = token.translate(_char_map(right, wrong))
-                if repaired != token:
-                    plain = normal(repaired)
-                    if self.count(plain) >= KNOWN and not plain.isascii() and any(c.isalpha() for c in plain):
-                        offer(f"{right}>{wrong}", self.score(plain) - own, ENTER_SINGLE, repaired)
-            self._wide(token, own, offer)
+        # What the corpus has more often than its repaired form has evidence below 0, whatever the size of the corpus.
+        for right, wrong in SINGLE:
+            repaired = token.translate(_char_map(right, wrong))
+            if repaired != token:
+                plain = normal(repaired)
+                if self.count(plain) >= KNOWN and not plain.isascii() and any(c.isalpha() for c in plain):
+                    offer(f"{right}>{wrong}", self.score(plain) - own, ENTER_SINGLE, repaired)
+        self._wide(token, own, offer)
         if LOST in token and not any(c.startswith("utf-8>") for c in out):
             self._lost(token, own, offer)
         found = [(c, e, n, r) for c, (e, n, r) in out.items()]
@@ -268,7 +268,7 @@ class Model:
                     good = [c for c in repaired if ord(c) > 127]
                     known = sum(self.chars.get(c, 0) >= KNOWN for c in good)
                     if known >= 3 and known == len(good):
-                        offer(f"{right}>{wrong}", log(UNKNOWN) - own + SEQUENCE * (known - 1), ENTER_WIDE, repaired)
+                        offer(f"{right}>{wrong}", SEQUENCE * (known - 1) - max(0.0, own - self.often), ENTER_WIDE, repaired)
 
     def _spell(self, data: list[int | None]) -> str:
         """Viterbi over the UTF-8 characters along a lattice of bytes (None: any byte), scored by which characters stand side by

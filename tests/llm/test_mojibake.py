@@ -57,6 +57,19 @@ def test_single_bytes_misread(model, k, right, wrong):
     assert M.restored(bad, M.passages(bad, model)) == SOUND[k]
 
 
+@pytest.mark.parametrize("scale", [1, 100])
+@pytest.mark.parametrize(("k", "right", "wrong"), [(4, "cp1252", "cp850"), (2, "koi8-r", "cp1251"), (2, "cp1251", "cp1252"), (0, "cp1252", "cp437")])
+def test_single_bytes_misread_at_any_size(k, right, wrong, scale):
+    counts: Counter = Counter()
+    bad = damage(SOUND[k], right, wrong)
+    for text, n in [*((t, 60) for t in SOUND), (bad, 2)]:
+        for _, t in M.tokens_of(text):
+            counts[M.normal(t)] += n * scale
+    big = M.Model(dict(counts))
+    assert M.restored(bad, M.passages(bad, big)) == SOUND[k]
+    assert [t for t in SOUND if M.passages(t, big)] == []
+
+
 def test_lost_bytes(model):
     bad = SOUND[4].encode("cp1252").decode("ascii", "replace")
     assert M.restored(bad, M.passages(bad, model)) == SOUND[4]
