@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.encoder import publish
 from sparkloom.llm.transducer import Transducer
-from sparkloom.storage import map_batches, table
+from sparkloom.storage import map_batches, small_side, table
 
 #: Tokens of the language model, and the longest token in it.
 VOCABULARY, LONGEST = 300_000, 48
@@ -55,8 +55,10 @@ WIDE_WRONG, WIDE_RIGHT = ("gbk", "big5", "cp932", "cp949", "euc_jp"), ("cp932",
 ENTER_UTF8, ENTER_SINGLE, ENTER_LOST, ENTER_WIDE, SEQUENCE, IN_PLACE, LEFT_OVER = 2.2, 6.0, 2.5, 4.0, 1.5, 2.5, 1.5
 #: Frequency of a token that the corpus does not know; least count of one that it knows.
 UNKNOWN, KNOWN = 0.1, 3
-#: Share of the corpus's tokens from which one is its own.
-OFTEN = 2e-5
+#: Share of the corpus's tokens from which one is its own; least share of the tokens that a character known to it is in.
+OFTEN, FAMILIAR = 2e-5, 6e-7
+#: Most texts with more than ``KNOWN`` copies whose hashes go to every task (16 bytes each).
+COPIED = 200_000
 LOST = "�"
 #: Last characters kept at each byte of a lattice of characters.
 BEAM = 12
@@ -126,6 +128,8 @@ class Model:
         self.counts = counts
         #: Log frequency from which a token counts as the corpus's own, however odd.
         self.often = log(max(10.0, OFTEN * sum(counts.values())))
+        #: Count from which a character is known: damage becomes more frequent with the corpus, and so must this.
+        self.familiar = max(float(KNOWN), FAMILIAR * sum(counts.values()))
         self.chars: Counter = Counter()
         for t, n in counts.items():
             if n >= KNOWN:
@@ -242,7 +246,13 @@ class Model:
     def _wide(self, token: str, own: float, offer) -> None:
         """Readings by encodings of several bytes to a character."""
         upper = sum(ord(c) > 0x2E7F for c in token)
-        strange = sum(ord(c) > 127 and self.chars.get(c, 0) < KNOWN for c in token)
+        # A token is judged by the rest of the corpus: its own copies do not make its characters known.
+        mine: Counter = Counter()
+        for piece in {normal(p) for p in (_CLAUSE.findall(token) if _UNSPACED.search(token) else (token,))}:
+            if (n := self.count(piece)) >= KNOWN:
+                for c in set(piece):
+                    mine[c] += n
+        strange = sum(ord(c) > 127 and self.chars.get(c, 0) - mine[c] < self.familiar for c in token)
         if upper >= 2 and strange * 3 >= upper:
             for wrong in WIDE_WRONG:
                 data = _encoded(token, wrong)
@@ -250,8 +260,8 @@ class Model:
                     continue
                 repaired = self._spell(data)
                 bad, good = repaired.count(LOST), [c for c in repaired if ord(c) > 127 and c != LOST]
-                known = sum(self.chars.get(c, 0) >= KNOWN for c in good)
-                before = sum(self.chars.get(c, 0) >= KNOWN for c in token if ord(c) > 127)
+                known = sum(self.chars.get(c, 0) >= self.familiar for c in good)
+                before = sum(self.chars.get(c, 0) - mine[c] >= self.familiar for c in token if ord(c) > 127)
                 if known > bad and known >= 2 and known > before:
                     offer(f"utf-8>{wrong}", SEQUENCE * (known - before), ENTER_WIDE, repaired)
         elif upper < 2 and sum(ord(c) > 127 for c in token) >= 4:
@@ -452,18 +462,25 @@ def restored(text: str, found: list[tuple[int, int, str, str]]) -> str:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of (text, weight) with the sum of their weights; without a weight every text counts once."""
     for batch in batches:
         raw: Counter = Counter()
-        for text in batch.column(0).to_pylist():
+        weights = batch.column(1).to_pylist() if batch.num_columns > 1 else [1.0] * batch.num_rows
+        for text, weight in zip(batch.column(0).to_pylist(), weights, strict=True):
             if text and not text.isascii():
-                raw.update(t for t in text.split() if not t.isascii()) if not _odd(text) else raw.update(t for _, t in tokens_of(text))
+                found = [t for t in text.split() if not t.isascii()] if not _odd(text) else [t for _, t in tokens_of(text)]
+                if weight == 1.0:
+                    raw.update(found)
+                else:
+                    for t in found:
+                        raw[t] += weight
         total: Counter = Counter()
         for t, n in raw.items():
             # Scripts without spaces are counted by clause.
             for piece in _CLAUSE.findall(t) if _UNSPACED.search(t) else (t,):
                 if len(piece) <= LONGEST and not (w := normal(piece)).isascii():
                     total[w] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([float(n) for n in total.values()], pa.float64())], names=["token", "n"])
 
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -475,8 +492,14 @@ def _odd(text: str) -> bool:
 
 
 def vocabulary(documents: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
-    """The corpus's most frequent tokens beyond ASCII with their counts, at most ``limit``."""
-    counted = map_batches(documents.select(F.make_valid_utf8("text").alias("text")), _count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    """The corpus's most frequent tokens beyond ASCII with their counts, at most ``limit``.
+
+    All copies of a text together count ``KNOWN`` times at most, so that a text, damaged or not, does not become sound by
+    being copied. Only hashes are shuffled."""
+    texts = documents.select(F.make_valid_utf8("text").alias("text")).where(r"text RLIKE '[^\\x00-\\x7F]'").withColumn("h", F.xxhash64("text"))
+    copied = small_side(texts.groupBy("h").agg(F.count("*").alias("copies")).where(f"copies > {KNOWN}"), "copied-texts", COPIED)
+    weighed = texts.join(copied, "h", "left").select("text", F.coalesce(F.lit(float(KNOWN)) / F.col("copies"), F.lit(1.0)).alias("weight"))
+    counted = map_batches(weighed, _count, "token string, n double").groupBy("token").agg(F.round(F.sum("n")).cast("long").alias("n")).where("n > 1")
     return {r.token: r.n for r in counted.orderBy(F.desc("n"), "token").limit(limit).toLocalIterator()}
 
 

@@ -80,6 +80,30 @@ def test_misread_mark_at_the_start(model):
     assert M.passages("ï»¿def f():", model) and M.passages("ï»¿" + SOUND[6], model)
 
 
+WIDE = "古い検査点は誰も読まない。混合表が満杯になる。", "混合表が満杯になる。検査点は誰も読まない。"
+
+
+def test_repeated_clause_is_no_proof_of_its_characters():
+    bad = WIDE[0].encode("utf-8").decode("gbk", "replace")
+    for copies, scale in ((0, 1), (3, 1), (3, 100)):
+        counts: Counter = Counter()
+        for text, n in [*((t, 60) for t in (*SOUND, *WIDE)), (bad, copies)]:
+            for _, t in M.tokens_of(text):
+                for piece in M._CLAUSE.findall(t) if M._UNSPACED.search(t) else (t,):
+                    if n and len(piece) <= M.LONGEST:
+                        counts[M.normal(piece)] += n * scale
+        model = M.Model(dict(counts))
+        assert [c for _, _, c, _ in M.passages(bad, model)] == ["utf-8>gbk"], (copies, scale)
+        assert [t for t in (*SOUND, *WIDE) if M.passages(t, model)] == []
+
+
+def test_copies_of_one_damaged_text(spark):
+    sound = [f"{t} {k}" for t in SOUND for k in range(40)]
+    bad = [damage(SOUND[4], "cp1252", "cp850")] * 64
+    df = spark.createDataFrame(list(enumerate(sound + bad)), "doc_id long, text string")
+    assert {r.doc_id: r.restored for r in M.damaged(df).collect()} == {i: SOUND[4] for i in range(len(sound), len(sound) + len(bad))}
+
+
 def test_operator(spark):
     rows = [t for t in SOUND for _ in range(8)] + [damage(SOUND[0], "utf-8", "cp1252"), None, "", EXAMPLES[0]]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, restored string")
