@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import json_hash
+from sparkloom.storage import small_side
 
 PAD = 0
+#: Most runs whose window lengths go to every task (some 50 bytes each).
+BROADCAST_RUNS = 200_000
 
 
 def offsets(records: DataFrame, group: str = "shard_id", order: str = "document_id", ids: str = "token_ids") -> DataFrame:
@@ -50,8 +53,8 @@ def concat_and_chop(records: DataFrame, length: int, group: str = "shard_id", or
     )
 
 
-def one_per_window(records: DataFrame, length: int, order: str = "document_id", ids: str = "token_ids", truncate: bool = True) -> DataFrame:
-    """One window per record: cut at ``length`` (or, without ``truncate``, longer records left out) and padded."""
+def one_per_window(records: DataFrame, length: int | Column, order: str = "document_id", ids: str = "token_ids", truncate: bool = True) -> DataFrame:
+    """One window per record: cut at ``length``, which may be a column (or, without ``truncate``, longer records left out) and padded."""
     kept = records.where(F.size(ids) > 0) if truncate else records.where((F.size(ids) > 0) & (F.size(ids) <= length))
     useful = F.least(F.size(ids), F.lit(length))
     pad = F.lit(length) - F.col("useful")
@@ -65,8 +68,14 @@ def one_per_window(records: DataFrame, length: int, order: str = "document_id",
     )
 
 
+def at_run_length(records: DataFrame, report: DataFrame, default: int) -> DataFrame:
+    """``records`` with ``seq_len``, the window length of their run by the packing report; ``default`` where it has none."""
+    limits = report.where("seq_len > 0 AND run_id IS NOT NULL").groupBy("run_id").agg(F.max("seq_len").alias("seq_len"))
+    return records.join(small_side(limits, "run-lengths", BROADCAST_RUNS), "run_id", "left").withColumn("seq_len", F.coalesce("seq_len", F.lit(default)))
+
+
 #: Policies by name: a function of (records, length) that gives tokens, document_ids, spans and useful. Add your own.
-POLICIES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
+POLICIES: dict[str, Callable[[DataFrame, int | Column], DataFrame]] = {
     "concat_and_chop": concat_and_chop,
     "structure_preserving": one_per_window,
     "pad_only": lambda records, length: one_per_window(records, length, truncate=False),

@@ -341,6 +341,34 @@ def turn_loss_mask_counts(s, d):
     return windows.select("document_id", "shard_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("targets"))
 
 
+#: Window of a record whose run has no length: the reference's configuration.
+RUN_LENGTH = 256
+_AT_RUN = f"""(SELECT document_id, shard_id, token_ids, coalesce(seq_len, {RUN_LENGTH}) AS seq_len FROM agentic
+    LEFT JOIN (SELECT run_id, max(seq_len) AS seq_len FROM packing_utilization WHERE seq_len > 0 GROUP BY run_id) USING (run_id))"""
+
+
+def _at_run(s, d):
+    return P.at_run_length(table(s, d, "agentic").select("document_id", "shard_id", "run_id", "token_ids"), table(s, d, "packing_utilization"), RUN_LENGTH)
+
+
+@query("pack_structure_preserving_by_run", f"SELECT document_id, shard_id, least(len(token_ids), seq_len)::INT AS useful, array_to_string(list_resize(token_ids[:seq_len], seq_len, 0), ',') AS tokens FROM {_AT_RUN} WHERE len(token_ids) > 0")
+def pack_structure_preserving_by_run(s, d):
+    return P.POLICIES["structure_preserving"](_at_run(s, d), F.col("seq_len")).select("document_id", "shard_id", "useful", F.array_join("tokens", ",").alias("tokens"))
+
+
+@query("pack_pad_only_by_run", f"SELECT document_id, shard_id, len(token_ids)::INT AS useful FROM {_AT_RUN} WHERE len(token_ids) BETWEEN 1 AND seq_len")
+def pack_pad_only_by_run(s, d):
+    return P.POLICIES["pad_only"](_at_run(s, d), F.col("seq_len")).select("document_id", "shard_id", "useful")
+
+
+@query("turn_loss_mask_counts_by_run", f"""SELECT document_id, shard_id, list_sum(list_transform(range(1, len(t)), lambda i: (list_sum(list_transform(t[:i], lambda x: (x = 1)::INT)) % 2 = 1)::INT))::BIGINT AS targets
+    FROM (SELECT document_id, shard_id, token_ids[:seq_len] AS t FROM {_AT_RUN} WHERE len(token_ids) > 1)""")
+def turn_loss_mask_counts_by_run(s, d):
+    windows = P.one_per_window(_at_run(s, d).where("size(token_ids) > 1"), F.col("seq_len"))
+    mask = P.loss_mask(F.col("tokens"), P.eligible_by_turn(F.col("tokens"), 1))
+    return windows.select("document_id", "shard_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("targets"))
+
+
 @query("attention_ones", f"{_TOK} SELECT shard_id, win::BIGINT AS window, (count(*) FILTER (tok <> 0) * (count(*) FILTER (tok <> 0) + 1) // 2)::BIGINT AS ones FROM w GROUP BY shard_id, win")
 def attention_ones(s, d):
     return _chopped(s, d).select("shard_id", "window", P.attention_ones(F.col("tokens")).alias("ones"))

@@ -86,6 +86,17 @@ def test_policies(spark):
     assert [r.document_id for r in P.POLICIES["pad_only"](df, 2).collect()] == ["b"]
 
 
+def test_policies_at_the_length_of_the_run(spark, tmp_path):
+    rows = [("s", "a", "r", [5] * 300), ("s", "b", "r", [5] * 513), ("s", "c", None, [5] * 200), ("s", "d", "none", [5] * 300)]
+    spark.createDataFrame(rows, "shard_id string, document_id string, run_id string, token_ids array<int>").write.parquet(str(tmp_path / "agentic.parquet"))
+    spark.createDataFrame([("r", None), ("r", 512), ("r", 512), (None, 64)], "run_id string, seq_len int").write.parquet(str(tmp_path / "packing_utilization.parquet"))
+    of = lambda name: {r.document_id: r for r in engine.Q[name](spark, str(tmp_path)).collect()}
+    packed = of("pack_structure_preserving_by_run")
+    assert {k: (r.useful, len(r.tokens.split(","))) for k, r in packed.items()} == {"a": (300, 512), "b": (512, 512), "c": (200, 256), "d": (256, 256)}
+    assert set(of("pack_pad_only_by_run")) == {"a", "c"}
+    assert set(of("turn_loss_mask_counts_by_run")) == {"a", "b", "c", "d"}
+
+
 def test_binary_shards(spark, tmp_path):
     df = spark.createDataFrame([([1, 2**31 - 1, 0],), ([],), (None,), ([-1],)], "token_ids array<int>")
     coded = df.select(shardfiles.encoded("token_ids").alias("b")).collect()
