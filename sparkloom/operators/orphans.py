@@ -67,9 +67,17 @@ def reference_rows(df: DataFrame, ref: ReferenceField, row_id: str = "delivery_i
     return df.select(F.lit(ref.target).alias("target"), reference(ref.field).alias("key"), _micros("logged_at").alias("at"), F.lit(ref.ledger).alias("ledger"), F.lit(ref.field).alias("ref_field"), F.col(row_id).alias("row_id")).where("key IS NOT NULL")
 
 
+def reference_deltas(df: DataFrame, ref: ReferenceField) -> DataFrame:
+    """(target, key, refs): +1 for a referring row, -1 when it is deleted; a ledger without ``deleted_at`` only adds."""
+    gone = F.col("deleted_at").isNotNull() if "deleted_at" in df.columns else F.lit(False)
+    signs = F.when(gone, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))).cast("array<bigint>")
+    return df.select(F.lit(ref.target).alias("target"), reference(ref.field).alias("key"), F.explode(signs).alias("refs")).where("key IS NOT NULL")
+
+
 def count_deltas(references: DataFrame, existence: DataFrame) -> DataFrame:
-    """(target, key, refs, existence): signed counts per key from rows of both kinds."""
-    both = references.select("target", "key", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("existence")).unionAll(existence.select("target", "key", F.lit(0).cast("long"), "existence"))
+    """(target, key, refs, existence): signed counts per key from rows of both kinds; references without ``refs`` add one each."""
+    refs = F.col("refs") if "refs" in references.columns else F.lit(1).cast("long")
+    both = references.select("target", "key", refs.alias("refs"), F.lit(0).cast("long").alias("existence")).unionAll(existence.select("target", "key", F.lit(0).cast("long"), "existence"))
     return merge_counts(both)
 
 
@@ -129,6 +137,13 @@ def report(spark, sf_dir: str) -> DataFrame:
 
 
 def current(spark, sf_dir: str) -> DataFrame:
-    """The current orphan report: keys with references and no existence once all deltas are in."""
+    """The current orphan report: keys that any row, deleted or not, has referred to and that have no existence."""
     state = count_deltas(*_inputs(spark, sf_dir, LEDGER_REFERENCES))
     return current_orphans(state).select("target", "key", "refs")
+
+
+def standing(spark, sf_dir: str) -> DataFrame:
+    """The current orphan report of the references that still stand: a deleted row has taken its own away."""
+    _, existence = _inputs(spark, sf_dir, LEDGER_REFERENCES)
+    references = reduce(DataFrame.unionAll, [reference_deltas(table(spark, sf_dir, r.ledger), r) for r in LEDGER_REFERENCES])
+    return current_orphans(count_deltas(references, existence)).select("target", "key", "refs")

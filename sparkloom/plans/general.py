@@ -27,6 +27,11 @@ def _references(at: str = "r.logged_at") -> str:
     return " UNION ALL ".join(f"SELECT '{r.ledger}' AS ledger, delivery_id, '{r.field}' AS ref_field, '{r.target}' AS target, nullif({_clean(r.field)}, '') AS key, logged_at FROM {r.ledger}" for r in orphans.LEDGER_REFERENCES)
 
 
+def _standing() -> str:
+    """References of rows that are not deleted; of the ledgers only opus_audit has deletions."""
+    return " UNION ALL ".join(f"SELECT '{r.target}' AS target, nullif({_clean(r.field)}, '') AS key FROM {r.ledger}" + (" WHERE deleted_at IS NULL" if r.ledger == "opus_audit" else "") for r in orphans.LEDGER_REFERENCES)
+
+
 _TARGETS = f"SELECT 'opus_audit' AS target, {_clean('opus_decision_id')} AS key, logged_at, deleted_at FROM opus_audit UNION ALL SELECT 'candidates', {_clean('candidate_id')}, logged_at, deleted_at FROM candidates"
 _ORPHANS = f"""WITH r AS ({_references()}), t AS ({_TARGETS}), o AS (
     SELECT r.* FROM r WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.target = r.target AND t.key = r.key
@@ -41,6 +46,7 @@ def queries() -> dict:
         "p4_found": orphans.found,
         "p4_report": orphans.report,
         "p4_current_orphans": orphans.current,
+        "p4_standing_orphans": orphans.standing,
         "p6_found": redelivery.found,
         "p6_consumption": lambda s, d: redelivery.deduplicated(s, d, "consumption").select(*_CONSUMPTION),
         "p6_learning": lambda s, d: redelivery.deduplicated(s, d, "learning").select(*_LEARNING),
@@ -54,6 +60,9 @@ def oracle_sql() -> dict[str, str]:
         "p4_current_orphans": f"""WITH r AS ({_references()}), t AS ({_TARGETS})
             SELECT target, key, count(*) AS refs FROM r WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t
             WHERE t.target = r.target AND t.key = r.key AND t.logged_at IS NOT NULL AND t.deleted_at IS NULL) GROUP BY ALL""",
+        "p4_standing_orphans": f"""WITH r AS ({_standing()}), t AS ({_TARGETS})
+            SELECT target, key, count(*) AS refs FROM r WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t
+            WHERE t.target = r.target AND t.key = r.key AND t.logged_at IS NOT NULL AND t.deleted_at IS NULL) GROUP BY ALL""",
         "p6_found": f"{_surplus('consumption')} UNION ALL {_surplus('learning')}",
         "p6_consumption": _kept("consumption", ", ".join(_CONSUMPTION)),
         "p6_learning": _kept("learning", ", ".join(_LEARNING)),

@@ -75,6 +75,18 @@ def test_orphans_against_brute_force(spark):
     assert {x.key for x in orphans.current_orphans(state).collect()} == now
 
 
+def test_deleted_rows_take_their_references_away(spark):
+    rows = [("gone", 1, 2), ("both", 1, 2), ("both", 3, None), (" STAYS", 1, None), ("", 1, None), (None, 1, 2)]
+    r = spark.createDataFrame([(k, _at(a), _at(b)) for k, a, b in rows], "candidate_id string, logged_at timestamp, deleted_at timestamp")
+    t = r.limit(0)
+    ref = orphans.LEDGER_REFERENCES[3]
+    existence = orphans.existence_deltas(t, "candidates", "candidate_id")
+    state = orphans.count_deltas(orphans.reference_deltas(r, ref), existence)
+    assert {(x.key, x.refs) for x in orphans.current_orphans(state).collect()} == {("both", 1), ("stays", 1)}
+    lasting = orphans.reference_deltas(r.drop("deleted_at"), ref)
+    assert {(x.key, x.refs) for x in orphans.count_deltas(lasting, existence).collect()} == {("gone", 1), ("both", 2), ("stays", 1)}
+
+
 def test_orphans_of_empty_tables(spark):
     t = spark.createDataFrame([], "candidate_id string, logged_at timestamp, deleted_at timestamp")
     r = spark.createDataFrame([(1, "a", None)], "delivery_id long, candidate_id string, logged_at timestamp")
