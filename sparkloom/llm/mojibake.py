@@ -199,7 +199,7 @@ class Model:
                 if self.count(plain) >= KNOWN and not plain.isascii() and any(c.isalpha() for c in plain):
                     offer(f"{right}>{wrong}", self.score(plain) - own, ENTER_SINGLE, repaired)
         self._wide(token, own, offer)
-        if LOST in token and not any(c.startswith("utf-8>") for c in out):
+        if LOST in token:
             self._lost(token, own, offer)
         found = [(c, e, n, r) for c, (e, n, r) in out.items()]
         self.memo[token] = found
@@ -311,9 +311,9 @@ class Model:
     def _lost(self, token: str, own: float, offer) -> None:
         """Lost bytes are wildcards of the lattice; the best path spells the most frequent word that fits."""
         core = normal(token)
-        if any(c.isascii() and c.isalnum() for c in core):
+        if any(c != LOST and (c.isalnum() or not c.isascii()) for c in core):
             ways = [("lost", [CHAR if c == LOST else c.encode("utf-8") for c in core]), ("lost utf-8", [BYTE if c == LOST else c.encode("utf-8") for c in core])]
-            for codec in UTF8_READ_AS[:8]:
+            for codec in UTF8_READ_AS:
                 table_ = _bytes_by_char(codec)
                 upper = [c for c in core if not c.isascii() and c != LOST]
                 if upper and all(c in table_ for c in upper):

@@ -76,6 +76,15 @@ def test_lost_bytes(model):
     assert M.passages("qw�rty", model)
 
 
+def test_lost_bytes_of_other_scripts(model):
+    for k, word in ((2, "данных"), (3, "टोकन")):
+        bad = SOUND[k].replace(word, word[:2] + M.LOST + word[3:])
+        assert M.restored(bad, M.passages(bad, model)) == SOUND[k]
+    misread = "словарь".encode("utf-8").decode("cp866")
+    bad = misread[:4] + M.LOST + misread[5:]
+    assert [(c, w) for c, _, _, w in model.readings(bad) if w == "словарь"]
+
+
 def test_misread_mark_at_the_start(model):
     assert M.passages("ï»¿def f():", model) and M.passages("ï»¿" + SOUND[6], model)
 
