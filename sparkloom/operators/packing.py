@@ -112,6 +112,17 @@ def attention_mask(tokens: Column) -> Column:
     return bound(tokens, lambda ts: F.transform(ts, lambda _, i: attention_row(ts, i)))
 
 
+def attention_mask_json(tokens: Column) -> Column:
+    """The whole causal mask as compact JSON, row by row: a row is the flags of the tokens up to its own, then zeros."""
+
+    def rows(ts: Column) -> Column:
+        flags = F.array_join(F.transform(ts, lambda t: F.when(t != PAD, "1").otherwise("0")), ",")
+        row = lambda fs, t, i: F.when(t != PAD, F.concat(fs.substr(F.lit(1), 2 * i + 1), F.repeat(F.lit(",0"), F.size(ts) - 1 - i))).otherwise(F.concat(F.lit("0"), F.repeat(F.lit(",0"), F.size(ts) - 1)))
+        return bound(flags, lambda fs: F.concat(F.lit("[["), F.array_join(F.transform(ts, lambda t, i: row(fs, t, i)), "],["), F.lit("]]")))
+
+    return bound(tokens, rows)
+
+
 def attention_ones(tokens: Column) -> Column:
     """How many ones the causal mask has, without building it."""
     real = F.size(F.filter(tokens, lambda t: t != PAD)).cast("long")

@@ -388,9 +388,10 @@ def batch_content_hash(s, d):
 
 @query("attention_mask_hash")
 def attention_mask_hash(s, d):
-    """The whole mask is quadratic, so only windows of 32."""
-    small = P.concat_and_chop(table(s, d, "agentic").select("document_id", "shard_id", "token_ids"), 32)
-    return small.select("shard_id", "window", json_hash(attention_mask=P.attention_mask(F.col("tokens"))).alias("mask_hash"))
+    """Of the reference's whole window; the mask is written row by row."""
+    windows = P.concat_and_chop(table(s, d, "agentic").select("document_id", "shard_id", "token_ids"), RUN_LENGTH)
+    text = F.concat(F.lit('{"attention_mask":'), P.attention_mask_json(F.col("tokens")), F.lit("}"))
+    return windows.select("shard_id", "window", F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("mask_hash"))
 
 
 @query("assembled_microbatches")

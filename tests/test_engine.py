@@ -97,6 +97,16 @@ def test_policies_at_the_length_of_the_run(spark, tmp_path):
     assert set(of("turn_loss_mask_counts_by_run")) == {"a", "b", "c", "d"}
 
 
+def test_attention_mask_hash_of_the_whole_window(spark, tmp_path):
+    df = spark.createDataFrame([([1, 0, 3, 0],), ([0, 0],)], "t array<int>")
+    for r in df.select("t", P.attention_mask_json(F.col("t")).alias("j"), H.json_hash(attention_mask=P.attention_mask(F.col("t"))).alias("h")).collect():
+        assert r.h == "sha256:" + hashlib.sha256(('{"attention_mask":' + r.j + "}").encode()).hexdigest()
+    spark.createDataFrame([("s", "a", [7] * 200)], "shard_id string, document_id string, token_ids array<int>").write.parquet(str(tmp_path / "agentic.parquet"))
+    mask = [[int(j <= i < 200) for j in range(256)] for i in range(256)]
+    want = "sha256:" + hashlib.sha256(json.dumps({"attention_mask": mask}, separators=(",", ":")).encode()).hexdigest()
+    assert [r.mask_hash for r in engine.Q["attention_mask_hash"](spark, str(tmp_path)).collect()] == [want]
+
+
 def test_binary_shards(spark, tmp_path):
     df = spark.createDataFrame([([1, 2**31 - 1, 0],), ([],), (None,), ([-1],)], "token_ids array<int>")
     coded = df.select(shardfiles.encoded("token_ids").alias("b")).collect()
