@@ -2,8 +2,10 @@
 
 Only the identity of a message, its delivery order and its position in the files are shuffled. The winner of an
 identity is its smallest delivery id, found by a partial aggregate, so a message of any number of copies never meets in
-one task. What is left over becomes a deletion vector per file: 64 rows to a word, one bit to a row. The wide payload is
-then read where it lies, and the vectors take the surplus rows out of it; payload columns are never shuffled.
+one task. What is left over becomes a deletion vector per file: 64 rows to a word, one bit to a row. The vectors are written
+to the shared folder, cut by file. The wide payload is then read where it lies, by the same splits, pruning and pushed
+filters as any scan: only the file's hash and the row's number go to a function that looks up the bit in the part of the
+vector that belongs to the rows being read. Nothing is broadcast, and payload columns are neither shuffled nor sent to Python.
 
 Defined cases: a row without an offset (or, where named, any ``required`` column) has no identity and is kept; nulls in
 other identity columns compare equal; of two rows with one delivery id in one identity the one that comes first in
@@ -14,17 +16,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.ids import attempt_or_zero, clean_id
-from sparkloom.storage import map_batches, materialize, table
+from sparkloom.storage import new_table, open_folder, ship, table
 
-#: Deletion-vector words (about 40 bytes each when hashed) that may be broadcast; beyond it files are read one by one.
-BROADCAST_WORDS = 400_000
+#: Most folders into which deletion vectors are cut by file; a folder's table is sorted, so a part is found by its statistics.
+SLOTS = 4096
+#: Rows (as a power of two) of the part of a vector that is looked up at once.
+PART_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -74,68 +81,78 @@ def deletion_vectors(df: DataFrame, identity: MessageIdentity) -> DataFrame:
     return here.unionAll(won).groupBy("file", "file2", "word").agg(gone).where("gone <> 0")
 
 
-def _by_broadcast(df: DataFrame, vectors: DataFrame, surplus: bool) -> DataFrame:
-    own = _fresh(df)
-    rows = _positions(df, own)
-    small = F.broadcast(vectors.select(*[F.col(c).alias(own + c) for c in vectors.columns]))
-    gone = F.coalesce(F.expr(f"shiftright({own}gone, {own}bit) & 1"), F.lit(0)) == F.lit(1)
-    joined = rows.join(small, [own + "file", own + "file2", own + "word"], "left").where(gone if surplus else ~gone)
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def _file_by_file(df: DataFrame, vectors: DataFrame, surplus: bool) -> DataFrame:
-    """The same without a broadcast: each file's vector goes to the task that reads the file."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark, columns = df.sparkSession, df.columns
-    target = to_arrow_schema(df.schema)
-    listed = spark.createDataFrame([(p,) for p in df.inputFiles()], "path string")
-    # The scan names a local path with one slash after the scheme, the listing with three.
-    named = listed.withColumn("scan", F.regexp_replace("path", "^file:/+", "file:/"))
-    per_file = vectors.groupBy("file", "file2").agg(F.collect_list(F.struct("word", "gone")).alias("words"))
-    plan = named.join(per_file, (F.xxhash64("scan") == F.col("file")) & (F.hash("scan") == F.col("file2")), "left").select("path", "words")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from urllib.parse import unquote
-
-        from pyarrow import fs
-
-        for batch in batches:
-            for path, words in zip(batch.column("path").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                files, inner = fs.FileSystem.from_uri(path) if not path.startswith("file:") else (fs.LocalFileSystem(), unquote(path.split(":", 1)[1].replace("///", "/")))
-                with files.open_input_file(inner) as handle:
-                    source = pq.ParquetFile(handle)
-                    gone = np.zeros(source.metadata.num_rows + 64, dtype=bool)
-                    for w in words or []:
-                        bits = np.unpackbits(np.array([w["gone"]], dtype="<i8").view(np.uint8), bitorder="little").astype(bool)
-                        gone[w["word"] * 64 : w["word"] * 64 + 64] = bits
-                    at = 0
-                    for part in source.iter_batches(columns=columns):
-                        mask = gone[at : at + part.num_rows]
-                        at += part.num_rows
-                        kept = part.filter(pa.array(mask if surplus else ~mask))
-                        if kept.num_rows:
-                            yield pa.RecordBatch.from_arrays([kept.column(f.name).cast(f.type) for f in target], schema=target)
-
-    return map_batches(plan.repartition("path"), read, df.schema)
-
-
-def _apply(df: DataFrame, identity: MessageIdentity, surplus: bool, broadcast_words: int) -> DataFrame:
-    vectors = materialize(deletion_vectors(df, identity), "deletion-vectors")
-    if vectors.count() > broadcast_words:
-        return _file_by_file(df, vectors, surplus)
-    return _by_broadcast(df, vectors, surplus)
-
-
-def without_copies(df: DataFrame, identity: MessageIdentity, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+class VectorStore:
+    """Deletion vectors as a table in the shared folder, cut by file; a task that reads a part of a file looks up that part only.
+
+    ``mask`` keeps the last ``KEPT`` parts of ``1 << bits`` rows as bitmaps (128 KB each), whatever the number of files."""
+
+    KEPT = 32
+
+    def __init__(self, uri: str, slots: int, bits: int) -> None:
+        self.uri, self.slots, self.bits = uri, slots, bits
+        self.system, self.path = open_folder(uri)
+        if self.system.get_file_info(f"{self.path}/_SUCCESS").type == fs.FileType.NotFound:
+            raise FileNotFoundError(f"{uri} is not seen here: spark.checkpoint.dir must be a folder that all executors share")
+        self.bitmap = lru_cache(maxsize=self.KEPT)(self._bitmap)
+
+    def _bitmap(self, file: int, file2: int, part: int) -> np.ndarray:
+        words = 1 << (self.bits - 6)
+        out = np.zeros(words, dtype="<i8")
+        infos = self.system.get_file_info(fs.FileSelector(f"{self.path}/slot={file % self.slots}", allow_not_found=True))
+        paths = [i.path for i in infos if i.path.endswith(".parquet")]
+        if paths:
+            mine = (ds.field("file") == file) & (ds.field("file2") == file2) & (ds.field("word") >= part * words) & (ds.field("word") < (part + 1) * words)
+            rows = ds.dataset(paths, filesystem=self.system, format="parquet").to_table(columns=["word", "gone"], filter=mine)
+            out[rows.column("word").to_numpy() - part * words] = rows.column("gone").to_numpy()
+        return out
+
+    def mask(self, file: np.ndarray, file2: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether each row is surplus. Rows come in file order, so a batch lies in one part or two."""
+        part = row >> self.bits
+        out = np.zeros(len(row), dtype=bool)
+        cuts = np.flatnonzero((np.diff(file) != 0) | (np.diff(file2) != 0) | (np.diff(part) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
+            if a < b:
+                inner = row[a:b] - (part[a] << self.bits)
+                words = self.bitmap(int(file[a]), int(file2[a]), int(part[a]))[inner >> 6]
+                out[a:b] = (words >> (inner & 63)) & 1 == 1
+        return out
+
+
+@lru_cache(maxsize=4)
+def _store(uri: str, slots: int, bits: int) -> VectorStore:
+    """The store as this worker sees it; kept between tasks."""
+    return VectorStore(uri, slots, bits)
+
+
+def _surplus(uri: str, slots: int, bits: int):
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        store = _store(uri, slots, bits)
+        for columns in batches:
+            yield pa.array(store.mask(*(c.to_numpy() for c in columns)))
+
+    return F.arrow_udf(run, "boolean")
+
+
+def _apply(df: DataFrame, identity: MessageIdentity, surplus: bool) -> DataFrame:
+    spark, own = df.sparkSession, _fresh(df)
+    slots = max(1, min(SLOTS, len(df.inputFiles())))
+    uri = new_table(spark, "deletion-vectors")
+    cut = deletion_vectors(df, identity).withColumn("slot", F.pmod("file", F.lit(slots))).repartition("slot").sortWithinPartitions("slot", "file", "word")
+    cut.write.partitionBy("slot").option("parquet.block.size", 4 << 20).parquet(uri)
+    ship(spark)
+    gone = _surplus(uri, slots, PART_BITS)(*[F.col(own + c) for c in ("file", "file2", "row")])
+    return _positions(df, own).where(gone if surplus else ~gone).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def without_copies(df: DataFrame, identity: MessageIdentity) -> DataFrame:
     """``df`` (read from Parquet files) with exactly one copy of each message, all columns."""
-    return _apply(df, identity, False, broadcast_words)
+    return _apply(df, identity, False)
 
 
-def surplus_copies(df: DataFrame, identity: MessageIdentity, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def surplus_copies(df: DataFrame, identity: MessageIdentity) -> DataFrame:
     """The rows that :func:`without_copies` leaves out."""
-    return _apply(df, identity, True, broadcast_words)
+    return _apply(df, identity, True)
 
 
 def found(spark, sf_dir: str) -> DataFrame:

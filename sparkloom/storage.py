@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,24 +20,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of this process's applications, below the shared one.
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
+    """This application's folder below the one that all executors share, ``spark.checkpoint.dir``; it goes when the driver ends.
 
-    Only where the session names none (local tests) a temporary folder is made and set.
+    Only where everything runs in one process (``local[n]``) and the session names no folder, a temporary one is made and set;
+    on a cluster a missing setting is an error, since each executor would write to a disk of its own.
     """
     path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{_KEY} must name a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _FOLDERS:
+        folder = f"{path.rstrip('/')}/sparkloom-{key[0]}"
+        target, system = _hadoop(spark, folder)
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that were not yet read are lost. Automata and the package stay."""
+    target, system = _hadoop(spark, f"{shared_dir(spark)}/tables")
+    system.delete(target, True)
+
+
+def open_folder(uri: str):
+    """(file system, path) by which a Python worker reads a folder of the shared one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(_S3.sub("s3://", uri))
+
+
+_S3 = re.compile("^s3[an]://")
+
+
+def new_table(spark: SparkSession, label: str) -> str:
+    """The path of a new intermediate table."""
+    return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_table(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,8 +94,8 @@ def small_side(df: DataFrame, label: str, most_rows: int) -> DataFrame:
 def put(spark: SparkSession, name: str, data: bytes) -> str:
     """Write a small file into the shared folder; gives its path."""
     path = f"{shared_dir(spark)}/{name}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    target, system = _hadoop(spark, path)
+    out = system.create(target)
     out.write(data)
     out.close()
     return path

@@ -30,14 +30,15 @@ def _brute(rows, learning: bool):
     return {x for ids in best.values() for x in sorted(ids)[1:]}
 
 
-@pytest.mark.parametrize("limit", [10_000, 0], ids=["broadcast", "file by file"])
+@pytest.mark.parametrize("part", [20, 7], ids=["one part", "many parts"])
 @pytest.mark.parametrize("ledger", ["consumption", "learning"])
-def test_one_copy(spark, tmp_path, ledger, limit):
+def test_one_copy(spark, tmp_path, ledger, part, monkeypatch):
+    monkeypatch.setattr(redelivery, "PART_BITS", part)
     rows = _ledger(700, 3)
     spark.createDataFrame(rows, WIDE).repartition(3).write.parquet(str(tmp_path / "a b.parquet"))
     df, identity = spark.read.parquet(str(tmp_path / "a b.parquet")), redelivery.ledger_identity(ledger)
-    surplus = {r.delivery_id for r in redelivery.surplus_copies(df, identity, limit).collect()}
-    kept = redelivery.without_copies(df, identity, limit)
+    surplus = {r.delivery_id for r in redelivery.surplus_copies(df, identity).collect()}
+    kept = redelivery.without_copies(df, identity)
     assert kept.columns == df.columns
     assert surplus == _brute(rows, ledger == "learning")
     assert {r.delivery_id for r in kept.collect()} == {r[0] for r in rows} - surplus
