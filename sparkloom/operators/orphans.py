@@ -3,13 +3,15 @@
 Every change is a delta on a key of a target table: a row of the target adds one to the key's existence when it is
 logged and takes one away when it is deleted; a row that refers to the key adds one to its references when it is logged
 and takes one away when it is deleted. Adding up the deltas gives the state, and deltas of a new batch are merged into an
-old state by the same sum (:func:`merge_counts`). A key with positive references and zero existence is an orphan.
+old state by the same sum (:func:`merge_counts`, kept as a table by :class:`OrphanState`). A key with positive references and
+zero existence is an orphan.
 
-Point-in-time orphans (:func:`orphans_at_reference`) need the existence count at the reference's own instant: a running
-sum over a key's deltas in time order. A key may hold a third of all rows, so references of one key and instant are one row
-of the sum, and a key is cut into time slices: the slices' net existence is a partial aggregate, its prefix sum opens each
-slice, and the running sum never spans more than a slice. The lone instants then pick their rows by a semi-join, whose
-skewed partitions adaptive execution may split.
+Point-in-time orphans (:func:`orphans_at_reference`) need the counts at the reference's own instant. The deltas are first
+added up per key, with the first and last instants of each kind: a partial aggregate, so a key of any number of rows is
+few rows. Most keys are settled by that: they existed from their first reference to their last, or at none of them. Only the
+rest are swept in time: references of one key and instant are one row of a running sum, and a key is cut into time slices:
+the slices' net existence is a partial aggregate, its prefix sum opens each slice, and the running sum never spans more than
+a slice. Rows of settled, existing keys are never shuffled.
 
 Defined cases: a null or blank reference refers to nothing; a reference without an instant cannot have a target before it
 and is an orphan; a target row without ``logged_at`` or key never existed; one deleted at or before it was logged existed
@@ -22,14 +24,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.ids import reference
-from sparkloom.storage import table
+from sparkloom.storage import delete, exists, listing, materialize, small_side, table
 
 #: Seconds of a time slice of a key.
 SLICE_SECONDS = 900
+#: Most keys not settled by their counts that go to every task (some 100 bytes each); more are joined by a shuffle.
+OPEN_KEYS = 500_000
 
 
 @dataclass(frozen=True)
@@ -83,7 +87,7 @@ def count_deltas(references: DataFrame, existence: DataFrame) -> DataFrame:
 
 def merge_counts(*deltas: DataFrame) -> DataFrame:
     """State of all deltas together; a key whose counts are both zero again leaves the state."""
-    summed = reduce(DataFrame.unionAll, deltas).groupBy("target", "key").agg(F.sum("refs").alias("refs"), F.sum("existence").alias("existence"))
+    summed = reduce(DataFrame.unionByName, deltas).groupBy("target", "key").agg(F.sum("refs").alias("refs"), F.sum("existence").alias("existence"))
     return summed.where("refs <> 0 OR existence <> 0")
 
 
@@ -92,12 +96,70 @@ def current_orphans(state: DataFrame) -> DataFrame:
     return state.where("refs > 0 AND existence = 0")
 
 
-def orphans_at_reference(references: DataFrame, existence: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """The rows of ``references`` whose key had no existence at their own instant."""
+class OrphanState:
+    """The counts as a table that grows by batches of deltas: each batch writes its own sums only, so its cost does not depend
+    on history, and :meth:`compact` folds what has gathered. A batch that is tried again replaces its first try."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _parts(self) -> tuple[int, list[int]]:
+        """The batch up to which the newest base reaches (-1: none), and the later batches."""
+        if not exists(self.spark, self.folder):
+            return -1, []
+        names = listing(self.spark, self.folder)
+        done = lambda kind: sorted(int(n[len(kind) :]) for n in names if n.startswith(kind) and exists(self.spark, f"{self.folder}/{n}/_SUCCESS"))
+        base = max(done("base-"), default=-1)
+        return base, [n for n in done("batch-") if n > base]
+
+    def advance(self, number: int, *deltas: DataFrame) -> None:
+        """Take in batch ``number``; one that a base already covers is left alone."""
+        if number > self._parts()[0]:
+            merge_counts(*deltas).write.mode("overwrite").parquet(f"{self.folder}/batch-{number}")
+
+    def counts(self) -> DataFrame:
+        base, batches = self._parts()
+        paths = [f"{self.folder}/base-{base}"] * (base >= 0) + [f"{self.folder}/batch-{n}" for n in batches]
+        schema = "target string, key string, refs long, existence long"
+        return merge_counts(self.spark.read.schema(schema).parquet(*paths)) if paths else self.spark.createDataFrame([], schema)
+
+    def orphans(self) -> DataFrame:
+        return current_orphans(self.counts())
+
+    def compact(self) -> None:
+        """One base in place of all parts; a reader sees the old parts or the new one."""
+        base, batches = self._parts()
+        if batches:
+            self.counts().write.mode("overwrite").parquet(f"{self.folder}/base-{batches[-1]}")
+            for old in [f"base-{base}"] * (base >= 0) + [f"batch-{n}" for n in batches]:
+                delete(self.spark, f"{self.folder}/{old}")
+
+
+def negated(deltas: DataFrame) -> DataFrame:
+    """Deltas that take others back: a row that changes is its old deltas negated and its new ones."""
+    return deltas.withColumns({c: -F.col(c) for c in ("refs", "existence") if c in deltas.columns})
+
+
+def settled(references: DataFrame, existence: DataFrame) -> DataFrame:
+    """(target, key, never): keys with a reference at which they may not have existed; ``never`` where they existed at none.
+
+    The counts of both kinds per key, with the instants between which they hold."""
+    none, no = F.lit(0).cast("long"), F.lit(None).cast("long")
+    at, born = F.col("at"), F.col("existence") > 0
+    rows = references.where("at IS NOT NULL").select("target", "key", F.lit(1).cast("long").alias("refs"), at.alias("ref_at"), no.alias("plus_at"), no.alias("minus_at"))
+    changes = existence.select("target", "key", none.alias("refs"), no.alias("ref_at"), F.when(born, at).alias("plus_at"), F.when(~born, at).alias("minus_at"))
+    counted = rows.unionAll(changes).groupBy("target", "key").agg(F.sum("refs").alias("refs"), F.min("ref_at").alias("first_ref"), F.max("ref_at").alias("last_ref"), F.min("plus_at").alias("plus_at"), F.min("minus_at").alias("minus_at"))
+    never = F.col("plus_at").isNull() | (F.col("last_ref") < F.col("plus_at"))
+    always = (F.col("plus_at") <= F.col("first_ref")) & (F.col("minus_at").isNull() | (F.col("last_ref") < F.col("minus_at")))
+    return counted.where((F.col("refs") > 0) & ~F.coalesce(always, F.lit(False))).select("target", "key", never.alias("never"))
+
+
+def swept(references: DataFrame, existence: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """(target, key, at): the instants of ``references`` at which the running existence of their key is zero."""
     part = F.floor(F.col("at") / F.lit(slice_seconds * 1_000_000))
     # Deltas of one key and instant are one, and so are references: copies of a message refer at the same instant.
     net = existence.groupBy("target", "key", "at").agg(F.sum("existence").alias("existence")).withColumn("part", part)
-    instants = references.where("at IS NOT NULL").select("target", "key", "at").distinct().withColumn("part", part)
+    instants = references.select("target", "key", "at").distinct().withColumn("part", part)
     none = F.lit(0).cast("long").alias("existence")
     # A slice that has references or deltas opens with what all earlier slices left.
     slices = instants.select("target", "key", "part", none).unionAll(net.select("target", "key", "part", "existence")).groupBy("target", "key", "part").agg(F.sum("existence").alias("existence"))
@@ -109,10 +171,18 @@ def orphans_at_reference(references: DataFrame, existence: DataFrame, slice_seco
         opening.select("target", "key", "part", F.lit(-(2**62)).alias("at"), F.lit(False).alias("is_ref"), "existence"),
     ]
     running = Window.partitionBy("target", "key", "part").orderBy("at", "is_ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = reduce(DataFrame.unionAll, kinds).withColumn("standing", F.sum("existence").over(running))
-    lone = swept.where("is_ref AND standing = 0").select("target", "key", "at")
+    return reduce(DataFrame.unionAll, kinds).withColumn("standing", F.sum("existence").over(running)).where("is_ref AND standing = 0").select("target", "key", "at")
+
+
+def orphans_at_reference(references: DataFrame, existence: DataFrame, slice_seconds: int = SLICE_SECONDS, open_keys: int = OPEN_KEYS) -> DataFrame:
+    """The rows of ``references`` whose key had no existence at their own instant."""
     columns = ["ledger", "ref_field", "target", "key", "at", "row_id"]
-    return references.join(lone, ["target", "key", "at"], "left_semi").select(columns).unionAll(references.where("at IS NULL").select(columns))
+    undecided = small_side(settled(references, existence), "open-keys", open_keys)
+    rows = materialize(references.where("at IS NOT NULL").join(undecided, ["target", "key"]).select(*columns, "never"), "open-references")
+    mixed = rows.where("NOT never")
+    changes = existence.join(undecided.where("NOT never").select("target", "key"), ["target", "key"], "left_semi")
+    lone = swept(mixed, changes, slice_seconds)
+    return rows.where("never").select(columns).unionAll(mixed.join(lone, ["target", "key", "at"], "left_semi").select(columns)).unionAll(references.where("at IS NULL").select(columns))
 
 
 def _inputs(spark, sf_dir: str, refs: Sequence[ReferenceField]) -> tuple[DataFrame, DataFrame]:
@@ -137,13 +207,7 @@ def report(spark, sf_dir: str) -> DataFrame:
 
 
 def current(spark, sf_dir: str) -> DataFrame:
-    """The current orphan report: keys that any row, deleted or not, has referred to and that have no existence."""
-    state = count_deltas(*_inputs(spark, sf_dir, LEDGER_REFERENCES))
-    return current_orphans(state).select("target", "key", "refs")
-
-
-def standing(spark, sf_dir: str) -> DataFrame:
-    """The current orphan report of the references that still stand: a deleted row has taken its own away."""
+    """The current orphan report: keys that standing rows refer to and that have no existence."""
     _, existence = _inputs(spark, sf_dir, LEDGER_REFERENCES)
     references = reduce(DataFrame.unionAll, [reference_deltas(table(spark, sf_dir, r.ledger), r) for r in LEDGER_REFERENCES])
     return current_orphans(count_deltas(references, existence)).select("target", "key", "refs")

@@ -46,7 +46,6 @@ def queries() -> dict:
         "p4_found": orphans.found,
         "p4_report": orphans.report,
         "p4_current_orphans": orphans.current,
-        "p4_standing_orphans": orphans.standing,
         "p6_found": redelivery.found,
         "p6_consumption": lambda s, d: redelivery.deduplicated(s, d, "consumption").select(*_CONSUMPTION),
         "p6_learning": lambda s, d: redelivery.deduplicated(s, d, "learning").select(*_LEARNING),
@@ -57,10 +56,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"{_ORPHANS} SELECT ledger, delivery_id, ref_field FROM o",
         "p4_report": f"{_ORPHANS} SELECT ledger, ref_field, strftime(logged_at, '%Y-%m') AS period, count(*) AS orphan_rows, count(DISTINCT key) AS orphan_keys FROM o GROUP BY ALL",
-        "p4_current_orphans": f"""WITH r AS ({_references()}), t AS ({_TARGETS})
-            SELECT target, key, count(*) AS refs FROM r WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t
-            WHERE t.target = r.target AND t.key = r.key AND t.logged_at IS NOT NULL AND t.deleted_at IS NULL) GROUP BY ALL""",
-        "p4_standing_orphans": f"""WITH r AS ({_standing()}), t AS ({_TARGETS})
+        "p4_current_orphans": f"""WITH r AS ({_standing()}), t AS ({_TARGETS})
             SELECT target, key, count(*) AS refs FROM r WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t
             WHERE t.target = r.target AND t.key = r.key AND t.logged_at IS NOT NULL AND t.deleted_at IS NULL) GROUP BY ALL""",
         "p6_found": f"{_surplus('consumption')} UNION ALL {_surplus('learning')}",

@@ -60,6 +60,32 @@ def release(spark: SparkSession) -> None:
     system.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, system = _hadoop(spark, path)
+    return system.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target, system = _hadoop(spark, path)
+    system.delete(target, True)
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order."""
+    target, system = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(target))
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file."""
+    target, system = _hadoop(spark, path)
+    source = system.open(target)
+    try:
+        return bytes(source.readAllBytes())
+    finally:
+        source.close()
+
+
 def open_folder(uri: str):
     """(file system, path) by which a Python worker reads a folder of the shared one."""
     from pyarrow import fs

@@ -70,6 +70,8 @@ def test_orphans_against_brute_force(spark):
     stands = lambda k, at: any(clean(tk) == k and a is not None and at is not None and a <= at and (b is None or b > at) for tk, a, b in targets)
     want = {i for i, k, at in refs if clean(k) and not stands(clean(k), at)}
     assert {x.row_id for x in orphans.orphans_at_reference(rows, existence).collect()} == want
+    few = orphans.orphans_at_reference(rows, existence, slice_seconds=3600, open_keys=0)
+    assert {x.row_id for x in few.collect()} == want
     now = {clean(k) for _, k, _ in refs if clean(k)} - {clean(k) for k, a, b in targets if a is not None and b is None and clean(k)}
     half, rest = rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1")
     state = orphans.merge_counts(orphans.count_deltas(half, existence), orphans.count_deltas(rest, existence.limit(0)))
@@ -95,3 +97,29 @@ def test_orphans_of_empty_tables(spark):
     existence = orphans.existence_deltas(t, "candidates", "candidate_id")
     assert orphans.orphans_at_reference(orphans.reference_rows(r, ref), existence).count() == 1
     assert orphans.orphans_at_reference(orphans.reference_rows(r.limit(0), ref), existence).where(F.lit(True)).count() == 0
+
+
+def test_state_is_carried_on_between_batches(spark, tmp_path):
+    rng = random.Random(8)
+    row = lambda: (rng.choice(["a", "b", "c", "d"]), _at(rng.randrange(5)), _at(rng.choice([None, 9])))
+    ddl = "candidate_id string, logged_at timestamp, deleted_at timestamp"
+    ref, state, now_t, now_r = orphans.LEDGER_REFERENCES[3], orphans.OrphanState(spark, str(tmp_path / "state")), [], []
+
+    def both(targets, refs):
+        existence = orphans.existence_deltas(spark.createDataFrame(targets, ddl), "candidates", "candidate_id")
+        return orphans.count_deltas(orphans.reference_deltas(spark.createDataFrame(refs, ddl), ref), existence)
+
+    assert state.orphans().count() == 0
+    for number in range(4):
+        more_t, more_r = [row() for _ in range(rng.randrange(2))], [row() for _ in range(3)]
+        # One row of each kind changes: its old deltas are taken back.
+        gone_t, gone_r = now_t[:1], now_r[:1]
+        now_t, now_r = now_t[1:] + more_t, now_r[1:] + more_r
+        batch = [both(more_t, more_r), orphans.negated(both(gone_t, gone_r))]
+        state.advance(number, *batch)
+        state.advance(number, *batch)  # tried again
+        if number == 2:
+            state.compact()
+            state.advance(1, both([row()], [row()]))  # covered by the base
+        want = {(r.key, r.refs) for r in orphans.current_orphans(both(now_t, now_r)).collect()}
+        assert {(r.key, r.refs) for r in state.orphans().collect()} == want
