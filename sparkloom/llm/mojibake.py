@@ -7,12 +7,17 @@ of a text, whose states are "sound" and the channels, finds the passages that so
 does. Entering a channel costs more the weaker the channel's own evidence is, so a passage is damaged only if its words
 outweigh that. Damage that was done several times is undone several times.
 
-Corpus statistics are counted over all documents; the ``VOCABULARY`` most frequent tokens with characters beyond ASCII
-(numbers read as 0) are the language model. A token beyond them has no frequency, and is judged by how many of its byte
-sequences are valid and give characters that the corpus knows.
+Corpus statistics are counted over all documents; the tokens with characters beyond ASCII (numbers read as 0) that make up at
+least ``SHARE`` of all are the language model, at most 1 / ``SHARE`` of them. A token beyond them has no frequency, and is
+judged by how many of its byte sequences are valid and give characters that the corpus knows. All thresholds are shares of
+the corpus, with a floor that matters for small ones only.
 
-Defined cases: null, empty and plain ASCII texts are sound; damaged-looking characters that stand alone or in quotes are an
-example, since their repaired form is no word of the corpus.
+A channel's lattice without a lost byte has one path, which is decoded directly; with wildcards it is searched through an
+automaton of the corpus's words. The tokens of a batch are judged once each, and only texts that hold a suspicious one are
+searched for passages.
+
+Defined cases: null, empty and plain ASCII texts are sound; damaged-looking characters that stand alone, or as a single letter
+between quotation marks beside sound words, are an example.
 """
 
 from __future__ import annotations
@@ -25,16 +30,19 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.encoder import publish
 from sparkloom.llm.transducer import Transducer
-from sparkloom.storage import map_batches, small_side, table
+from sparkloom.storage import map_batches, materialize, small_side, table
 
-#: Tokens of the language model, and the longest token in it.
-VOCABULARY, LONGEST = 300_000, 48
+#: Least share of the corpus's tokens of one in the language model, and the longest token in it.
+SHARE, LONGEST = 1e-6, 256
+#: Tokens whose judgement a worker keeps; the least used go.
+KEPT = 100_000
 #: Encodings in which UTF-8 bytes were read.
 UTF8_READ_AS = ("cp1252", "latin-1", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-2", "cp1251", "cp1253", "cp1254", "cp1257", "cp852", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic", "koi8-u")
 #: Single-byte encodings mistaken for another, as (right, wrong).
@@ -53,15 +61,15 @@ SINGLE = tuple(
 WIDE_WRONG, WIDE_RIGHT = ("gbk", "big5", "cp932", "cp949", "euc_jp"), ("cp932", "euc_jp", "gbk", "big5", "cp949")
 #: Cost in nats of entering a passage damaged by such a channel; evidence of a further valid byte sequence.
 ENTER_UTF8, ENTER_SINGLE, ENTER_LOST, ENTER_WIDE, SEQUENCE, IN_PLACE, LEFT_OVER = 2.2, 6.0, 2.5, 4.0, 1.5, 2.5, 1.5
-#: Frequency of a token that the corpus does not know; least count of one that it knows.
+#: Frequency of a token that the corpus does not know; least count of one that it knows, however small the corpus.
 UNKNOWN, KNOWN = 0.1, 3
 #: Share of the corpus's tokens from which one is its own; least share of the tokens that a character known to it is in.
 OFTEN, FAMILIAR = 2e-5, 6e-7
 #: Most texts with more than ``KNOWN`` copies whose hashes go to every task (16 bytes each).
 COPIED = 200_000
 LOST = "�"
-#: Last characters kept at each byte of a lattice of characters.
-BEAM = 12
+#: Marks between which a single letter is an example.
+QUOTES = frozenset("\"'`´«»‹›„“”‚‘’「」『』")
 
 _SPLIT = re.compile(r"[^ \t\r\n\f\v]+")
 _DIGITS = re.compile(r"[0-9][0-9.,]*")
@@ -124,36 +132,36 @@ def _class(char: str) -> str:
 class Model:
     """Frequencies of the corpus's tokens."""
 
-    def __init__(self, counts: dict[str, int], lattice: Lattice | None = None) -> None:
+    def __init__(self, counts: dict[str, int], total: int | None = None, lattice: Lattice | None = None) -> None:
+        """``total``: tokens of the corpus, those without a count included."""
         self.counts = counts
+        total = sum(counts.values()) if total is None else total
         #: Log frequency from which a token counts as the corpus's own, however odd.
-        self.often = log(max(10.0, OFTEN * sum(counts.values())))
-        #: Count from which a character is known: damage becomes more frequent with the corpus, and so must this.
-        self.familiar = max(float(KNOWN), FAMILIAR * sum(counts.values()))
+        self.often = log(max(10.0, OFTEN * total))
+        #: Counts from which a token and a character are known: damage becomes more frequent with the corpus, and so must these.
+        self.known, self.familiar = known_from(total), max(float(KNOWN), FAMILIAR * total)
         self.chars: Counter = Counter()
         for t, n in counts.items():
-            if n >= KNOWN:
+            if n >= self.known:
                 for c in set(t):
                     if ord(c) > 127:
                         self.chars[c] += n
         # Which characters stand side by side, ASCII letters and digits by kind only.
         self.pairs: Counter = Counter()
         for t, n in counts.items():
-            if n >= KNOWN:
+            if n >= self.known:
                 shape = ["^", *map(_class, t), "$"]
                 for pair in set(zip(shape, shape[1:], strict=False)):
                     self.pairs[pair] += n
-        self.lattice = lattice or Lattice.compile(counts)
+        self.lattice = lattice or Lattice.compile(counts, self.known)
         self.masked: dict[tuple, list[str]] | None = None
-        self.memo: dict[str, list[tuple[str, float, float, str]]] = {}
-        self.sound: dict[str, bool] = {}
+        self.pairs_of: dict[str, tuple[int, int]] = {}
+        self.readings = lru_cache(maxsize=KEPT)(self._readings)
+        self.sound = lru_cache(maxsize=KEPT)(lambda core: not any(e > 0 for _, e, _, _ in self.readings(core)))
 
     def suspicious(self, token: str) -> bool:
         """Whether any channel has evidence; told by the counted form, which keeps all characters beyond ASCII."""
-        core = normal(token)
-        if core not in self.sound:
-            self.sound[core] = any(e > 0 for _, e, _, _ in self.readings(core))
-        return self.sound[core]
+        return not self.sound(normal(token))
 
     def count(self, token: str) -> float:
         return self.counts.get(token, 0)
@@ -165,13 +173,11 @@ class Model:
         """Score of a repaired token: its own, or its sound part's where marks that nobody types were glued on."""
         plain = normal(token.replace("\ufeff", ""))
         if plain and (plain.isascii() or token.startswith("\ufeff")):
-            return max(self.score(plain), log(KNOWN * 10))
+            return max(self.score(plain), log(self.known * 10))
         return self.score(plain) if plain else log(UNKNOWN)
 
-    def readings(self, token: str, depth: int = 3) -> list[tuple[str, float, float, str]]:
+    def _readings(self, token: str, depth: int = 3) -> list[tuple[str, float, float, str]]:
         """(channel, evidence, cost of entering, repaired token) of the channels that say something about ``token``."""
-        if token in self.memo:
-            return self.memo[token]
         own = self.score(normal(token))
         out: dict[str, tuple[float, float, str]] = {}
 
@@ -183,7 +189,7 @@ class Model:
             word = self._word(repaired)
             fits, alone = self._fit(repaired, places)
             # A repaired token that the corpus knows better, or characters that fit where the corpus has their like.
-            evidence = word - own + max(SEQUENCE, fits) if word > log(KNOWN) and word > own else log(UNKNOWN)
+            evidence = word - own + max(SEQUENCE, fits) if word > log(self.known) and word > own else log(UNKNOWN)
             if not alone:
                 evidence = max(evidence, fits - LEFT_OVER * left - max(0.0, own - self.often))
             offer(f"utf-8>{codec}", evidence, ENTER_UTF8, repaired)
@@ -192,18 +198,34 @@ class Model:
                     if channel.startswith("utf-8>") and more > 0:
                         offer(f"{channel} utf-8>{codec}", more + self.score(normal(repaired)) - own, ENTER_UTF8, again)
         # What the corpus has more often than its repaired form has evidence below 0, whatever the size of the corpus.
-        for right, wrong in SINGLE:
+        for right, wrong in self._single(token):
             repaired = token.translate(_char_map(right, wrong))
-            if repaired != token:
-                plain = normal(repaired)
-                if self.count(plain) >= KNOWN and not plain.isascii() and any(c.isalpha() for c in plain):
-                    offer(f"{right}>{wrong}", self.score(plain) - own, ENTER_SINGLE, repaired)
+            plain = normal(repaired)
+            if self.count(plain) >= self.known and not plain.isascii() and any(c.isalpha() for c in plain):
+                offer(f"{right}>{wrong}", self.score(plain) - own, ENTER_SINGLE, repaired)
         self._wide(token, own, offer)
         if LOST in token:
             self._lost(token, own, offer)
-        found = [(c, e, n, r) for c, (e, n, r) in out.items()]
-        self.memo[token] = found
-        return found
+        return [(c, e, n, r) for c, (e, n, r) in out.items()]
+
+    def _single(self, token: str) -> list[tuple[str, str]]:
+        """Single-byte channels that change ``token`` and give it known characters only; lost ones may be any."""
+        fits, changes = _ALL, 0
+        for c in set(token):
+            if c.isascii() or c == LOST:
+                continue
+            if c not in self.pairs_of:
+                good = moved = 0
+                for k, (right, wrong) in enumerate(SINGLE):
+                    to = _char_map(right, wrong).get(ord(c), c)
+                    good |= (to.isascii() or to in self.chars) << k
+                    moved |= (to != c) << k
+                self.pairs_of[c] = (good, moved)
+            good, moved = self.pairs_of[c]
+            fits &= good
+            changes |= moved
+        fits &= changes
+        return [pair for k, pair in enumerate(SINGLE) if fits >> k & 1] if fits else []
 
     def _fit(self, repaired: str, places: list[int]) -> tuple[float, bool]:
         """Evidence of the decoded characters at ``places`` of an unknown word, and whether one stands there alone."""
@@ -211,9 +233,9 @@ class Model:
         total = 0.0
         for k in places:
             c = repaired[k]
-            if self.chars.get(c, 0) < KNOWN:
+            if self.chars.get(c, 0) < self.known:
                 total -= 1.0
-            elif self.pairs.get((shape[k], shape[k + 1]), 0) >= KNOWN and self.pairs.get((shape[k + 1], shape[k + 2]), 0) >= KNOWN:
+            elif self.pairs.get((shape[k], shape[k + 1]), 0) >= self.known and self.pairs.get((shape[k + 1], shape[k + 2]), 0) >= self.known:
                 total += IN_PLACE + len(c.encode("utf-8")) - 2
             else:
                 total += SEQUENCE if len(places) > 1 else 0.0
@@ -222,6 +244,8 @@ class Model:
     def _utf8(self, token: str) -> Iterator[tuple[str, str, list[int], int]]:
         """(codec, repaired, places of the decoded characters, upper characters left over)."""
         seen = set()
+        if not _SHOWN.search(token):
+            return
         for codec in UTF8_READ_AS:
             table_ = _bytes_by_char(codec)
             covered = at = size = 0
@@ -246,14 +270,20 @@ class Model:
     def _wide(self, token: str, own: float, offer) -> None:
         """Readings by encodings of several bytes to a character."""
         upper = sum(ord(c) > 0x2E7F for c in token)
+        if upper >= 2:
+            self._wide_wrong(token, upper, offer)
+        elif sum(ord(c) > 127 for c in token) >= 4:
+            self._wide_right(token, own, offer)
+
+    def _wide_wrong(self, token: str, upper: int, offer) -> None:
         # A token is judged by the rest of the corpus: its own copies do not make its characters known.
         mine: Counter = Counter()
         for piece in {normal(p) for p in (_CLAUSE.findall(token) if _UNSPACED.search(token) else (token,))}:
-            if (n := self.count(piece)) >= KNOWN:
+            if (n := self.count(piece)) >= self.known:
                 for c in set(piece):
                     mine[c] += n
         strange = sum(ord(c) > 127 and self.chars.get(c, 0) - mine[c] < self.familiar for c in token)
-        if upper >= 2 and strange * 3 >= upper:
+        if strange * 3 >= upper:
             for wrong in WIDE_WRONG:
                 data = _encoded(token, wrong)
                 if data is None:
@@ -264,30 +294,32 @@ class Model:
                 before = sum(self.chars.get(c, 0) - mine[c] >= self.familiar for c in token if ord(c) > 127)
                 if known > bad and known >= 2 and known > before:
                     offer(f"utf-8>{wrong}", SEQUENCE * (known - before), ENTER_WIDE, repaired)
-        elif upper < 2 and sum(ord(c) > 127 for c in token) >= 4:
-            for wrong in ("cp1252", "latin-1"):
-                table_ = _bytes_by_char(wrong)
-                if not all(c in table_ or c.isascii() for c in token):
+
+    def _wide_right(self, token: str, own: float, offer) -> None:
+        for wrong in ("cp1252", "latin-1"):
+            table_ = _bytes_by_char(wrong)
+            if not all(c in table_ or c.isascii() for c in token):
+                continue
+            raw = bytes(table_.get(c, ord(c) & 127) for c in token)
+            for right in WIDE_RIGHT:
+                try:
+                    repaired = raw.decode(right)
+                except UnicodeDecodeError:
                     continue
-                raw = bytes(table_.get(c, ord(c) & 127) for c in token)
-                for right in WIDE_RIGHT:
-                    try:
-                        repaired = raw.decode(right)
-                    except UnicodeDecodeError:
-                        continue
-                    good = [c for c in repaired if ord(c) > 127]
-                    known = sum(self.chars.get(c, 0) >= KNOWN for c in good)
-                    if known >= 3 and known == len(good):
-                        offer(f"{right}>{wrong}", SEQUENCE * (known - 1) - max(0.0, own - self.often), ENTER_WIDE, repaired)
+                good = [c for c in repaired if ord(c) > 127]
+                known = sum(self.chars.get(c, 0) >= self.known for c in good)
+                if known >= 3 and known == len(good):
+                    offer(f"{right}>{wrong}", SEQUENCE * (known - 1) - max(0.0, own - self.often), ENTER_WIDE, repaired)
 
     def _spell(self, data: list[int | None]) -> str:
         """Viterbi over the UTF-8 characters along a lattice of bytes (None: any byte), scored by which characters stand side by
-        side in the corpus. A byte that starts no known character is lost for good."""
+        side in the corpus. A byte that starts no known character is lost for good, and so is one of whose character no byte is left.
+        The search is exact: its states are the last characters."""
         if self.masked is None:
             self.masked = {}
             for c in self.chars:
                 raw = c.encode("utf-8")
-                for mask in range(1 << len(raw)):
+                for mask in range((1 << len(raw)) - 1):
                     self.masked.setdefault(tuple(None if mask >> k & 1 else x for k, x in enumerate(raw)), []).append(c)
         # Best (score, text) by the last character, for each number of bytes read.
         best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(data) + 1)]
@@ -295,8 +327,6 @@ class Model:
         for i, x in enumerate(data):
             if not best[i]:
                 continue
-            if len(best[i]) > BEAM:
-                best[i] = dict(sorted(best[i].items(), key=lambda t: -t[1][0])[:BEAM])
             if x is not None and x < 128:
                 ways = [(1, chr(x))]
             else:
@@ -318,6 +348,9 @@ class Model:
                 upper = [c for c in core if not c.isascii() and c != LOST]
                 if upper and all(c in table_ for c in upper):
                     ways.append((f"lost utf-8>{codec}", [BYTE if c == LOST else bytes([table_[c]]) if c in table_ else c.encode("ascii") for c in core]))
+            for right, wrong in self._single(core):
+                map_ = _char_map(right, wrong)
+                ways.append((f"lost {right}>{wrong}", [CHAR if c == LOST else map_.get(ord(c), c).encode("utf-8") for c in core]))
             for channel, steps in ways:
                 if word := self.lattice.best(steps):
                     offer(channel, self.score(word) - min(own, 0.0), ENTER_LOST, _respelled(token, word))
@@ -344,8 +377,8 @@ class Lattice:
         self.words = words
 
     @classmethod
-    def compile(cls, counts: dict[str, int]) -> Lattice:
-        known = sorted((t.encode("utf-8"), n) for t, n in counts.items() if n >= KNOWN and LOST not in t)
+    def compile(cls, counts: dict[str, int], least: float = KNOWN) -> Lattice:
+        known = sorted((t.encode("utf-8"), n) for t, n in counts.items() if n >= least and LOST not in t)
         return cls(Transducer.compile([w for w, _ in known], [[min(n, 2**31 - 1)] for _, n in known]))
 
     def _step(self, at: np.ndarray, lows: int, highs: int) -> np.ndarray:
@@ -396,6 +429,16 @@ class Lattice:
             state, left, final = int(rows[b, 1]), left - int(rows[b, 2]), int(rows[b, 3])
 
 
+#: All single-byte channels, and a character that shows a byte from 128 in any encoding that UTF-8 is read as.
+_ALL = (1 << len(SINGLE)) - 1
+_SHOWN = re.compile("[" + "".join(re.escape(c) for c in sorted({c for codec in UTF8_READ_AS for c in _bytes_by_char(codec)})) + "]{2}")
+
+
+def known_from(total: float) -> float:
+    """Count from which a token is known in a corpus of ``total`` tokens."""
+    return max(float(KNOWN), SHARE * total)
+
+
 def _encoded(token: str, codec: str) -> list[int | None] | None:
     """The bytes that ``codec`` shows as ``token``, a lost one None; nothing if it has no such characters."""
     out: list[int | None] = []
@@ -409,18 +452,17 @@ def _encoded(token: str, codec: str) -> list[int | None] | None:
 
 def passages(text: str, model: Model) -> list[tuple[int, int, str, str]]:
     """(begin, end, channel, repaired) of the damaged tokens on the best path through the text."""
-    if text.isascii():
-        return []
-    quick = _SPLIT.findall(text) if _odd(text) else text.split()
-    if not any(model.suspicious(t) for t in quick if not t.isascii()):
+    tokens = [] if text.isascii() else tokens_of(text)
+    if not any(model.suspicious(t) for _, t in tokens):
         return []
-    tokens = tokens_of(text)
     read = [{c: (e, n, r) for c, e, n, r in model.readings(t)} for _, t in tokens]
     total: dict[str, float] = {}
     for x in read:
-        for c, (e, _, _) in x.items():
+        for c, (e, n, _) in x.items():
             if e > 0:
-                total[c] = total.get(c, 0.0) + e
+                total[c] = total.get(c, -n) + e
+    # A channel whose whole evidence does not pay for entering it is on no best path.
+    total = {c: e for c, e in total.items() if e > 0}
     if not total:
         return []
     channels = sorted(total, key=lambda c: (-total[c], len(c)))  # of equals the first one wins
@@ -445,11 +487,23 @@ def passages(text: str, model: Model) -> list[tuple[int, int, str, str]]:
             e = read[k].get(state)
             if e is not None and e[0] > 0:
                 at, t = tokens[k]
-                out.append((at, at + len(t), state, e[2]))
+                out.append((k, at, at + len(t), state, e[2]))
             if stay[state]:
                 continue
         state = was if leave else None
-    return out[::-1]
+    where = {k for k, *_ in out}
+    return [tuple(x) for k, *x in out[::-1] if {k - 1, k + 1} & where or not _named(text, x[0], x[1], x[3])]
+
+
+def _named(text: str, begin: int, end: int, repaired: str) -> bool:
+    """Whether the token from ``begin`` to ``end`` is one letter between quotation marks, or one sign that they touch."""
+    core = repaired.strip("".join(QUOTES) + _EDGES)
+    if len(core) > 1:
+        return False
+    if text[begin] in QUOTES and text[begin + 1 : end].rstrip(".,;:!?)")[-1:] in QUOTES:
+        return True
+    left, right = text[:begin].rstrip(" \xa0\u202f")[-1:], text[end:].lstrip(" \xa0\u202f")[:1]
+    return core.isalpha() and left in QUOTES and right in QUOTES
 
 
 def restored(text: str, found: list[tuple[int, int, str, str]]) -> str:
@@ -461,21 +515,21 @@ def restored(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join(parts) + text[at:]
 
 
+def _beyond_ascii(column: pa.Array) -> tuple[pa.Array, pa.DictionaryArray]:
+    """(row, token) of the tokens with characters beyond ASCII, tokens by dictionary."""
+    lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+    flat = pc.list_flatten(lists)
+    keep = pc.invert(pc.string_is_ascii(flat))
+    return pc.list_parent_indices(lists).filter(keep), flat.filter(keep).dictionary_encode()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of (text, weight) with the sum of their weights; without a weight every text counts once."""
+    """Tokens of (text, weight) with the sum of their weights."""
     for batch in batches:
-        raw: Counter = Counter()
-        weights = batch.column(1).to_pylist() if batch.num_columns > 1 else [1.0] * batch.num_rows
-        for text, weight in zip(batch.column(0).to_pylist(), weights, strict=True):
-            if text and not text.isascii():
-                found = [t for t in text.split() if not t.isascii()] if not _odd(text) else [t for _, t in tokens_of(text)]
-                if weight == 1.0:
-                    raw.update(found)
-                else:
-                    for t in found:
-                        raw[t] += weight
+        rows, tokens = _beyond_ascii(batch.column(0))
+        sums = np.bincount(tokens.indices.to_numpy(), batch.column(1).to_numpy()[rows.to_numpy()], len(tokens.dictionary))
         total: Counter = Counter()
-        for t, n in raw.items():
+        for t, n in zip(tokens.dictionary.to_pylist(), sums.tolist(), strict=True):
             # Scripts without spaces are counted by clause.
             for piece in _CLAUSE.findall(t) if _UNSPACED.search(t) else (t,):
                 if len(piece) <= LONGEST and not (w := normal(piece)).isascii():
@@ -483,24 +537,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([float(n) for n in total.values()], pa.float64())], names=["token", "n"])
 
 
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-
-
-def _odd(text: str) -> bool:
-    """Whether ``str.split`` would cut at more than ASCII white space."""
-    return _ODD_SPACE.search(text) is not None
-
-
-def vocabulary(documents: DataFrame, limit: int = VOCABULARY) -> dict[str, int]:
-    """The corpus's most frequent tokens beyond ASCII with their counts, at most ``limit``.
+def vocabulary(documents: DataFrame) -> tuple[dict[str, int], int]:
+    """The corpus's known tokens beyond ASCII with their counts, at most 1 / ``SHARE`` of them, and the count of all tokens.
 
     All copies of a text together count ``KNOWN`` times at most, so that a text, damaged or not, does not become sound by
     being copied. Only hashes are shuffled."""
     texts = documents.select(F.make_valid_utf8("text").alias("text")).where(r"text RLIKE '[^\\x00-\\x7F]'").withColumn("h", F.xxhash64("text"))
     copied = small_side(texts.groupBy("h").agg(F.count("*").alias("copies")).where(f"copies > {KNOWN}"), "copied-texts", COPIED)
     weighed = texts.join(copied, "h", "left").select("text", F.coalesce(F.lit(float(KNOWN)) / F.col("copies"), F.lit(1.0)).alias("weight"))
-    counted = map_batches(weighed, _count, "token string, n double").groupBy("token").agg(F.round(F.sum("n")).cast("long").alias("n")).where("n > 1")
-    return {r.token: r.n for r in counted.orderBy(F.desc("n"), "token").limit(limit).toLocalIterator()}
+    counted = materialize(map_batches(weighed, _count, "token string, n double").groupBy("token").agg(F.round(F.sum("n")).cast("long").alias("n")), "token-counts")
+    total = counted.agg(F.sum("n").alias("n")).first().n or 0
+    return {r.token: r.n for r in counted.where(F.col("n") >= max(2, SHARE * total)).toLocalIterator()}, total
 
 
 #: The model of this worker, by the name of its automaton.
@@ -511,22 +558,25 @@ def _model(automaton: str, shared) -> Model:
     """A function of the module, and not part of the task's own code, so that it finds what an earlier task left."""
     if automaton not in _MODEL:
         _MODEL.clear()
-        _MODEL[automaton] = Model(shared.value, Lattice(Transducer.map(SparkFiles.get(automaton))))
+        _MODEL[automaton] = Model(*shared.value, Lattice(Transducer.map(SparkFiles.get(automaton))))
     return _MODEL[automaton]
 
 
-def damaged(documents: DataFrame, limit: int = VOCABULARY) -> DataFrame:
+def damaged(documents: DataFrame) -> DataFrame:
     """(doc_id, passages, channels, restored): the damaged documents, and their text as far as it can be restored."""
     spark = documents.sparkSession
-    counts = vocabulary(documents, limit)
-    shared, automaton = spark.sparkContext.broadcast(counts), publish(spark, Lattice.compile(counts).words)
+    counts, total = vocabulary(documents)
+    shared, automaton = spark.sparkContext.broadcast((counts, total)), publish(spark, Lattice.compile(counts, known_from(total)).words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(automaton, shared)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and (found := passages(text, model)):
+            row, tokens = _beyond_ascii(batch.column(1))
+            odd = np.array([model.suspicious(t) for t in tokens.dictionary.to_pylist()], dtype=bool)
+            some = batch.take(pa.array(np.unique(row.to_numpy()[odd[tokens.indices.to_numpy()]])))
+            for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                if found := passages(text, model):
                     rows.append((doc, len(found), sorted({c for _, _, c, _ in found}), restored(text, found)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string())
