@@ -1,11 +1,11 @@
 """Filling training windows with records by a grouping genetic algorithm.
 
 Only records longer than their run's window are divided, into whole windows and one rest, so that the least is left to
-pack; every piece then goes whole into one window of its run. A run's pieces are dealt into blocks of bounded size by hash, so a run of any size is packed in
-many tasks. Each block starts from best-fit-decreasing; where that does not reach the lower bound (total size over capacity)
+pack; every piece then goes whole into one window of its run. A run's pieces are dealt into blocks of bounded size by where they
+lie in the written table of pieces, so that a run of any size, and a record of any number of copies, is packed in many tasks. Each block starts from best-fit-decreasing; where that does not reach the lower bound (total size over capacity)
 the block is evolved on several islands. A chromosome is a grouping of pieces into windows. Crossover injects whole
 well-filled windows of one parent into the other, removes the windows that now hold duplicates, and puts the displaced
-pieces back by best fit; mutation dissolves the emptiest windows in the same way. After each epoch every island sends its
+pieces back by best fit; mutation dissolves the emptiest windows in the same way. Between epochs every island sends its
 elite to the next one. Islands and epochs exchange only sizes and window numbers through tables in the shared folder.
 
 Pieces left in a block's poorly filled windows are dealt together once more over the blocks of their run and packed again.
@@ -21,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.splitting import BROADCAST_RUNS, run_limits
 from sparkloom.storage import map_batches, materialize, small_side, table
 
-#: Pieces of a block, islands of a block, epochs with a migration after each, generations of an epoch, chromosomes of an island.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 512, 3, 2, 40, 8
+#: Pieces of a block, islands of a block, epochs with a migration between them, generations of an epoch, chromosomes of an island.
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 512, 3, 3, 27, 8
 #: Window length where the packing report has none at all.
 FALLBACK = 1024
 
@@ -166,12 +166,13 @@ def _epoch(number: int, generations: int):
     return run
 
 
+_STARTED = "grp string, capacity int, block long, sizes array<int>, best array<int>, bins int, least int"
 _STATE = "grp string, capacity int, block long, sizes array<int>, least int, island int, pool array<array<int>>, best array<int>, bins int"
 
 
 def pack_blocks(blocks: DataFrame, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
     """(grp, block, best): window number of each piece of ``blocks`` (grp, capacity, block, sizes in falling order)."""
-    started = materialize(map_batches(blocks.select("grp", "capacity", "block", "sizes"), _start, "grp string, capacity int, block long, sizes array<int>, best array<int>, bins int, least int"), "windows-start")
+    started = materialize(map_batches(blocks.select("grp", "capacity", "block", "sizes"), _start, _STARTED), "windows-start")
     key = ["grp", "block"]
     state = started.where("bins > least").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     state = state.withColumns({"pool": F.array("best"), "guest": F.lit(None).cast("array<int>")})
@@ -180,6 +181,8 @@ def pack_blocks(blocks: DataFrame, islands: int = ISLANDS, epochs: int = EPOCHS,
         # the join of the migration, which has the same keys, and the join's own is coalesced by size.
         spread = state.repartition(2 * state.sparkSession.sparkContext.defaultParallelism)
         grown = materialize(map_batches(spread, _epoch(e, generations), _STATE), f"windows-epoch{e}")
+        if e == epochs - 1:
+            break
         # The elite of each island visits the next one.
         elite = grown.select(*key, ((F.col("island") + 1) % islands).alias("island"), F.col("best").alias("guest"))
         state = grown.join(elite, [*key, "island"], "left")
@@ -201,52 +204,76 @@ def pieces_of(records: DataFrame, limits: DataFrame) -> DataFrame:
     return numbered.select(*keys, "piece", begin.alias("begin"), F.least(F.col("capacity"), F.col("length") - begin).alias("size"))
 
 
-def windows(records: DataFrame, report: DataFrame) -> DataFrame:
-    """(grp, capacity, block, window, document_id, shard_id, piece, begin, size): the window of every piece. ``grp`` is ``run `` and
-    the run's id, or empty without a window length."""
-    pieces = materialize(pieces_of(records, small_side(run_limits(report), "run-limits", BROADCAST_RUNS)), "windows-pieces")
+def _written(records: DataFrame, report: DataFrame) -> DataFrame:
+    """The pieces, and where each lies: this tells copies of one record apart and stays the same when a task is tried again."""
+    written = materialize(pieces_of(records, small_side(run_limits(report), "run-limits", BROADCAST_RUNS)), "windows-pieces")
+    return written.select("*", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def _dealt(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pieces to pack with their block, and the number of them of each run."""
     full = pieces.where("size > 0 AND size < capacity")
-    # A hash deals a run's pieces into as many blocks as its number asks for; the counts are one row per run.
-    counts = full.groupBy("grp").agg(F.count("*").alias("n"))
-    dealt = full.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("document_id", "shard_id", "piece"), F.ceil(F.col("n") / BLOCK)))
+    counts = materialize(full.groupBy("grp").agg(F.count("*").alias("n")), "windows-counts")  # one row per run
+    return full.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("file", "row"), F.ceil(F.col("n") / BLOCK))), counts
+
+
+def windows(records: DataFrame, report: DataFrame) -> DataFrame:
+    """(grp, capacity, window_id, document_id, shard_id, piece, begin, size): the window of every piece. ``grp`` is ``run `` and the
+    run's id, or empty without a window length."""
+    pieces = _written(records, report)
+    dealt, counts = _dealt(pieces)
     first = _packed(dealt, "first")
-    # Windows with much room give their pieces back, to be packed together with those of the run's other blocks.
-    room = first.groupBy("grp", "capacity", "block", "window").agg(F.sum("size").alias("used"))
-    poor = room.where("used < 0.9 * capacity").select("grp", "block", "window")
-    again = first.join(poor, ["grp", "block", "window"], "left_semi")
-    some = again.groupBy("grp").agg(F.countDistinct("block").alias("from"), F.count("*").alias("m")).where("from > 1")
-    redealt = again.join(some, "grp").withColumn("block", F.pmod(F.xxhash64("piece", "shard_id", "document_id"), F.ceil(F.col("m") / BLOCK)) + F.lit(1 << 40)).select(first.columns).drop("window")
-    second = _packed(redealt, "second")
-    stays = first.join(poor.join(some.select("grp"), "grp", "left_semi"), ["grp", "block", "window"], "left_anti").select(first.columns)
+    packed = first
+    if counts.where(F.col("n") > BLOCK).limit(1).count():
+        # Windows with much room give their pieces back, to be packed together with those of the run's other blocks.
+        room = first.groupBy("grp", "block", "window").agg(F.sum("size").alias("used"), F.first("capacity").alias("capacity"))
+        poor = room.where("used < 0.9 * capacity").select("grp", "block", "window")
+        some = poor.groupBy("grp").agg(F.countDistinct("block").alias("from")).where("from > 1").select("grp")
+        given = poor.join(some, "grp", "left_semi")
+        again = materialize(first.join(given, ["grp", "block", "window"], "left_semi"), "windows-again")
+        spots = again.select(*again.columns, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("spot"))
+        sizes = again.groupBy("grp").agg(F.count("*").alias("m"))
+        second = _packed(spots.join(sizes, "grp").withColumn("block", F.pmod("spot", F.ceil(F.col("m") / BLOCK)) + F.lit(1 << 40)), "second")
+        packed = first.join(given, ["grp", "block", "window"], "left_anti").select(first.columns).unionByName(second)
+    columns = ["grp", "capacity", "window_id", "document_id", "shard_id", "piece", "begin", "size"]
+    name = lambda *parts: F.concat_ws("/", F.when(F.col("grp") == "", "no run").otherwise(F.col("grp")), *parts)
     # A piece that fills a window is a window; empty records take no room.
-    alone = pieces.where("size = capacity").withColumns({"block": F.lit(-1).cast("long"), "window": F.xxhash64("document_id", "shard_id", "piece")})
-    empty = pieces.where("size = 0").withColumns({"block": F.lit(-2).cast("long"), "window": F.lit(0).cast("long")})
-    return stays.unionByName(second).unionByName(alone).unionByName(empty)
+    alone = pieces.where("size = capacity").withColumn("window_id", name(F.lit("whole"), F.hex("file"), F.col("row").cast("string")))
+    empty = pieces.where("size = 0").withColumn("window_id", name(F.lit("empty")))
+    return packed.withColumn("window_id", name(F.col("block").cast("string"), F.col("window").cast("string"))).select(columns).unionAll(alone.select(columns)).unionAll(empty.select(columns))
 
 
-def _packed(dealt: DataFrame, label: str) -> DataFrame:
+def _blocks(dealt: DataFrame, label: str) -> DataFrame:
     item = F.struct((-F.col("size")).alias("neg"), "document_id", "shard_id", "piece", "begin")
-    blocks = materialize(dealt.groupBy("grp", "capacity", "block").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("sizes", F.transform("items", lambda x: (-x["neg"]).cast("int"))), f"windows-{label}")
+    return materialize(dealt.groupBy("grp", "capacity", "block").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("sizes", F.transform("items", lambda x: (-x["neg"]).cast("int"))), f"windows-{label}")
+
+
+def _packed(dealt: DataFrame, label: str) -> DataFrame:
+    blocks = _blocks(dealt, label)
     solved = blocks.join(pack_blocks(blocks), ["grp", "block"])
     flat = solved.select("grp", "capacity", "block", F.inline(F.arrays_zip("items", "best")))
     return materialize(flat.select("grp", "capacity", "block", F.col("best").cast("long").alias("window"), "items.document_id", "items.shard_id", "items.piece", "items.begin", (-F.col("items.neg")).cast("int").alias("size")), f"windows-{label}-packed")
 
 
+def search_gain(records: DataFrame, report: DataFrame) -> DataFrame:
+    """One row: blocks, those that are evolved, and windows by best-fit-decreasing, after evolution and at the lower bound."""
+    blocks = _blocks(_dealt(_written(records, report))[0], "gain")
+    started = map_batches(blocks.select("grp", "capacity", "block", "sizes"), _start, _STARTED)
+    ended = pack_blocks(blocks).select("grp", "block", (F.array_max("best") + 1).alias("windows"))
+    sums = {"blocks": F.count("*"), "evolved": F.count_if("bins > least"), "started": F.sum("bins"), "windows": F.sum("windows"), "least": F.sum("least")}
+    return started.join(ended, ["grp", "block"]).agg(*[c.alias(n) for n, c in sums.items()])
+
+
 def agentic_windows(spark, sf_dir: str) -> DataFrame:
     """The window of every agentic record or part of it: (run_id, seq_len, window_id, document_id, shard_id, piece, begin, tokens)."""
     placed = windows(table(spark, sf_dir, "agentic"), table(spark, sf_dir, "packing_utilization"))
-    name = F.concat_ws("/", F.when(F.col("grp") == "", "no run").otherwise(F.col("grp")), "block", "window")
-    # Copies of a record that fills a window share the hash; each has a window of its own.
-    nth = F.row_number().over(Window.partitionBy("grp", "block", "window").orderBy("document_id", "shard_id"))
-    full = placed.where("block = -1").withColumn("window_id", F.concat_ws("/", name, nth.cast("string")))
-    rest = placed.where("block <> -1").withColumn("window_id", name)
-    return full.unionByName(rest).select(F.when(F.col("grp") != "", F.substring("grp", 5, 1 << 20)).alias("run_id"), F.col("capacity").alias("seq_len"), "window_id", "document_id", "shard_id", "piece", "begin", F.col("size").alias("tokens"))
+    return placed.select(F.when(F.col("grp") != "", F.substring("grp", 5, 1 << 20)).alias("run_id"), F.col("capacity").alias("seq_len"), "window_id", "document_id", "shard_id", "piece", "begin", F.col("size").alias("tokens"))
 
 
 def utilization(spark, sf_dir: str) -> DataFrame:
-    """Per run: windows, useful tokens and capacity reached, beside what the packing report had."""
+    """Per run: windows, the fewest there can be, useful tokens and capacity reached, beside what the packing report had."""
     filled = agentic_windows(spark, sf_dir).where("tokens > 0").groupBy("run_id", "seq_len", "window_id").agg(F.sum("tokens").alias("tokens"))
     ours = filled.groupBy("run_id", "seq_len").agg(F.count("*").alias("windows"), F.sum("tokens").alias("useful_tokens"))
-    ours = ours.withColumn("capacity", F.col("windows") * F.col("seq_len")).withColumn("utilization", F.col("useful_tokens") / F.col("capacity"))
+    ours = ours.withColumn("capacity", F.col("windows") * F.col("seq_len")).withColumn("utilization", F.col("useful_tokens") / F.col("capacity")).withColumn("least_windows", F.ceil(F.col("useful_tokens") / F.col("seq_len")))
     report = table(spark, sf_dir, "packing_utilization").where("useful_tokens IS NOT NULL AND capacity > 0").distinct().groupBy("run_id").agg((F.sum("useful_tokens") / F.sum("capacity")).alias("reported_utilization"))
     return ours.join(report, "run_id", "left")

@@ -98,17 +98,17 @@ def test_windows(spark):
     records, report, rows = _agentic(spark)
     limits = {r.run_id: r.seq_len for r in splitting.run_limits(report).collect()}
     placed = containers.windows(records, report).collect()
-    used, seen = {}, {}
+    used, seen, room = {}, {}, {}
     for p in placed:
-        if p.block != -1:
-            used[p.grp, p.block, p.window] = used.get((p.grp, p.block, p.window), 0) + p.size
-            assert used[p.grp, p.block, p.window] <= p.capacity
+        used[p.window_id] = used.get(p.window_id, 0) + p.size
+        assert used[p.window_id] <= p.capacity
+        room[p.window_id] = p.capacity
         assert p.capacity == (limits[p.grp[4:]] if p.grp else 32)
         seen.setdefault(p.document_id, []).append((p.begin, p.size))
     for d, _, _, ids, _ in rows:
         assert sum(n for _, n in seen[d]) == len(ids or []) * sum(r[0] == d for r in rows)
     size = sum(p.size for p in placed)
-    windows = sum((limits[g[4:]] if g else 32) for g, _, _ in {k for k, v in used.items() if v}) + sum(p.capacity for p in placed if p.block == -1)
+    windows = sum(room[w] for w, n in used.items() if n)
     assert size / windows > 0.9
     assert containers.windows(records.limit(0), report.limit(0)).count() == 0
 
@@ -127,3 +127,26 @@ def test_evolution_beats_the_start():
         assert len(end) <= len(start)
         better += g.fitness(end) > g.fitness(start)
     assert better >= 6
+
+
+def test_a_record_of_very_many_copies(spark):
+    # A third of all rows is one record; its copies are dealt over all blocks, and those that fill a window have one each.
+    rows = [("hot", "s", "r", list(range(25)))] * 2000 + [("full", "s", "r", list(range(100)))] * 30 + [(f"d{i}", "s", "r", list(range(1 + i * 7 % 90))) for i in range(4000)]
+    records = spark.createDataFrame(rows, "document_id string, shard_id string, run_id string, token_ids array<int>")
+    report = spark.createDataFrame([("r", 100)], "run_id string, seq_len int")
+    dealt, _ = containers._dealt(containers._written(records, report))
+    sizes = [r["count"] for r in dealt.groupBy("block").count().collect()]
+    assert max(sizes) < 1.3 * containers.BLOCK and len(sizes) == -(-6000 // containers.BLOCK)
+    used, pieces = {}, 0
+    for p in containers.windows(records, report).collect():
+        used[p.window_id] = used.get(p.window_id, 0) + p.size
+        pieces += 1
+    assert pieces == len(rows) and max(used.values()) == 100
+    assert sum(used.values()) == sum(len(r[3]) for r in rows)
+    assert len(used) < 1.05 * sum(used.values()) / 100
+
+
+def test_the_search_saves_windows(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    r = containers.search_gain(spark.read.parquet(f"{folder}/agentic.parquet"), spark.read.parquet(f"{folder}/packing_utilization.parquet")).first()
+    assert r.least <= r.windows < r.started and 0 < r.evolved <= r.blocks
