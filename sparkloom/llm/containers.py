@@ -260,7 +260,7 @@ def search_gain(records: DataFrame, report: DataFrame) -> DataFrame:
     blocks = _blocks(_dealt(_written(records, report))[0], "gain")
     started = map_batches(blocks.select("grp", "capacity", "block", "sizes"), _start, _STARTED)
     ended = pack_blocks(blocks).select("grp", "block", (F.array_max("best") + 1).alias("windows"))
-    sums = {"blocks": F.count("*"), "evolved": F.count_if("bins > least"), "started": F.sum("bins"), "windows": F.sum("windows"), "least": F.sum("least")}
+    sums = {"blocks": F.count("*"), "evolved": F.count_if(F.col("bins") > F.col("least")), "started": F.sum("bins"), "windows": F.sum("windows"), "least": F.sum("least")}
     return started.join(ended, ["grp", "block"]).agg(*[c.alias(n) for n, c in sums.items()])
 
 
