@@ -51,7 +51,7 @@ def ledger_identity(ledger: str) -> MessageIdentity:
     return MessageIdentity(columns, ("ledger_offset",))
 
 
-def _fresh(df: DataFrame) -> str:
+def fresh_prefix(df: DataFrame) -> str:
     """A prefix that no column of ``df`` has, for the operator's own columns."""
     prefix = "dv_"
     while any(c.lower().startswith(prefix) for c in df.columns):
@@ -67,7 +67,7 @@ def _positions(df: DataFrame, own: str) -> DataFrame:
 
 def deletion_vectors(df: DataFrame, identity: MessageIdentity) -> DataFrame:
     """(file, file2, word, gone): the surplus rows of ``df`` as 64-bit words; only words with a bit set."""
-    own = _fresh(df)
+    own = fresh_prefix(df)
     place = [F.col(own + c).alias(c) for c in ("file", "file2", "word", "bit")]
     slim = _positions(df, own).where(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in identity.required)))
     bit, none = F.expr("shiftleft(1L, bit)"), F.lit(0).cast("long")
@@ -135,7 +135,7 @@ def _surplus(uri: str, slots: int, bits: int):
 
 
 def _apply(df: DataFrame, identity: MessageIdentity, surplus: bool) -> DataFrame:
-    spark, own = df.sparkSession, _fresh(df)
+    spark, own = df.sparkSession, fresh_prefix(df)
     slots = max(1, min(SLOTS, len(df.inputFiles())))
     uri = new_table(spark, "deletion-vectors")
     cut = deletion_vectors(df, identity).withColumn("slot", F.pmod("file", F.lit(slots))).repartition("slot").sortWithinPartitions("slot", "file", "word")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.storage import exists
+
 #: Broken lines named in an error.
 REPORTED = 20
 
@@ -24,11 +26,20 @@ def _problem(schema: T.StructType, required: Sequence[str]) -> Column:
     )
 
 
+def _wrong_types(row: Column, schema: T.StructType) -> Column:
+    """The keys whose value was there and did not become one of the schema's type."""
+    raw = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    lost = [F.when(row[f.name].isNull() & (F.coalesce(F.try_element_at(raw, F.lit(f.name)), F.lit("null")) != F.lit("null")), F.lit(f.name)) for f in schema.fields]
+    return F.filter(F.array(*lost), lambda x: x.isNotNull())
+
+
 def scan(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] = (), strict: bool = True) -> DataFrame:
-    """Rows of the JSON lines under ``path``; blank lines are skipped. Without ``strict``, ``_problem`` tells what is wrong
-    with a line instead of an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_problem", _problem(schema, required))
-    rows = lines.withColumn("_row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
+    """Rows of the JSON lines under ``path``; blank lines are skipped. A value of the wrong type is an error like a missing or
+    an unknown key. Without ``strict``, ``_problem`` tells what is wrong with a line instead of an error."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.withColumn("_row", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("_lost", _wrong_types(F.col("_row"), schema))
+    wrong = F.when(F.size("_lost") > 0, F.concat(F.lit("wrong type of "), F.array_join("_lost", ", ")))
+    rows = rows.withColumn("_problem", F.coalesce(_problem(schema, required), wrong))
     if not strict:
         return rows.select("_row.*", "_problem", F.col("value").alias("_line"))
     checked = F.when(F.col("_problem").isNotNull(), F.raise_error(F.concat(F.lit("bad line: "), F.col("_problem"), F.lit(": "), F.substring("value", 1, 200)))).otherwise(F.col("_row"))
@@ -48,11 +59,6 @@ def optional(spark: SparkSession, path: str, schema: T.StructType, required: Seq
     return scan(spark, path, schema, required)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def repeated(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(key).agg(F.count("*").alias("times")).where("times > 1")

@@ -4,32 +4,41 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import re
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ledger import assigned_offsets
 from sparkloom.sources import shardfiles
-from sparkloom.storage import map_batches
+from sparkloom.sources.jsonl import REPORTED
+from sparkloom.storage import exists, listing, map_batches, open_folder
 
 
 def write_atomic(path: str, data: bytes) -> None:
-    """A small file on the driver: written beside its place, then moved there."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    handle, temporary = tempfile.mkstemp(dir=folder)
+    """A small file, written beside its place and then moved there; ``path`` may lie on any file system that workers reach."""
+    system, place = open_folder(path)
+    system.create_dir(os.path.dirname(place), recursive=True)
+    temporary = f"{place}.{uuid.uuid4().hex}.tmp"
     try:
-        with os.fdopen(handle, "wb") as f:
+        with system.open_output_stream(temporary) as f:
             f.write(data)
-        os.replace(temporary, path)
+        system.move(temporary, place)
     except BaseException:
-        if os.path.exists(temporary):
-            os.unlink(temporary)
+        if system.get_file_info(temporary).type != fs.FileType.NotFound:
+            system.delete_file(temporary)
         raise
 
 
+def read_small(path: str) -> bytes:
+    system, place = open_folder(path)
+    with system.open_input_stream(place) as f:
+        return f.read()
+
+
 def write_json(path: str, document: dict) -> None:
     write_atomic(path, (json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode("utf-8"))
 
@@ -48,7 +57,7 @@ def write_shards(records: DataFrame, folder: str, ids: str = "token_ids") -> Dat
         for batch in batches:
             files = []
             for name, data in zip(batch.column("shard_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                files.append(os.path.join(folder, f"{name}.bin"))
+                files.append(f"{folder.rstrip('/')}/{name}.bin")
                 write_atomic(files[-1], data)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(files, pa.string())], names=["shard_id", "content_hash", "token_count", "file"])
 
@@ -56,9 +65,57 @@ def write_shards(records: DataFrame, folder: str, ids: str = "token_ids") -> Dat
 
 
 def append_ledger(committed: DataFrame, path: str, start: int = 0) -> None:
-    """Append rows with offsets counted on from ``start`` in order of step and microbatch, by attempt."""
-    keyed = committed.withColumns({"run": F.col("run_id"), "branch": F.col("branch_id")})
-    assigned_offsets(keyed, start).withColumn("ledger_offset", F.col("assigned").cast("int")).drop("assigned", "run", "branch").write.mode("append").parquet(path)
+    """Append rows with offsets counted on from ``start`` in order of step and microbatch, by attempt.
+
+    Each append has a folder of its own, ``append=start``, so one that is tried again replaces its first try. An append that
+    would leave a gap behind the ledger's end, or write over later rows, is an error."""
+    spark = committed.sparkSession
+    keyed = assigned_offsets(committed.withColumns({"run": F.col("run_id"), "branch": F.col("branch_id")}), start)
+    rows = keyed.withColumn("ledger_offset", F.col("assigned").cast("int")).drop("assigned", "run", "branch")
+    begun = [int(n[7:]) for n in (listing(spark, path) if exists(spark, path) else []) if n.startswith("append=")]
+    if max(begun, default=-1) > start:
+        raise ValueError(f"{path} goes on beyond offset {start}")
+    before = [f"{path}/append={n}" for n in begun if n < start]
+    last = spark.read.schema(rows.schema).parquet(*before).agg(F.max("ledger_offset").alias("n")).first().n if before else None
+    if start != (-1 if last is None else last) + 1:
+        raise ValueError(f"offset {start} does not follow {last} in {path}")
+    rows.write.mode("overwrite").parquet(f"{path}/append={start}")
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """A ledger that :func:`append_ledger` or :func:`append_checked` wrote."""
+    return spark.read.parquet(path).drop("append")
+
+
+def append_checked(rows: DataFrame, path: str, problems: DataFrame, name: str) -> None:
+    """Append ``rows`` as the part ``name`` if ``problems`` is empty, all or nothing: every row is checked before any is written,
+    and a part that is tried again replaces its first try."""
+    bad = problems.limit(REPORTED).collect()
+    if bad:
+        raise ValueError(f"{len(bad)} problems or more, nothing written to {path}: {[r.asDict() for r in bad]}")
+    rows.write.mode("overwrite").parquet(f"{path}/append={name}")
+
+
+def write_manifests(shards: DataFrame, folder: str) -> DataFrame:
+    """(shard_id, file): one JSON document a shard, named by its id, written by the tasks that hold the rows."""
+    slim = shards.select("shard_id", F.to_json(F.struct(*sorted(shards.columns)), {"ignoreNullFields": "false"}).alias("text"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            files = [f"{folder.rstrip('/')}/{name}.json" for name in batch.column(0).to_pylist()]
+            for file, text in zip(files, batch.column(1).to_pylist(), strict=True):
+                write_atomic(file, text.encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.string())], names=["shard_id", "file"])
+
+    return map_batches(slim, run, "shard_id string, file string")
+
+
+def write_registry(registry: DataFrame, path: str) -> None:
+    """The registry of shards: sorted ids by admission and their number, one row an admission."""
+    rows = {r.admission: {"shards": r.shards, "shard_ids": r.shard_ids} for r in registry.collect()}
+    write_json(path, {"admissions": rows, "shards": sum(r["shards"] for r in rows.values())})
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -74,22 +131,21 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def save_checkpoint(folder: str, step: int, state: dict) -> str:
     """The data side of a checkpoint, complete or not there at all."""
-    path = os.path.join(folder, f"ckpt-{step:05d}", "checkpoint.json")
+    path = f"{folder.rstrip('/')}/ckpt-{step:05d}/checkpoint.json"
     write_json(path, state | {"checkpoint_id": f"ckpt-{step:05d}", "global_step": step})
     return path
 
 
 def checkpoints_available(folder: str) -> list[int]:
     """Steps with a complete checkpoint."""
-    if not os.path.isdir(folder):
-        return []
-    names = (n for n in os.listdir(folder) if n.startswith("ckpt-") and os.path.isfile(os.path.join(folder, n, "checkpoint.json")))
-    return sorted(int(n[5:]) for n in names)
+    system, place = open_folder(folder)
+    found = system.get_file_info(fs.FileSelector(place, recursive=True, allow_not_found=True))
+    names = (m for f in found if (m := re.search(r"(?:^|/)ckpt-([0-9]+)/checkpoint\.json$", f.path)))
+    return sorted(int(m[1]) for m in names)
 
 
 def load_checkpoint(folder: str, step: int) -> dict:
-    with open(os.path.join(folder, f"ckpt-{step:05d}", "checkpoint.json"), encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(read_small(f"{folder.rstrip('/')}/ckpt-{step:05d}/checkpoint.json"))
 
 
 def audit_json(score: str = "opus_score") -> Column:

@@ -90,7 +90,7 @@ def open_folder(uri: str):
     """(file system, path) by which a Python worker reads a folder of the shared one."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(_S3.sub("s3://", uri))
+    return fs.FileSystem.from_uri(_S3.sub("s3://", uri) if "://" in uri or uri.startswith("file:") else str(Path(uri).absolute()))
 
 
 _S3 = re.compile("^s3[an]://")

@@ -1,43 +1,54 @@
-"""Ledger maintenance as a stream: each micro-batch is written once, however often it is tried.
+"""Ledger maintenance as streams: one copy of each message, and the counts of orphan references carried on.
 
-A message counts once over all batches. Each batch drops what earlier batches wrote (an anti-join on narrow keys) and its own
-copies (a partial aggregate), and overwrites the folder of its batch id, so a batch that is tried again after a failure
-leaves the same table. Late and repeated deliveries need no watermark: the table of keys is the state.
+The identities seen so far are the state of the stream (RocksDB on the executors' disks, saved with the checkpoint), so what a
+micro-batch costs follows from its own rows and not from history; with ``late`` an identity is forgotten when the watermark has
+passed it. A batch that is tried again after a failure leaves the same table, by the file sink's own log.
+
+Defined cases: a row without a required column has no identity and is kept, as in the batch operator; nulls in other identity
+columns compare equal; the copy that comes first stays, which within one micro-batch is the one that is read first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from sparkloom.functions.ids import attempt_or_zero, clean_id
-from sparkloom.sources.jsonl import exists
+from sparkloom.operators.orphans import OrphanState
+from sparkloom.operators.redelivery import MessageIdentity, fresh_prefix, ledger_identity
 
-KEYS = ("run", "branch", "att", "ledger_offset")
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumns({"run": clean_id("run_id"), "branch": clean_id("branch_id"), "att": attempt_or_zero()})
+def without_copies(stream: DataFrame, identity: MessageIdentity, time: str | None = None, late: str | None = None) -> DataFrame:
+    """``stream`` with one copy of each message; with ``late``, copies further apart in ``time`` than that may both stay."""
+    own = fresh_prefix(stream)
+    known = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in identity.required)) if identity.required else F.lit(True)
+    keys = {f"{own}{i}": c for i, c in enumerate(identity.columns.values())}
+    keyed = stream.where(known).withColumns(keys)
+    if late:
+        first = keyed.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+    else:
+        first = keyed.dropDuplicates(list(keys))
+    return first.drop(*keys).unionByName(stream.where(~known))
 
 
-def tail_ledger(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Follow the Parquet files that appear in ``source``; ``target`` holds one copy of each message."""
+def tail_ledger(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, identity: MessageIdentity | None = None, time: str | None = None, late: str | None = None, **trigger) -> StreamingQuery:
+    """Follow the Parquet files that appear in ``source``; ``target`` holds one copy of each message (of the consumption ledger
+    unless ``identity`` says otherwise)."""
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).parquet(source)
+    kept = without_copies(stream, identity or ledger_identity("consumption"), time, late)
+    return kept.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def write(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        keyed = _keyed(batch).where("ledger_offset IS NOT NULL")
-        first = keyed.groupBy(*KEYS).agg(F.min("delivery_id").alias("delivery_id")).select("delivery_id")
-        fresh = keyed.join(first, "delivery_id", "left_semi")
-        if number and exists(session, target):
-            # Only batches before this one: a second try must not see its own first.
-            old = session.read.parquet(target).where(F.col("batch") < number).select(*KEYS).distinct()
-            on = [fresh[k].eqNullSafe(old[k]) for k in KEYS]
-            fresh = fresh.join(old, on, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
+def tail_references(spark: SparkSession, source: str, schema: StructType, deltas: Callable[[DataFrame], Sequence[DataFrame]], state: OrphanState, checkpoint: str, **trigger) -> StreamingQuery:
+    """Carry the counts of ``state`` on by the changes that appear in ``source``; ``deltas`` gives a micro-batch's signed deltas."""
     stream = spark.readStream.schema(schema).parquet(source)
+    write = lambda batch, number: state.advance(number, *deltas(batch))
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

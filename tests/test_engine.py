@@ -18,6 +18,7 @@ from sparkloom.operators import evidence as E
 from sparkloom.operators import gates as G
 from sparkloom.operators import learning as L
 from sparkloom.operators import ledger as R
+from sparkloom.operators import orphans, redelivery
 from sparkloom.operators import packing as P
 from sparkloom.operators import planner as N
 from sparkloom.operators import runlog as U
@@ -271,14 +272,57 @@ def test_sinks(spark, tmp_path):
     assert [r.shard_id for r in schemas.read_manifests(spark, str(tmp_path / "m")).collect()] == ["x"]
 
 
-def test_streamed_ledger_keeps_one_copy(spark, tmp_path):
-    cols = "delivery_id long, run_id string, branch_id string, attempt int, ledger_offset int"
+@pytest.mark.parametrize("ledger", ["consumption", "learning"])
+def test_streamed_ledger_keeps_one_copy(spark, tmp_path, ledger):
+    cols = "delivery_id long, run_id string, branch_id string, attempt int, ledger_offset int, sample_id string, dv_0 string"
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
-    for part in ([(1, "R ", "m", None, 0), (2, "r", "m", 0, 0), (3, "r", "m", 0, 1)], [(4, "r", "m", 0, 1), (5, "r", "m", 1, 0), (6, "r", "m", 0, None)]):
-        df = spark.createDataFrame(part, cols)
+    identity = redelivery.ledger_identity(ledger)
+    for part in ([(1, "R ", "m", None, 0), (2, "r", "m", 0, 0), (3, "r", "m", 0, 1)], [(4, "r", "m", 0, 1), (5, "r", "m", 1, 0), (6, "r", "m", 0, None), (7, "r", "m", 0, None)]):
+        df = spark.createDataFrame([(*x, "ab"[x[0] % 2], "x") for x in part], cols)
         df.coalesce(1).write.mode("append").parquet(src)
-        tail.tail_ledger(spark, src, df.schema, out, ck).awaitTermination(60)
-    assert {r.delivery_id for r in spark.read.parquet(out).collect()} == {1, 3, 5}
+        tail.tail_ledger(spark, src, df.schema, out, ck, identity).awaitTermination(60)
+    want = {1, 3, 5, 6, 7} if ledger == "consumption" else {1, 2, 3, 4, 5, 6, 7}
+    kept = spark.read.parquet(out)
+    assert {r.delivery_id for r in kept.collect()} == want and kept.columns == df.columns
+    whole = redelivery.without_copies(spark.read.parquet(src), identity)
+    assert {r.delivery_id for r in whole.collect()} == want
+
+
+def test_streamed_references(spark, tmp_path):
+    cols = "delivery_id long, candidate_id string, logged_at timestamp, deleted_at timestamp"
+    state, ref = orphans.OrphanState(spark, str(tmp_path / "state")), orphans.LEDGER_REFERENCES[3]
+    t = dt.datetime(2025, 1, 1)
+    for part in ([(1, "a", t, None), (2, "b", t, t)], [(3, "A ", t, None)]):
+        df = spark.createDataFrame(part, cols)
+        df.write.mode("append").parquet(str(tmp_path / "src"))
+        tail.tail_references(spark, str(tmp_path / "src"), df.schema, lambda b: [orphans.count_deltas(orphans.reference_deltas(b, ref), orphans.existence_deltas(b.limit(0), "candidates", "candidate_id"))], state, str(tmp_path / "ck")).awaitTermination(60)
+    assert [(r.key, r.refs) for r in state.orphans().collect()] == [("a", 2)]
+
+
+def test_appends(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda n, step: spark.createDataFrame([("r", "m", 0, step, f"mb-{i}") for i in range(n)], "run_id string, branch_id string, attempt int, global_step int, microbatch_id string")
+    sinks.append_ledger(rows(3, 1), path)
+    sinks.append_ledger(rows(2, 2), path, 3)
+    sinks.append_ledger(rows(2, 2), path, 3)  # tried again
+    assert sorted(r.ledger_offset for r in sinks.read_appended(spark, path).collect()) == [0, 1, 2, 3, 4]
+    for start in (6, 1):
+        with pytest.raises(ValueError):
+            sinks.append_ledger(rows(1, 3), path, start)
+    good = spark.createDataFrame([(1, 1.0)], "delivery_id long, mean_loss double")
+    sinks.append_checked(good, str(tmp_path / "l"), good.limit(0), "0")
+    with pytest.raises(ValueError):
+        sinks.append_checked(good, str(tmp_path / "l"), good, "1")
+    assert sinks.read_appended(spark, str(tmp_path / "l")).count() == 1
+
+
+def test_values_of_the_wrong_type(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"id": "a", "n": "x", "l": null}\n{"id": "b", "n": null, "l": ["y"]}\n')
+    schema = T._parse_datatype_string("id string, n int, l array<string>")
+    loose = jsonl.scan(spark, str(tmp_path / "t.jsonl"), schema, strict=False).collect()
+    assert [r._problem for r in loose] == ["wrong type of n", None] and loose[1].l == ["y"]
+    with pytest.raises(Exception, match="wrong type of n"):
+        jsonl.scan(spark, str(tmp_path / "t.jsonl"), schema).collect()
 
 
 def test_windowed_counts(spark, tmp_path):
