@@ -26,7 +26,7 @@ def base_language(column: str) -> Column:
 def per_document(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, language, capability_lane, tokens): labels cleaned."""
     slim = documents.select("doc_id", label("source").alias("source"), base_language("language").alias("language"), label("capability_lane").alias("capability_lane"), "text")
-    return token_counts(slim, "text", folder, vocabulary)
+    return token_counts(slim, "text", folder, vocabulary, corpus=documents)
 
 
 def totals(counted: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Encoding of texts by a public byte-level BPE: whole columns at once.
 
-A batch is cut into the tokenizer's words with array operations on its code points. Words of the lexicon (the corpus's
-frequent words, compiled into a :class:`Transducer` with their ids) are found by walking all words of the batch together;
+A batch is cut into the tokenizer's words with array operations on its code points. Words of the lexicon (frequent
+words of a sample of the corpus, compiled into a :class:`Transducer` with their ids) are found by walking all words of the batch together;
 a word the lexicon lacks goes through the merges of the rank file themselves, once per batch and distinct word. The
 lexicon only saves time: any lexicon, an empty one included, gives the same ids.
 
@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ VOCABULARY = "byte_bpe_50k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Most words of a lexicon; the rest of a corpus's words are merged one by one.
 LEXICON_WORDS = 65_536
+#: Texts from which the lexicon is taken, files over which they are spread, and characters of a text. The lexicon only saves time:
+#: the sample decides how many words go through the merges, and no id depends on it.
+SAMPLE_TEXTS, SAMPLE_FILES, SAMPLE_CHARS = 2048, 8, 100_000
 #: Bytes of text that are cut into words at once; a longer single text is taken whole.
 CHUNK_BYTES = 1 << 20
 
@@ -207,19 +213,35 @@ def _words_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
 
-def frequent_words(texts: DataFrame, column: str, limit: int = LEXICON_WORDS, least: int = 4) -> list[bytes]:
-    """The most frequent words of all texts: at most ``limit``, each occurring ``least`` times or more, 64 bytes at most."""
-    counted = map_batches(texts.select(F.make_valid_utf8(column)), _words_of_batches, "word binary, n long").where("length(word) <= 64").groupBy("word").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r[0]) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(limit).select("word").toLocalIterator())
+def sampled_texts(texts: DataFrame, column: str) -> list[str]:
+    """Some texts, from files spread over the whole table; at most ``SAMPLE_TEXTS``, and no more of each than ``SAMPLE_CHARS``."""
+    slim = F.substring(F.make_valid_utf8(column), 1, SAMPLE_CHARS).alias("t")
+    files = sorted(texts.inputFiles())
+    chosen = files[:: max(1, -(-len(files) // SAMPLE_FILES))]
+    try:
+        parts = [texts.where(F.col("_metadata.file_path") == F.lit(re.sub("^file:/+", "file:/", f))).select(slim) for f in chosen]
+        rows = [p.limit(-(-SAMPLE_TEXTS // len(chosen))).collect() for p in parts]
+    except AnalysisException:  # no table of files
+        rows = [texts.select(slim).limit(SAMPLE_TEXTS).collect()]
+    return [r.t for part in rows for r in part if r.t]
+
+
+def frequent_words(texts: list[str], limit: int = LEXICON_WORDS, least: int = 2) -> list[bytes]:
+    """The most frequent words of some texts: at most ``limit``, each occurring ``least`` times or more, 64 bytes at most."""
+    counts: Counter[bytes] = Counter()
+    for batch in _words_of_batches(iter([pa.record_batch([pa.array(texts, pa.string())], names=["text"])])):
+        counts.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+    chosen = sorted((-n, w) for w, n in counts.items() if n >= least and len(w) <= 64)[:limit]
+    return sorted(w for _, w in chosen)
 
 
 def publish_lexicon(texts: DataFrame, column: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, limit: int = LEXICON_WORDS) -> str:
-    """Compile the lexicon of a corpus, put it into the shared folder and hand it to every executor; gives its name.
+    """Compile the lexicon of a sample of a corpus, put it into the shared folder and hand it to every executor; gives its name.
 
     The size is bounded by ``limit`` words of 64 bytes. Executors that join later fetch it too.
     """
     spark = texts.sparkSession
-    words = frequent_words(texts, column, limit)
+    words = frequent_words(sampled_texts(texts, column), limit)
     ids = merges(folder, vocabulary).encode_ordinary_batch([w.decode("utf-8") for w in words], num_threads=4)
     return publish(spark, Transducer.compile(words, ids))
 
@@ -253,11 +275,12 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return map_batches(slim, run, f"`{id_column}` {slim.dtypes[0][1]}, ids array<int>")
 
 
-def token_counts(df: DataFrame, text_column: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, out: str = "tokens") -> DataFrame:
-    """The rows of ``df`` with the number of ids of their text in place of the text."""
+def token_counts(df: DataFrame, text_column: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, out: str = "tokens", corpus: DataFrame | None = None) -> DataFrame:
+    """The rows of ``df`` with the number of ids of their text in place of the text; ``corpus``, the table ``df`` comes from, gives
+    the lexicon."""
     from pyspark.sql import types as T
 
-    lexicon = publish_lexicon(df, text_column, folder, vocabulary)
+    lexicon = publish_lexicon(df if corpus is None else corpus, text_column, folder, vocabulary)
     others = [c for c in df.columns if c != text_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ text whose SHA-256 is the item's content hash.
 Every batch of documents is a shard of its own with its own FM-index over the words that occur in any phrase (all other
 words are breaks); backward search finds all phrases of all items at once, occurrences are located from sampled suffix
 positions, and the found runs of a document are merged into removal spans. A document is searched where it is read, so
-nothing is shuffled but the hits. The phrases go to every task; a registry with more than ``PHRASES`` of them is searched
-in blocks, each over all documents.
+nothing is shuffled but the hits; the same reading compares its SHA-256. The registry's phrases and hashes are cut in tasks into
+blocks of about ``PHRASES``, a table in the shared folder that the driver never holds; a worker keeps the searchers of the last
+blocks, and a batch of documents is searched for every block when it is read.
 
 Defined cases: null texts hold nothing; blank strings, and strings of punctuation only, match nothing; null lists and hashes
 are skipped; an entry that is registered several times counts once.
@@ -17,19 +18,20 @@ are skipped; an entry that is registered several times counts once.
 from __future__ import annotations
 
 import unicodedata
-import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.fmindex import FMIndex
 from sparkloom.llm.transducer import Transducer
-from sparkloom.storage import map_batches, table
+from sparkloom.storage import map_batches, materialize, new_table, open_folder, table
 
 RUN_WORDS = 8
 #: Phrases searched at once (each at most RUN_WORDS words) and words of text in one index; a longer text is taken whole.
@@ -80,7 +82,7 @@ def phrases(strings: list[tuple[str, str]], run_words: int = RUN_WORDS) -> dict[
 class Searcher:
     """Finds phrases in columns of texts; one per task."""
 
-    def __init__(self, wanted: dict[tuple[str, ...], set[str]]) -> None:
+    def __init__(self, wanted: dict[tuple[str, ...], Collection[str]]) -> None:
         self.wanted = list(wanted)
         words = sorted({w for p in self.wanted for w in p}, key=lambda w: w.encode("utf-8"))
         number = {w: i + 1 for i, w in enumerate(words)}
@@ -150,65 +152,84 @@ class Searcher:
         yield document + began, place - heads[document], np.repeat(some, times)
 
 
-def _registry(registry: DataFrame) -> list[tuple[str, str]]:
-    """Distinct (entry, canary string), read in order; the size is bounded by the registry, searched in blocks."""
-    rows = registry.select("entry_id", F.explode("canary_strings").alias("canary")).where("entry_id IS NOT NULL AND trim(canary) <> ''").distinct().orderBy("entry_id", "canary")
-    return [(r.entry_id, r.canary) for r in rows.toLocalIterator()]
+def _phrases_of(run_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(list(p), e) for e, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in phrases([(e, c)], run_words)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.string())], names=["words", "entry_id"])
 
+    return run
 
-def _blocks(strings: list[tuple[str, str]], run_words: int) -> Iterator[dict[tuple[str, ...], set[str]]]:
-    block: dict[tuple[str, ...], set[str]] = {}
-    for one in strings:
-        for p, entries in phrases([one], run_words).items():
-            block.setdefault(p, set()).update(entries)
-        if len(block) >= PHRASES:
-            yield block
-            block = {}
-    if block:
-        yield block
 
+def compiled(registry: DataFrame, run_words: int = RUN_WORDS, size: int | None = None) -> tuple[str, int]:
+    """(folder, blocks): the distinct phrases and hashes of the registry with their entries, cut into blocks of about ``size``."""
+    spark, size = registry.sparkSession, size or PHRASES
+    strings = registry.select("entry_id", F.explode("canary_strings").alias("canary")).where("entry_id IS NOT NULL AND trim(canary) <> ''").distinct()
+    cut = map_batches(strings, _phrases_of(run_words), "words array<string>, entry_id string").withColumn("hash", F.lit(False))
+    bare = F.regexp_replace(F.lower(F.trim("content_hash")), "^sha256:", "")
+    hashes = registry.where("entry_id IS NOT NULL").select(F.array(bare).alias("words"), "entry_id", F.lit(True).alias("hash")).where("words[0] <> ''")
+    rows = materialize(cut.unionByName(hashes).groupBy("hash", "words").agg(F.array_sort(F.collect_set("entry_id")).alias("entries")), "leak-phrases")
+    blocks = -(-rows.count() // size)
+    uri = new_table(spark, "leak-blocks")
+    if blocks:
+        rows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(uri)
+    return uri, blocks
 
-def occurrences(documents: DataFrame, registry: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+
+def matches(documents: DataFrame, registry: DataFrame, run_words: int = RUN_WORDS, size: int | None = None) -> DataFrame:
     """(doc_id, entry_id, first_word, words, span_start, span_end): runs of words of an entry in a document, merged where
-    they touch or overlap; spans are code points of the text, end exclusive."""
+    they touch or overlap; spans are code points of the text, end exclusive. A text whose hash is the entry's comes out with 0
+    words and the whole text as its span."""
     schema = "doc_id long, entry_id string, first_word int, words int, span_start int, span_end int"
-    slim, parts = documents.where("text IS NOT NULL").select("doc_id", F.make_valid_utf8("text").alias("text")), []
-    for block in _blocks(_registry(registry), run_words):
-        shared = documents.sparkSession.sparkContext.broadcast(block)
-        parts.append(map_batches(slim, _search(shared), schema))
-    if not parts:
+    uri, blocks = compiled(registry, run_words, size)
+    if not blocks:
         return documents.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionAll(more)
-    return out
-
-
-#: The searcher of this worker, by the block of phrases it was made for.
-_SEARCHERS: dict[str, tuple[Searcher, list[list[str]]]] = {}
+    slim = documents.where("text IS NOT NULL").select("doc_id", F.make_valid_utf8("text").alias("text"), F.sha2("text", 256).alias("sha"))
+    return map_batches(slim, _search(uri, blocks), schema)
 
 
-def _searcher(block: str, shared) -> tuple[Searcher, list[list[str]]]:
-    """A function of the module, and not part of the task's own code, so that it finds what an earlier task left."""
-    if block not in _SEARCHERS:
-        _SEARCHERS.clear()
-        _SEARCHERS[block] = Searcher(shared.value), [sorted(e) for e in shared.value.values()]
-    return _SEARCHERS[block]
-
+def occurrences(documents: DataFrame, registry: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """The runs of words of :func:`matches`."""
+    return matches(documents, registry, run_words).where("words > 0")
 
-def _search(shared):
-    block = uuid.uuid4().hex
 
+def hashed(documents: DataFrame, registry: DataFrame) -> DataFrame:
+    """(doc_id, entry_id): documents whose whole text has the content hash of an entry."""
+    return matches(documents, registry).where("words = 0").select("doc_id", "entry_id")
+
+
+@lru_cache(maxsize=2)
+def _block(uri: str, number: int) -> tuple[Searcher, list[list[str]], dict[str, list[str]]]:
+    """Searcher, entries of its phrases, and entries by hash of a block; a worker keeps the last ones."""
+    system, path = open_folder(uri)
+    wanted: dict[tuple[str, ...], list[str]] = {}
+    hashes: dict[str, list[str]] = {}
+    if system.get_file_info(f"{path}/_SUCCESS").type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"{uri} is not seen here: spark.checkpoint.dir must be a folder that all executors share")
+    for info in system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as f:
+                for r in pq.ParquetFile(f).read().to_pylist():
+                    if r["hash"]:
+                        hashes[r["words"][0]] = r["entries"]
+                    else:
+                        wanted[tuple(r["words"])] = r["entries"]
+    return Searcher(wanted), list(wanted.values()), hashes
+
+
+def _search(uri: str, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher, entries = _searcher(block, shared)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, digests = (batch.column(k).to_pylist() for k in range(3))
             found: dict[tuple[int, str], list[tuple[int, int]]] = {}
-            for document, first, phrase in searcher.hits(texts):
-                for d, w, p in zip(document.tolist(), first.tolist(), phrase.tolist(), strict=True):
-                    for e in entries[p]:
-                        found.setdefault((d, e), []).append((w, w + int(searcher.lengths[p])))
             rows, places = [], {}
+            for number in range(blocks):
+                searcher, entries, hashes = _block(uri, number)
+                rows += [(ids[d], e, -1, 0, 0, len(texts[d])) for d, digest in enumerate(digests) for e in hashes.get(digest, ())]
+                for document, first, phrase in searcher.hits(texts):
+                    for d, w, p in zip(document.tolist(), first.tolist(), phrase.tolist(), strict=True):
+                        for e in entries[p]:
+                            found.setdefault((d, e), []).append((w, w + int(searcher.lengths[p])))
             for (d, e), runs in sorted(found.items()):
                 if d not in places:
                     places = {d: word_spans(texts[d])}
@@ -237,17 +258,10 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in regex.finditer(r"[^\s\x1c-\x1f]+", text) for _ in words_of(m.group())]
 
 
-def hashed(documents: DataFrame, registry: DataFrame) -> DataFrame:
-    """(doc_id, entry_id): documents whose whole text has the content hash of an entry."""
-    bare = F.regexp_replace(F.lower(F.trim("content_hash")), "^sha256:", "")
-    items = registry.select("entry_id", bare.alias("sha")).where("entry_id IS NOT NULL AND sha <> ''").distinct()
-    return documents.where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha")).join(items, "sha").select("doc_id", "entry_id")
-
-
 def found(spark, sf_dir: str) -> DataFrame:
     """(doc_id, entry_id) of every document and the entries that it leaks."""
     documents, registry = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_registry")
-    return occurrences(documents, registry).select("doc_id", "entry_id").unionAll(hashed(documents, registry)).distinct()
+    return matches(documents, registry).select("doc_id", "entry_id").distinct()
 
 
 def spans(spark, sf_dir: str) -> DataFrame:

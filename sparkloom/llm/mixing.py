@@ -107,7 +107,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, fold
     spark = documents.sparkSession
     wanted = targets.select(reference("source").alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     slim = documents.select("doc_id", reference("source").alias("source"), "text")
-    sized = materialize(token_counts(slim, "text", folder, vocabulary), "mix-sizes").where("tokens > 0 AND source IS NOT NULL")
+    sized = materialize(token_counts(slim, "text", folder, vocabulary, corpus=documents), "mix-sizes").where("tokens > 0 AND source IS NOT NULL")
     supply = wanted.join(sized.groupBy("source").agg(F.sum("tokens").alias("supply")), "source", "left")
     rows = supply.orderBy("source").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:

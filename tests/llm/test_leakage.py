@@ -68,6 +68,7 @@ def test_operator_against_brute_force(spark):
     r = spark.createDataFrame(registry, "entry_id string, canary_strings array<string>, content_hash string")
     found = leakage.occurrences(d, r).select("doc_id", "entry_id").unionAll(leakage.hashed(d, r)).distinct()
     assert {tuple(x) for x in found.collect()} == want
+    assert {(x.doc_id, x.entry_id) for x in leakage.matches(d, r, size=7).collect()} == want  # many blocks, one reading
     for x in leakage.occurrences(d, r).collect():
         assert len(leakage.words_of(docs[x.doc_id][x.span_start : x.span_end])) == x.words
     assert leakage.occurrences(d.limit(0), r).count() == 0 and leakage.occurrences(d, r.limit(0)).count() == 0
