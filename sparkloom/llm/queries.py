@@ -20,6 +20,7 @@ def queries() -> dict:
         "p7_ids": lambda s, d: encoder.encode_texts(documents(s, d)),
         "p8_draw": mixing.draw,
         "p8_shares": mixing.shares,
+        "p8_shares_of_supply": lambda s, d: mixing.shares(s, d, "supply"),
         "p9_found": mojibake.found,
         "p9_restored": lambda s, d: mojibake.damaged(documents(s, d)),
     }

@@ -51,3 +51,25 @@ def test_draw(spark):
     supply = {s: sum(sizes[i] for i, x, *_ in rows if x and x.strip().lower() == s) for s in caps}
     assert any(abs(by[s] - supply[s] * caps[s]) < 60 for s in caps)
     assert mixing.mix(docs.limit(0), targets).draw.count() == 0
+
+
+def test_blocks_follow_the_smallest_quota():
+    quota = lambda *n: [mixing.Quota(str(i), 0.1, 1, x, x) for i, x in enumerate(n)]
+    assert mixing.block_tokens(quota(4000, 90_000)) == 250 and mixing.block_tokens(quota(3, 50)) == 1
+    assert mixing.block_tokens(quota(10**7, 10**8)) == mixing.BLOCK_TOKENS and mixing.block_tokens([]) >= 1
+    assert mixing.block_tokens(quota(10**13, 100)) == -(-(10**13 + 100) // mixing.MOST_BLOCKS)
+
+
+def test_gap_is_filled_by_several(spark):
+    rows = [("a", 1, 60, -1, 1000, 100), ("a", 2, 30, -1, 1000, 100), ("a", 3, 8, -1, 1000, 100), ("a", 4, 111, -1, 1000, 100), ("b", 5, 103, 0, 500, 100), ("b", 6, 7, 0, 500, 100), ("c", 7, 900, 0, 500, 10)]
+    free = spark.createDataFrame(rows, "source string, doc_id long, tokens long, last int, quota long, gap long")
+    got = sorted(tuple(r) for r in mixing._fillers(free).collect())
+    assert got == [("a", 1, 60, 0, 900), ("a", 2, 30, 0, 960), ("a", 3, 8, 0, 990), ("b", 5, 103, 1, 400)]
+
+
+def test_shortfalls_are_reported(spark, tmp_path):
+    docs = [(i, "small" if i < 2 else "large", "word " * 50) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("small", 0.5, 2), ("large", 0.5, 1)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mixture_targets.parquet"))
+    rows = {r.source: r for r in mixing.shares(spark, str(tmp_path), "supply").collect()}
+    assert rows["small"].tokens == 2 * rows["small"].supply_tokens and rows["small"].actual_share < 0.5 < rows["large"].actual_share
