@@ -1,22 +1,26 @@
 """Screening of candidate batches against held-out items, scoring and decisions.
 
-Identity overlaps are equi-joins on unnested ids. A held-out string is looked for as a substring, without regard to case:
-the string's longest inner word must be a word of the text, which makes the search an equi-join on words, and only the
-pairs it gives are compared in full. Strings of fewer than three words have no inner word; their number is checked.
+Identity and hash overlaps are equi-joins on unnested ids. Held-out strings are looked for as substrings, without regard to
+case, by one automaton over all strings while the texts are read. What is found in a document counts for every candidate that
+names it; screening comes first, and a candidate it blocks is neither scored nor audited.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import bare_hash, decision_id, unit_float
 from sparkloom.functions.ids import BLANKS
+from sparkloom.operators.textsearch import contained
 
-#: Most strings that go to every task.
-STRINGS = 10_000
+#: Reasons against a candidate, in the order in which they are given.
+REASONS = ("never_train_shard_id", "never_train_document_id", "exact_content_hash", "canary_string_match", "benchmark_overlap_stub")
+#: What a curriculum band adds to a score.
+BAND_BONUS = {"B1": 0.08, "B2": 0.05, "B3": 0.02, "B4": 0.0, "B5": -0.05}
 
 
 def registry_entries(registry: DataFrame) -> DataFrame:
@@ -37,29 +41,10 @@ def identity_overlaps(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     return parts[0].unionAll(parts[1]).distinct()
 
 
-def text_overlaps(documents: DataFrame, registry: DataFrame, limit: int = STRINGS) -> DataFrame:
-    """(document_id, entry_id): texts that contain one of the entry's strings. Up to ``limit`` strings go to every task and texts
-    are searched where they are read; beyond, words and strings are joined, and only candidate pairs meet their text again."""
-    strings = registry_entries(registry).select("entry_id", F.explode("canaries").alias("c")).select("entry_id", F.lower("c").alias("s")).distinct()
-    inner = F.expr("slice(split(s, ' '), 2, greatest(size(split(s, ' ')) - 2, 0))")
-    anchor = F.expr("array_max(transform(w, x -> struct(length(x) AS n, x AS x))).x")
-    anchored = strings.withColumn("w", F.filter(inner, lambda x: x != "")).withColumn("anchor", anchor).select("entry_id", "s", "anchor")
-    rows = anchored.limit(limit + 1).collect()
-    lowered = documents.where("text IS NOT NULL").select("document_id", F.lower("text").alias("t"))
-    words = F.array_distinct(F.split("t", " "))
-    if len(rows) <= limit:
-        known = F.array(*[F.lit(a) for a in sorted({r.anchor for r in rows if r.anchor})]).cast("array<string>")
-        # The empty anchor stands for strings without an inner word: every text is compared with those.
-        kept = lowered.select("document_id", "t", F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words, known))).alias("anchor"))
-        table_ = documents.sparkSession.createDataFrame([(r.entry_id, r.s, r.anchor or "") for r in rows], "entry_id string, s string, anchor string")
-        return kept.join(F.broadcast(table_), "anchor").where(F.contains("t", "s")).select("document_id", "entry_id").distinct()
-    short = anchored.where("anchor IS NULL").limit(limit + 1).collect()
-    if len(short) > limit:
-        raise ValueError(f"more than {limit} strings of fewer than three words")
-    pairs = lowered.select("document_id", F.explode(words).alias("anchor")).join(anchored.where("anchor IS NOT NULL"), "anchor").select("document_id", "entry_id", "s")
-    hits = pairs.join(lowered, "document_id").where(F.contains("t", "s")).select("document_id", "entry_id")
-    tests = F.array(*[F.when(F.contains("t", F.lit(r.s)), F.lit(r.entry_id)) for r in short]).cast("array<string>")
-    return hits.unionAll(lowered.select("document_id", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("entry_id"))).distinct()
+def text_overlaps(documents: DataFrame, registry: DataFrame) -> DataFrame:
+    """(document_id, entry_id): texts that contain one of the entry's strings."""
+    strings = registry_entries(registry).select("entry_id", F.explode("canaries").alias("c")).select("entry_id", F.lower("c").alias("s"))
+    return contained(documents.select("document_id", F.lower("text").alias("t")), strings).distinct()
 
 
 def hash_overlaps(documents: DataFrame, registry: DataFrame) -> DataFrame:
@@ -67,6 +52,83 @@ def hash_overlaps(documents: DataFrame, registry: DataFrame) -> DataFrame:
     return documents.where("text IS NOT NULL").select("document_id", F.sha2("text", 256).alias("sha")).join(registry_entries(registry).select("sha", "entry_id").where("sha <> ''"), "sha").select("document_id", "entry_id").distinct()
 
 
+def overlaps(candidates: DataFrame, registry: DataFrame, documents: DataFrame) -> DataFrame:
+    """(candidate_id, place, entry_id): every reason (``REASONS[place]``) against a candidate with the entries that give it.
+
+    Shards, documents and hashes count where an entry of theirs is never to be trained on; strings count of every entry. A
+    benchmark whose name begins with ``mmlu`` also stands for texts with both words ``mmlu`` and ``holdout``."""
+    entries = registry.select("entry_id", "document_id", "shard_id", bare_hash(F.col("content_hash")).alias("sha"), F.coalesce("never_train", F.lit(False)).alias("never"), "benchmark_id").distinct()
+    named = candidates.select("candidate_id", F.explode("sample_ids").alias("document_id")).distinct()
+    held = entries.where("never")
+    shards = candidates.select("candidate_id", F.explode("shard_ids").alias("shard_id")).distinct().join(held.select("shard_id", "entry_id"), "shard_id")
+    # What a document's text gives is found once per document, and then joined to the candidates that name it.
+    bad = held.where("sha <> ''").select("sha").distinct()
+    hashes = documents.where("text IS NOT NULL").select("document_id", F.sha2("text", 256).alias("sha")).join(bad, "sha", "left_semi").join(entries.select("sha", "entry_id"), "sha")
+    both = F.lower("text").contains("mmlu") & F.lower("text").contains("holdout")
+    family = F.lit("mmlu").alias("family")
+    stub = documents.where(both).select("document_id", family).join(entries.where("benchmark_id LIKE 'mmlu%'").select(family, "entry_id"), "family")
+    kinds = [held.where("document_id IS NOT NULL").select("document_id", "entry_id"), hashes.select("document_id", "entry_id"), text_overlaps(documents, registry), stub.select("document_id", "entry_id")]
+    found = reduce(DataFrame.unionAll, [k.select("document_id", F.lit(place).alias("place"), "entry_id") for place, k in enumerate(kinds, 1)])
+    return shards.select("candidate_id", F.lit(0).alias("place"), "entry_id").unionAll(named.join(found, "document_id").select("candidate_id", "place", "entry_id")).distinct()
+
+
+def screened(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """(candidate_id, decision, reasons, entries): every candidate once; reasons in their order, entries sorted."""
+    names = F.array(*[F.lit(r) for r in REASONS])
+    sums = found.groupBy("candidate_id").agg(F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set("entry_id")).alias("entries"))
+    joined = candidates.select("candidate_id").distinct().join(sums, "candidate_id", "left")
+    none = F.array().cast("array<string>")
+    reasons = F.coalesce(F.transform("places", lambda p: F.get(names, p)), none)
+    return joined.select("candidate_id", F.when(F.col("places").isNull(), "allowed").otherwise("blocked").alias("decision"), reasons.alias("reasons"), F.coalesce("entries", none).alias("entries"))
+
+
+def contexts(candidates: DataFrame, documents: DataFrame) -> DataFrame:
+    """Candidates with what their documents say, in the order of the samples: ``hashes``, ``lane`` and ``band`` of the first sample
+    that has one, and ``estimate``, the characters of all samples; unknown samples say nothing."""
+    base = candidates.select("candidate_id", "run_id", "branch_id", "global_step", "sample_ids", "shard_ids").distinct()
+    band = F.col("curriculum_band") if "curriculum_band" in documents.columns else F.lit(None).cast("string")
+    facts = documents.select("document_id", F.sha2("text", 256).alias("sha"), F.col("capability_lane").alias("lane"), band.alias("band"), F.col("n_chars").alias("n"))
+    samples = base.select("candidate_id", F.posexplode("sample_ids").alias("pos", "document_id")).distinct()
+    known = samples.join(facts, "document_id").groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sha", "lane", "band", "n"))).alias("s"))
+    first = lambda name: F.get(F.filter(F.transform("s", lambda x: x[name]), lambda x: x.isNotNull()), F.lit(0))
+    hashes = F.filter(F.transform("s", lambda x: x["sha"]), lambda x: x.isNotNull())
+    estimate = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n"], F.lit(0)))
+    joined = base.join(known, "candidate_id", "left")
+    return joined.select(*base.columns, F.coalesce(hashes, F.array().cast("array<string>")).alias("hashes"), first("lane").alias("lane"), first("band").alias("band"), F.coalesce(estimate, F.lit(0)).alias("estimate"))
+
+
+def context_score(seed: int, stage: str) -> Column:
+    """A score in [0, 1]: drawn from all that identifies a candidate in its context, plus what its band adds."""
+    bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BAND_BONUS.items() for x in kv]), F.col("band")), F.lit(0.0))
+    drawn = unit_float(F.col("run_id"), F.col("branch_id"), seed, F.col("global_step"), F.col("candidate_id"), F.col("shard_ids"), F.col("hashes"), F.col("lane"), stage, F.col("path"))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), drawn + bonus))
+
+
+def audited(contexts_: DataFrame, seed: int, *, accept: float, protected: Sequence[str], stage: str, band: float = 0.15, score: Callable[[int, str], Column] = context_score) -> DataFrame:
+    """The audit row of each candidate from its context and ``path``: the floor's path is accepted without a score; else the score
+    decides, and a protected lane is taken in spite of it."""
+    defer = max(0.0, accept - band)
+    valued = contexts_.withColumn("score", F.when(F.col("path") != "always_on", score(seed, stage)))
+    free, kept = F.col("score").isNull(), F.coalesce(F.col("lane").isin(*protected), F.lit(False)) if protected else F.lit(False)
+    good, late = F.col("score") >= accept, F.col("score") >= defer
+    decision = F.when(free | good, "accepted").when(kept, "protected_override").when(late, "deferred").otherwise("rejected")
+    text = lambda form, *more: F.format_string(form, F.col("score"), *more)
+    reason = (
+        F.when(free | good, F.lit(None).cast("string"))
+        .when(kept, text("score %.4f below threshold %.4f; protected floor applied for lane %s", F.lit(accept), F.col("lane")))
+        .when(late, text("score %.4f below accept threshold %.4f; candidate deferred for later stage review", F.lit(accept)))
+        .otherwise(text("score %.4f below defer threshold %.4f", F.lit(defer)))
+    )
+    named = decision_id(F.col("run_id"), F.col("branch_id"), F.col("global_step"), F.col("candidate_id"))
+    return valued.select(named.alias("opus_decision_id"), "candidate_id", "global_step", "run_id", "branch_id", "sample_ids", "shard_ids", F.col("lane").alias("capability_lane"), F.lit(stage).alias("curriculum_stage"), "path", F.col("score").alias("opus_score"), decision.alias("decision"), reason.alias("rejection_reason"), (~free & ~good & kept).alias("protected_floor_override"), free.alias("opus_bypassed"), F.col("estimate").alias("effective_token_estimate"))
+
+
+def gated(candidates: DataFrame, registry: DataFrame, documents: DataFrame, path: Column, seed: int, **rules) -> DataFrame:
+    """Audit rows of the candidates that screening allows."""
+    allowed = screened(candidates, overlaps(candidates, registry, documents)).where("decision = 'allowed'").select("candidate_id")
+    return audited(contexts(candidates.join(allowed, "candidate_id", "left_semi"), documents).withColumn("path", path), seed, **rules)
+
+
 def build_registry(documents: DataFrame, shard_members: DataFrame, held_out: Column, benchmark: str) -> DataFrame:
     """Entries for the documents that ``held_out`` is true of: their hash, their shard (the last by id, null without one) and one
     string to look for, the title or else the first 48 characters."""

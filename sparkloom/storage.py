@@ -109,6 +109,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_blocks(rows: DataFrame, label: str, size: int) -> tuple[str, int]:
+    """(folder, blocks): ``rows`` in the shared folder, dealt by hash into blocks of about ``size`` rows that workers read one by one."""
+    kept = materialize(rows, label)
+    blocks = -(-kept.count() // size)
+    uri = new_table(rows.sparkSession, f"{label}-blocks")
+    if blocks:
+        from pyspark.sql import functions as F
+
+        kept.withColumn("block", F.pmod(F.xxhash64(*kept.columns), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(uri)
+    return uri, blocks
+
+
+def read_block(uri: str, number: int) -> list[dict]:
+    """A block of :func:`write_blocks`, in a worker."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = open_folder(uri)
+    if system.get_file_info(f"{path}/_SUCCESS").type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"{uri} is not seen here: {_KEY} must be a folder that all executors share")
+    out: list[dict] = []
+    for info in system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as f:
+                out += pq.ParquetFile(f).read().to_pylist()
+    return out
+
+
 def small_side(df: DataFrame, label: str, most_rows: int) -> DataFrame:
     """``df``, worked out once, with a broadcast hint if it has at most ``most_rows`` rows; else the join is left to shuffle."""
     from pyspark.sql.functions import broadcast
