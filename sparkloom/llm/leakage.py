@@ -23,15 +23,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import regex
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.fmindex import FMIndex
 from sparkloom.llm.transducer import Transducer
-from sparkloom.storage import map_batches, materialize, new_table, open_folder, table
+from sparkloom.storage import map_batches, read_block, table, write_blocks
 
 RUN_WORDS = 8
 #: Phrases searched at once (each at most RUN_WORDS words) and words of text in one index; a longer text is taken whole.
@@ -163,17 +161,12 @@ def _phrases_of(run_words: int):
 
 def compiled(registry: DataFrame, run_words: int = RUN_WORDS, size: int | None = None) -> tuple[str, int]:
     """(folder, blocks): the distinct phrases and hashes of the registry with their entries, cut into blocks of about ``size``."""
-    spark, size = registry.sparkSession, size or PHRASES
     strings = registry.select("entry_id", F.explode("canary_strings").alias("canary")).where("entry_id IS NOT NULL AND trim(canary) <> ''").distinct()
     cut = map_batches(strings, _phrases_of(run_words), "words array<string>, entry_id string").withColumn("hash", F.lit(False))
     bare = F.regexp_replace(F.lower(F.trim("content_hash")), "^sha256:", "")
     hashes = registry.where("entry_id IS NOT NULL").select(F.array(bare).alias("words"), "entry_id", F.lit(True).alias("hash")).where("words[0] <> ''")
-    rows = materialize(cut.unionByName(hashes).groupBy("hash", "words").agg(F.array_sort(F.collect_set("entry_id")).alias("entries")), "leak-phrases")
-    blocks = -(-rows.count() // size)
-    uri = new_table(spark, "leak-blocks")
-    if blocks:
-        rows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(uri)
-    return uri, blocks
+    rows = cut.unionByName(hashes).groupBy("hash", "words").agg(F.array_sort(F.collect_set("entry_id")).alias("entries"))
+    return write_blocks(rows, "leak-phrases", size or PHRASES)
 
 
 def matches(documents: DataFrame, registry: DataFrame, run_words: int = RUN_WORDS, size: int | None = None) -> DataFrame:
@@ -201,19 +194,13 @@ def hashed(documents: DataFrame, registry: DataFrame) -> DataFrame:
 @lru_cache(maxsize=2)
 def _block(uri: str, number: int) -> tuple[Searcher, list[list[str]], dict[str, list[str]]]:
     """Searcher, entries of its phrases, and entries by hash of a block; a worker keeps the last ones."""
-    system, path = open_folder(uri)
     wanted: dict[tuple[str, ...], list[str]] = {}
     hashes: dict[str, list[str]] = {}
-    if system.get_file_info(f"{path}/_SUCCESS").type == fs.FileType.NotFound:
-        raise FileNotFoundError(f"{uri} is not seen here: spark.checkpoint.dir must be a folder that all executors share")
-    for info in system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True)):
-        if info.path.endswith(".parquet"):
-            with system.open_input_file(info.path) as f:
-                for r in pq.ParquetFile(f).read().to_pylist():
-                    if r["hash"]:
-                        hashes[r["words"][0]] = r["entries"]
-                    else:
-                        wanted[tuple(r["words"])] = r["entries"]
+    for r in read_block(uri, number):
+        if r["hash"]:
+            hashes[r["words"][0]] = r["entries"]
+        else:
+            wanted[tuple(r["words"])] = r["entries"]
     return Searcher(wanted), list(wanted.values()), hashes
 
 
