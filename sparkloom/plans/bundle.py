@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import shard_id
-from sparkloom.functions.ids import reference
+from sparkloom.functions.ids import clean_id, reference
 from sparkloom.operators import documents as D
 from sparkloom.operators import evidence as E
 from sparkloom.operators import schedule as S
@@ -85,7 +85,7 @@ _same(_1, "gate_blocked_some", "admission_reasons", "admission = 'blocked'", 1)
 _same(_1, "admitted_without_reason", "admission_reasons", "(admission = 'admitted') <> (reasons = '')")
 _same(_2, "hash_recorded", "consumption", "tokenizer_hash IS NULL")
 _same(_2, "hash_well_formed", "consumption", "substr(tokenizer_hash, 1, 4) <> 'tok_'")
-_rows(_2, "one_hash", None, lambda s, d: table(s, d, "consumption").select("tokenizer_hash").distinct().subtract(table(s, d, "consumption").agg(F.min("tokenizer_hash").alias("tokenizer_hash"))), "SELECT DISTINCT tokenizer_hash FROM consumption EXCEPT SELECT min(tokenizer_hash) FROM consumption")
+_rows(_2, "one_hash_a_run", None, lambda s, d: table(s, d, "consumption").groupBy(clean_id("run_id").alias("run")).agg(F.countDistinct("tokenizer_hash").alias("n")).where("n > 1"), f"SELECT {_clean('run_id')} AS run FROM consumption GROUP BY ALL HAVING count(DISTINCT tokenizer_hash) > 1")
 _distinct(_3, "two_policies", "packing_utilization", "packing_policy", 2)
 _rows(_3, "utilizations_differ", 2, lambda s, d: engine.packing_utilization(s, d).where("packing_policy IS NOT NULL").select(F.round("utilization", 4).alias("u")).distinct(), f"SELECT DISTINCT round(utilization, 4) AS u FROM ({KNOWN['packing_utilization']}) WHERE packing_policy IS NOT NULL")
 _rows(_3, "policies_known", None, lambda s, d: table(s, d, "packing_utilization").where("packing_policy NOT IN ('concat_and_chop', 'structure_preserving', 'pad_only')"), "SELECT * FROM packing_utilization WHERE packing_policy NOT IN ('concat_and_chop', 'structure_preserving', 'pad_only')")

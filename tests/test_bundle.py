@@ -29,7 +29,7 @@ CASES = [
     ("consumption", lambda df: df.withColumn("attention_policy", F.when(F.col("delivery_id") % 50 == 0, "full").otherwise(F.col("attention_policy"))), "attention_is_causal"),
     ("consumption", lambda df: df.withColumn("loss_mask_hash", F.when(F.col("delivery_id") % 50 == 0, "none").otherwise(F.col("loss_mask_hash"))), "mask_hashed"),
     ("consumption", lambda df: df.where("coalesce(attempt, 0) = 0"), "resumed_attempts"),
-    ("consumption", lambda df: df.withColumn("tokenizer_hash", F.when(F.col("delivery_id") % 50 == 0, "tok_other").otherwise(F.col("tokenizer_hash"))), "one_hash"),
+    ("consumption", lambda df: df.withColumn("tokenizer_hash", F.when(F.col("delivery_id") % 50 == 0, "tok_other").otherwise(F.col("tokenizer_hash"))), "one_hash_a_run"),
     ("packing_utilization", lambda df: df.withColumn("useful_tokens", F.col("capacity") + 1), "loss_within_useful_within_capacity"),
     ("opus_audit", lambda df: df.where("decision = 'accepted'"), "four_decisions"),
     ("eval_registry", lambda df: df.where("false"), "held_out_known"),
