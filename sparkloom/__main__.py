@@ -13,7 +13,7 @@ def known() -> dict:
     if importlib.util.find_spec("__spark_entry__"):
         return importlib.import_module("__spark_entry__").queries()
     out: dict = {}
-    for name in ("general", "engine", "gating", "bundle"):
+    for name in ("general", "engine", "gating", "bundle", "records"):
         out |= importlib.import_module(f"sparkloom.plans.{name}").queries()
     return out
 

@@ -159,3 +159,31 @@ def numbered_in_order(df: DataFrame, order: list[str], buckets: Column, out: str
     starts = sizes.select("__b", F.coalesce(F.sum("__n").over(start), F.lit(0)).alias("__s"))
     inner = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
     return keyed.withColumn("__r", inner).join(starts, "__b").withColumn(out, F.col("__s") + F.col("__r") - 1).drop("__b", "__r", "__s")
+
+
+def provenance_violations(provenance: DataFrame) -> DataFrame:
+    """(id, rule) of provenance records without an id or a list of transforms; keys are checked where the lines are read."""
+    rules = {"id_missing": F.col("id").isNull() | (F.btrim("id", F.lit(BLANKS)) == ""), "transforms_missing": F.col("transforms").isNull()}
+    named = F.filter(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules.items()]), lambda x: x.isNotNull())
+    return provenance.select("id", F.explode(named).alias("rule"))
+
+
+def overlap_status(pool: DataFrame, found: DataFrame) -> DataFrame:
+    """(shard_id, eval_overlap_status): ``detected`` if any document of the shard is among ``found``, else ``clear``."""
+    hits = found.select("document_id").distinct().withColumn("hit", F.lit(True))
+    joined = pool.select("shard_id", "document_id").join(hits, "document_id", "left")
+    return joined.groupBy("shard_id").agg(F.when(F.bool_or(F.coalesce("hit", F.lit(False))), "detected").otherwise("clear").alias("eval_overlap_status"))
+
+
+def membership_mismatches(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """(shard_id, document_id, side) where the documents a shard names and those that name it are not the same set: ``only_named``
+    or ``only_there``; both sides have (shard_id, document_id)."""
+    a = members.select("shard_id", "document_id").distinct().withColumn("a", F.lit(True))
+    b = documents.select("shard_id", "document_id").distinct().withColumn("b", F.lit(True))
+    both = a.join(b, ["shard_id", "document_id"], "full_outer").where("a IS NULL OR b IS NULL")
+    return both.select("shard_id", "document_id", F.when(F.col("b").isNull(), "only_named").otherwise("only_there").alias("side"))
+
+
+def admission_lists(admitted: DataFrame) -> DataFrame:
+    """(admission, shards, shard_ids): the registry with its sorted id lists, bounded by the number of shards."""
+    return admitted.groupBy("admission").agg(F.count("*").alias("shards"), F.array_sort(F.collect_list("shard_id")).alias("shard_ids"))

@@ -117,3 +117,43 @@ def audit_links(consumption: DataFrame, audit: DataFrame) -> DataFrame:
     rows = consumption.select(reference("opus_decision_id").alias("decision_id")).where("decision_id IS NOT NULL").groupBy("decision_id").agg(F.count("*").alias("n"))
     outcome = F.when(F.col("decision").isNull(), "missing").when(F.col("decision").isin("accepted", "protected_override"), "accepted").otherwise("not_accepting")
     return rows.join(last, "decision_id", "left").groupBy(outcome.alias("outcome")).agg(F.sum("n").alias("batches"))
+
+
+def offset_falls(rows: DataFrame, order: str = "delivery_id", size: int = 100_000) -> DataFrame:
+    """(run, branch, attempt, order, off, previous): rows whose offset is below that of the row before in the attempt. An attempt is
+    cut by ranges of the order; the first row of a range follows the last of the range before."""
+    key = ["run", "branch", "attempt"]
+    cut = rows.select(*key, F.col(order).alias("o"), "off").where("off IS NOT NULL").withColumn("part", F.floor(F.col("o") / size))
+    inner = cut.withColumn("previous", F.lag("off").over(Window.partitionBy(*key, "part").orderBy("o"))).where("off < previous").select(*key, "o", "off", "previous")
+    ends = cut.groupBy(*key, "part").agg(F.min("o").alias("o"), F.min_by("off", "o").alias("off"), F.max_by("off", "o").alias("end"))
+    edges = ends.withColumn("previous", F.lag("end").over(Window.partitionBy(*key).orderBy("part"))).where("off < previous").select(*key, "o", "off", "previous")
+    return inner.unionAll(edges).withColumnRenamed("o", order)
+
+
+def replay_order(messages: DataFrame) -> DataFrame:
+    """The newest row of each microbatch with ``position``, its place in order of step and microbatch within run and branch."""
+    top = messages.groupBy("run", "branch", "microbatch_id").agg(F.max_by(F.struct("attempt", "off", "global_step"), F.struct("attempt", "off")).alias("row")).select("run", "branch", "microbatch_id", "row.*")
+    placed = assigned_offsets(top.withColumnRenamed("attempt", "of_attempt").withColumn("attempt", F.lit(0)))
+    return placed.select("run", "branch", "microbatch_id", F.col("of_attempt").alias("attempt"), "off", "global_step", F.col("assigned").alias("position"))
+
+
+def rebuilt(messages: DataFrame, records: DataFrame, length: int) -> DataFrame:
+    """(run, branch, attempt, off, windows, useful, rebuilt_hash): batches built again from the samples that their rows name.
+
+    ``records`` (document_id, token_ids) has a document once; unknown samples take no place. The samples lie end to end in their
+    order, in windows of ``length``; the hash is that of all ids of the windows."""
+    from sparkloom.operators.packing import concat_and_chop
+
+    samples = messages.select(*KEY, F.posexplode("packed_sample_ids").alias("pos", "document_id")).join(records, "document_id")
+    chopped = concat_and_chop(samples.withColumn("batch", F.concat_ws("\u0001", *KEY)), length, group="batch", order="pos")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("window", "tokens"))), lambda w: F.array_join(w["tokens"], ","))
+    sums = chopped.groupBy("batch").agg(F.count("*").alias("windows"), F.sum("useful").alias("useful"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(ids, ","), 256)).alias("rebuilt_hash"))
+    return messages.select(*KEY, F.concat_ws("\u0001", *KEY).alias("batch")).join(sums, "batch").drop("batch")
+
+
+def replayed(report: DataFrame, messages: DataFrame) -> DataFrame:
+    """(outcome, batches) of a replay report (run, branch, attempt, off, rebuilt_hash) against the ledger's own rows: ``matched``,
+    ``differs``, or ``not_in_ledger``."""
+    own = messages.select(*KEY, "batch_content_hash", F.lit(True).alias("there"))
+    outcome = F.when(F.col("there").isNull(), "not_in_ledger").when(F.col("rebuilt_hash").eqNullSafe(F.col("batch_content_hash")), "matched").otherwise("differs")
+    return report.join(own, KEY, "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("batches"))

@@ -60,3 +60,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, shard_hash, ids) of the binary shards under ``path``; invalid ones have null ids."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
     return files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("shard_hash"), decoded("content").alias("ids"))
+
+
+def encoded_records(records: DataFrame, by: str = "shard_id", key: str = "document_id", ids: str = "token_ids") -> DataFrame:
+    """(by, data): the text shard of each group, a line of compact JSON a record with keys in order, records in order of ``key``
+    (equal ones by their line). A group whose records all lack ids has no shard; shards are bounded by their builder."""
+    line = F.concat(F.lit('{"document_id":'), F.to_json(F.array(F.col(key).cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(key).cast("string")))) - 2), F.lit(',"token_ids":['), F.array_join(ids, ","), F.lit("]}"))
+    rows = records.where(F.size(ids) > 0).select(by, F.struct(F.col(key).alias("k"), line.alias("line")).alias("r"))
+    lines = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"])
+    return rows.groupBy(by).agg(F.encode(F.concat(F.array_join(lines, "\n"), F.lit("\n")), "utf-8").alias("data"))
+
+
+def decoded_records(data: str) -> Column:
+    """(document_id, token_ids) of the lines of a text shard; null if a line is no such object or there is none."""
+    schema = "document_id string, token_ids array<bigint>"
+    lines = F.filter(F.split(F.decode(F.col(data), "utf-8"), "\r\n|[\n\r]"), lambda x: F.trim(x) != "")
+    rows = F.transform(lines, lambda x: F.from_json(x, schema))
+    return bound(rows, lambda rs: F.when((F.size(rs) > 0) & F.forall(rs, lambda r: r["document_id"].isNotNull() & r["token_ids"].isNotNull()), rs))
