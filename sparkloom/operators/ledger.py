@@ -145,7 +145,7 @@ def rebuilt(messages: DataFrame, records: DataFrame, length: int) -> DataFrame:
     from sparkloom.operators.packing import concat_and_chop
 
     samples = messages.select(*KEY, F.posexplode("packed_sample_ids").alias("pos", "document_id")).join(records, "document_id")
-    chopped = concat_and_chop(samples.withColumn("batch", F.concat_ws("\u0001", *KEY)), length, group="batch", order="pos")
+    chopped = concat_and_chop(samples.withColumn("batch", F.concat_ws("\u0001", *KEY)), length, group="batch", order="pos", bounded=True)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("window", "tokens"))), lambda w: F.array_join(w["tokens"], ","))
     sums = chopped.groupBy("batch").agg(F.count("*").alias("windows"), F.sum("useful").alias("useful"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(ids, ","), 256)).alias("rebuilt_hash"))
     return messages.select(*KEY, F.concat_ws("\u0001", *KEY).alias("batch")).join(sums, "batch").drop("batch")

@@ -2,8 +2,9 @@
 
 Policies: ``concat_and_chop`` lays the documents of a shard end to end and cuts every ``length`` tokens; ``one_per_window``
 gives each document one window, cut and padded; ``pad_only`` is the same but refuses documents that are too long. The pad id
-is 0. A record travels whole to its shard's running offset, once, and then as slices to its windows; single tokens are never
-shuffled. Shards are bounded by their builder, so a window over one shard is.
+is 0. Offsets are worked out over narrow rows (group, order, size, position), sorted by range, so that a shard of any size is
+added up in many tasks; a record then travels once to its offset and as slices to its windows. Single tokens are never
+shuffled.
 
 Nulls: null and empty token lists take no place.
 """
@@ -16,24 +17,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import json_hash
-from sparkloom.storage import small_side
+from sparkloom.storage import materialize, positioned, small_side
 
 PAD = 0
 #: Most runs whose window lengths go to every task (some 50 bytes each).
 BROADCAST_RUNS = 200_000
 
 
-def offsets(records: DataFrame, group: str = "shard_id", order: str = "document_id", ids: str = "token_ids") -> DataFrame:
-    """``records`` with ``offset``: tokens of the group before the record, in order; equal ids by size."""
-    before = Window.partitionBy(group).orderBy(order, F.size(ids)).rowsBetween(Window.unboundedPreceding, -1)
-    return records.where(F.size(ids) > 0).withColumn("offset", F.coalesce(F.sum(F.size(ids)).over(before), F.lit(0)))
-
-
-def concat_and_chop(records: DataFrame, length: int, group: str = "shard_id", order: str = "document_id", ids: str = "token_ids") -> DataFrame:
+def offsets(records: DataFrame, group: str = "shard_id", order: str = "document_id", ids: str = "token_ids", bounded: bool = False) -> DataFrame:
+    """``records`` with ``offset``: tokens of the group before the record, in order; equal ids by size, then by where they lie.
+
+    With ``bounded`` a group is known to be small, and is added up in one task."""
+    kept = records.where(F.size(ids) > 0)
+    if bounded:
+        before = Window.partitionBy(group).orderBy(order, F.size(ids)).rowsBetween(Window.unboundedPreceding, -1)
+        return kept.withColumn("offset", F.coalesce(F.sum(F.size(ids)).over(before), F.lit(0)))
+    rows = positioned(kept)
+    keys = ["g", "o", "n", "pos_file", "pos_row"]
+    narrow = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.size(ids).alias("n"), "pos_file", "pos_row")
+    ranged = materialize(narrow.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "pack-order")
+    sums = ranged.groupBy("g", "part").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    opens = sums.select("g", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("opens"))
+    inner = Window.partitionBy("g", "part").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    same = (running["part"] == opens["part"]) & running["g"].eqNullSafe(opens["g"])
+    placed = running.join(opens, same).select("pos_file", "pos_row", (F.col("opens") + F.col("before")).alias("offset"))
+    return rows.join(placed, ["pos_file", "pos_row"]).drop("pos_file", "pos_row")
+
+
+def concat_and_chop(records: DataFrame, length: int, group: str = "shard_id", order: str = "document_id", ids: str = "token_ids", bounded: bool = False) -> DataFrame:
     """(group, window, tokens, document_ids, spans, useful): windows of exactly ``length``, the last one padded.
 
     A record is cut into its parts by window first, so a window gathers whole slices and not single tokens."""
-    placed = offsets(records, group, order, ids)
+    placed = offsets(records, group, order, ids, bounded)
     first, last = F.expr(f"offset div {length}"), F.expr(f"(offset + size({ids}) - 1) div {length}")
     parts = placed.withColumn("window", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.lit(0), F.col("window") * length - F.col("offset"))
@@ -173,7 +190,7 @@ def assemble(members: DataFrame, length: int) -> DataFrame:
     kept = F.coalesce("eligible", whole)
     named = F.transform("tokens", lambda t: F.when(t == PAD, "").otherwise(F.col("document_id")))
     first = single.select("microbatch", F.lit("agentic").alias("mode"), F.col("slot").cast("long").alias("row"), "tokens", loss_mask(F.col("tokens"), kept).alias("loss_mask"), named.alias("document_ids"), "useful")
-    chopped = concat_and_chop(joined, length, group="microbatch", order="slot")
+    chopped = concat_and_chop(joined, length, group="microbatch", order="slot", bounded=True)
     owners = F.transform("document_ids", lambda d: d.cast("string"))
     second = chopped.select("microbatch", F.lit("pretrain").alias("mode"), F.col("window").alias("row"), "tokens", loss_mask(F.col("tokens")).alias("loss_mask"), owners.alias("document_ids"), "useful")
     both = first.unionByName(second).withColumn("position_ids", position_ids(F.col("tokens"), F.col("document_ids"), True))

@@ -38,9 +38,16 @@ def lane_draws(grid: DataFrame, weights: dict[str, float], *, run: str, branch:
     return grid.withColumn("lane", cumulative_pick(weights, unit_float(run, branch, seed, F.col("step"), F.col("slot"), "lane")))
 
 
-def ranked_pool(pool: DataFrame, lane: str = "capability_lane", key: str = "document_id", parts: int = 4096) -> DataFrame:
+#: Documents of a part of a lane that is ranked in one task, about.
+PART_DOCUMENTS = 4096
+
+
+def ranked_pool(pool: DataFrame, lane: str = "capability_lane", key: str = "document_id", parts: int | None = None) -> DataFrame:
     """(lane, key, rank, pool_size): ranks from 0 in an order drawn from the key. The draw's leading digits cut each lane
-    into parts that are ranked apart; part sizes are added up to give where each part begins."""
+    into parts (as many as the largest lane asks for) that are ranked apart; part sizes are added up to give where each begins."""
+    if parts is None:
+        largest = pool.groupBy(lane).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+        parts = max(1, largest // PART_DOCUMENTS)
     drawn = pool.select(F.col(lane).alias("lane"), F.col(key), unit_float("pool", F.col(key)).alias("u")).withColumn("part", F.floor(F.col("u") * parts).cast("int"))
     sizes = drawn.groupBy("lane", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("lane").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,7 +19,7 @@ from sparkloom.operators import runlog as U
 from sparkloom.operators import schedule as S
 from sparkloom.plans import runs
 from sparkloom.sources import shardfiles
-from sparkloom.storage import table
+from sparkloom.storage import positioned, table
 
 STEPS, BATCH, LENGTH, SEED = 60, 8, 128, 42
 EVENT_TYPES = ("click", "view", "purchase", "signup", "error", "refund")
@@ -303,7 +303,7 @@ def shard_round_trip(s, d):
 
 
 def _chopped(s, d):
-    return P.concat_and_chop(table(s, d, "agentic").select("document_id", "shard_id", "token_ids"), LENGTH)
+    return P.concat_and_chop(table(s, d, "agentic"), LENGTH)
 
 
 _TOK = f"""WITH x AS (SELECT document_id, shard_id, token_ids, sum(len(token_ids)) OVER (PARTITION BY shard_id ORDER BY document_id, len(token_ids) ROWS UNBOUNDED PRECEDING) - len(token_ids) AS off FROM agentic WHERE len(token_ids) > 0),
@@ -389,7 +389,7 @@ def batch_content_hash(s, d):
 @query("attention_mask_hash")
 def attention_mask_hash(s, d):
     """Of the reference's whole window; the mask is written row by row."""
-    windows = P.concat_and_chop(table(s, d, "agentic").select("document_id", "shard_id", "token_ids"), RUN_LENGTH)
+    windows = P.concat_and_chop(table(s, d, "agentic"), RUN_LENGTH)
     text = F.concat(F.lit('{"attention_mask":'), P.attention_mask_json(F.col("tokens")), F.lit("}"))
     return windows.select("shard_id", "window", F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("mask_hash"))
 
@@ -397,10 +397,12 @@ def attention_mask_hash(s, d):
 @query("assembled_microbatches")
 def assembled_microbatches(s, d):
     """Agentic records in microbatches by hash, with their windows, masks and hashes; every fourth microbatch keeps records apart."""
-    parts = F.pmod(F.xxhash64("document_id", "shard_id"), F.lit(2000))
-    slot = F.xxhash64("shard_id", "document_id")
+    records = positioned(table(s, d, "agentic")).where("size(token_ids) > 0")
+    # By where records lie, so that copies of one spread; the number of microbatches follows from the table's.
+    parts = F.pmod(F.xxhash64("pos_file", "pos_row"), F.lit(max(1, records.count() // BATCH)))
+    slot = F.xxhash64("pos_row", "pos_file")
     turns = (F.col("microbatch") % 4 == 0) & (F.col("token_ids")[0] % 2 == 0)
-    members = table(s, d, "agentic").where("size(token_ids) > 0").select(parts.alias("microbatch"), slot.alias("slot"), "document_id", "token_ids").withColumn("turns", turns).withColumn("eligible", P.eligible_by_turn(F.col("token_ids"), 1))
+    members = records.select(parts.alias("microbatch"), slot.alias("slot"), "document_id", "token_ids").withColumn("turns", turns).withColumn("eligible", P.eligible_by_turn(F.col("token_ids"), 1))
     return P.assemble(members, LENGTH).select("microbatch", "mode", "row", "useful", F.aggregate("loss_mask", F.lit(0), lambda a, x: a + x).alias("targets"), "content_hash")
 
 

@@ -109,6 +109,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """``df`` with (pos_file, pos_row), where each row lies in its files; a plan that is no scan is written first. Positions tell
+    copies of a row apart, and stay the same when a task is tried again."""
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import functions as F
+
+    place = lambda d: d.select("*", F.xxhash64("_metadata.file_path").alias("pos_file"), F.col("_metadata.row_index").alias("pos_row"))
+    try:
+        return place(df)
+    except AnalysisException:
+        return place(materialize(df, "positioned"))
+
+
 def write_blocks(rows: DataFrame, label: str, size: int) -> tuple[str, int]:
     """(folder, blocks): ``rows`` in the shared folder, dealt by hash into blocks of about ``size`` rows that workers read one by one."""
     kept = materialize(rows, label)

@@ -49,7 +49,7 @@ def test_identifiers(spark):
 
 def _windows(spark, lists, length):
     df = spark.createDataFrame([("s", d, ids) for d, ids in lists], "shard_id string, document_id string, token_ids array<int>")
-    return {r.window: r for r in P.concat_and_chop(df, length).collect()}
+    return {r.window: r for r in sorted(P.concat_and_chop(df, length).collect(), key=lambda r: r.window)}
 
 
 def test_concat_and_chop_literal_cases(spark):

@@ -67,3 +67,19 @@ def test_files(spark, tmp_path):
     sinks.write_registry(D.admission_lists(shards), str(tmp_path / "m/shard_registry.json"))
     assert json.loads((tmp_path / "m/shard_registry.json").read_text())["admissions"]["admitted"] == {"shards": 2, "shard_ids": ["shard_0", "shard_1"]}
     assert spark.read.json(str(tmp_path / "m")).where(F.col("shard_id").isNotNull()).count() == 3
+
+
+def test_offsets_of_a_hot_group(spark):
+    from sparkloom.operators import packing as P
+
+    # A third of all records is one, in one shard with most others; null shards are a group of their own.
+    rows = [("hot", "d", [1, 2])] * 100 + [("hot", f"d{i:03}", [1] * (i % 5)) for i in range(150)] + [(None, f"n{i}", [7]) for i in range(50)]
+    df = spark.createDataFrame(rows, "shard_id string, document_id string, token_ids array<int>").repartition(5)
+    for bounded in (False, True):
+        for shard in ("hot", None):
+            got = sorted((r.document_id, len(r.token_ids), r.offset) for r in P.offsets(df, bounded=bounded).where(F.col("shard_id").eqNullSafe(F.lit(shard))).collect())
+            at = 0
+            for _, n, offset in got:
+                assert offset == at
+                at += n
+            assert at == sum(len(r[2]) for r in rows if r[0] == shard)
