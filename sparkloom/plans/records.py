@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.hashing import content_hash
+from sparkloom.functions.hashing import content_hash, unit_float
 from sparkloom.functions.ids import attempt_or_zero, clean_id, reference
 from sparkloom.operators import documents as D
+from sparkloom.operators import floorplan as L
 from sparkloom.operators import gates as G
 from sparkloom.operators import ledger as R
 from sparkloom.operators import runlog as U
-from sparkloom.plans.engine import _EC, _SHARDS, PER_SHARD, RUN_LENGTH, _clean, _consumption
+from sparkloom.operators import schedule as S
+from sparkloom.plans.engine import _EC, _SHARDS, BATCH, PER_SHARD, RUN_LENGTH, SEED, STEPS, _clean, _consumption, _unit
 from sparkloom.plans.engine import SQL as KNOWN
 from sparkloom.plans.engine import firewall_hashes, firewall_text, floor_coin, sample_pool
 from sparkloom.sources import shardfiles
@@ -118,6 +120,36 @@ def replay_outcomes(s, d):
     return R.replayed(rebuilt_batches(s, d), _consumption(s, d, "batch_content_hash"))
 
 
+# Plans with a floor. The test tables have no eligibility columns, so they follow from lane, language and a draw.
+
+_ELIGIBLE = f"""SELECT document_id, capability_lane AS lane, language, coalesce(capability_lane IN ('indic', 'agentic', 'reasoning'), false) AS floor, CASE WHEN {_unit("'anneal'", 'document_id')} < 0.125 THEN 'anneal ' ELSE '' END AS stage, coalesce(language IN ('en', 'en-IN'), false) AS english FROM documents"""
+
+
+def _eligible(s, d) -> DataFrame:
+    docs = table(s, d, "documents").select("document_id", "capability_lane", "language", "n_chars")
+    return docs.withColumns({"always_on_eligible": F.col("capability_lane").isin("indic", "agentic", "reasoning"), "opus_eligible": F.lit(True), "anneal_eligible": unit_float("anneal", F.col("document_id")) < 0.125})
+
+
+def _shares() -> dict:
+    lane, english = F.col("capability_lane"), F.coalesce(F.col("language").isin("en", "en-IN"), F.lit(False))
+    return {"agentic_format": lane == "agentic", "india_curated": (lane == "indic") & ~english, "english_reasoning": (lane == "reasoning") & english}
+
+
+@query("plan_buckets", f"""WITH x AS ({_ELIGIBLE}) SELECT bucket, count(*) AS documents FROM (SELECT unnest([CASE WHEN floor THEN 'floor' END, stage || 'mixture', stage || 'lane ' || lane, CASE WHEN lane = 'agentic' THEN 'share agentic_format' END,
+    CASE WHEN lane = 'indic' AND NOT english THEN 'share india_curated' END, CASE WHEN lane = 'reasoning' AND english THEN 'share english_reasoning' END]) AS bucket FROM x) WHERE bucket IS NOT NULL GROUP BY bucket""")
+def plan_buckets(s, d):
+    return L.buckets(_eligible(s, d), _shares()).groupBy("bucket").agg(F.count("*").alias("documents"))
+
+
+@query("plan_with_floor")
+def plan_with_floor(s, d):
+    """Every slot of the example curriculum: a floor of an eighth, the lanes' blended quotas, the reserve in the last stage."""
+    quotas = S.quotas(s, S.EXAMPLE, STEPS).groupBy("step").agg(F.first("stage").alias("stage"), F.map_from_entries(F.collect_list(F.struct("lane", "quota"))).alias("quotas"))
+    shares = F.create_map(F.lit("agentic_format"), F.lit(0.25), F.lit("india_curated"), F.lit(0.5), F.lit("english_reasoning"), F.lit(0.25))
+    schedule = quotas.select("step", F.lit(S.EXAMPLE.floor).alias("fraction"), (F.col("stage") == "final").alias("anneal_only"), "quotas", shares.alias("shares"))
+    return L.plan(s, _eligible(s, d), schedule, _shares(), slots=BATCH, run="plan", branch="main", seed=SEED)
+
+
 # Held-out documents that the test tables really use: those with a blocked license.
 
 _HELD = f"(SELECT document_id, 'held:' || document_id AS entry_id FROM documents WHERE license_tier = 'blocked')"
