@@ -270,11 +270,33 @@ class Model:
     def _wide(self, token: str, own: float, offer) -> None:
         """Readings by encodings of several bytes to a character."""
         upper = sum(ord(c) > 0x2E7F for c in token)
+        if upper:
+            self._wide_words(token, own, offer)
         if upper >= 2:
             self._wide_wrong(token, upper, offer)
         elif sum(ord(c) > 127 for c in token) >= 4:
             self._wide_right(token, own, offer)
 
+    def _wide_words(self, token: str, own: float, offer) -> None:
+        """Words of the corpus whose UTF-8 bytes such an encoding shows as ``token``."""
+        core = normal(token)
+        for wrong in WIDE_WRONG:
+            data = _encoded(core, wrong)
+            if data is None:
+                continue
+            if None in data:
+                word = self.lattice.best([BYTE if x is None else bytes([x]) for x in data])
+                if word and not word.isascii() and self.score(word) > own:
+                    offer(f"utf-8>{wrong}", self.score(word) - own, ENTER_UTF8, _respelled(token, word))
+                continue
+            try:
+                repaired = bytes(_encoded(token, wrong) or b"").decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            word = self._word(repaired)
+            if not repaired.isascii() and word > log(self.known) and word > own:
+                offer(f"utf-8>{wrong}", word - own + SEQUENCE, ENTER_UTF8, repaired)
+
     def _wide_wrong(self, token: str, upper: int, offer) -> None:
         # A token is judged by the rest of the corpus: its own copies do not make its characters known.
         mine: Counter = Counter()
@@ -457,12 +479,14 @@ def passages(text: str, model: Model) -> list[tuple[int, int, str, str]]:
         return []
     read = [{c: (e, n, r) for c, e, n, r in model.readings(t)} for _, t in tokens]
     total: dict[str, float] = {}
+    least: dict[str, float] = {}
     for x in read:
         for c, (e, n, _) in x.items():
             if e > 0:
-                total[c] = total.get(c, -n) + e
+                total[c] = total.get(c, 0.0) + e
+                least[c] = min(least.get(c, n), n)
     # A channel whose whole evidence does not pay for entering it is on no best path.
-    total = {c: e for c, e in total.items() if e > 0}
+    total = {c: e for c, e in total.items() if e > least[c]}
     if not total:
         return []
     channels = sorted(total, key=lambda c: (-total[c], len(c)))  # of equals the first one wins

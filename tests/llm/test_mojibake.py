@@ -119,3 +119,39 @@ def test_operator(spark):
     out = {r.doc_id: r.restored for r in M.damaged(df).collect()}
     assert out == {56: SOUND[0]}
     assert M.damaged(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrong", ["gbk", "cp932"])
+@pytest.mark.parametrize("k", [0, 1, 4, 5])
+def test_latin_words_shown_in_wide_encodings(model, k, wrong):
+    bad = SOUND[k].encode("utf-8").decode(wrong, "replace")
+    found = M.passages(bad, model)
+    assert found
+    if M.LOST not in bad:
+        assert M.restored(bad, found) == SOUND[k]
+
+
+def test_quoted_letters_are_examples():
+    counts: Counter = Counter({"è": 500, "é": 500, "chaîne": 500, "à": 500, "über": 500})
+    model = M.Model(dict(counts))
+    for text in ("Une chaîne comme « Ã¨ » trahit un vieux script.", "Search for \"Ã©\" first.", "die Marke ‚Ã©‘ steht da", "« Ã¨ »"):
+        assert M.passages(text, model) == [], text
+    assert M.passages("stand Ã¼ber dem Tor", model) and M.passages("„Tor“, stand Ã¼ber „dem“", model)
+    assert M.passages("il est allÃ© Ã¨ la chaÃ®ne", model)
+
+
+@pytest.mark.parametrize("factor", [1, 10, 1000])
+def test_the_same_documents_at_any_size(factor):
+    counts: Counter = Counter()
+    bad = [damage(SOUND[0], "utf-8", "cp1252"), damage(SOUND[2], "koi8-r", "cp1251"), damage(SOUND[4], "cp1252", "cp850"), "na茂ve " + SOUND[4]]
+    for text in [*SOUND * 60, *bad, "naïve " * 9]:
+        for _, t in M.tokens_of(text):
+            counts[M.normal(t)] += factor
+    model = M.Model(dict(counts))
+    assert all(M.passages(t, model) for t in bad) and not any(M.passages(t, model) for t in SOUND)
+
+
+def test_memory_of_tokens_is_bounded(model):
+    for k in range(300):
+        model.suspicious(f"größe{'x' * (k % 7)}Ã¼{k}")
+    assert model.readings.cache_info().maxsize == M.KEPT and model.sound.cache_info().maxsize == M.KEPT
