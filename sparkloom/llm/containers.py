@@ -18,6 +18,7 @@ length the default is ``FALLBACK``; a repeated record gets room for each row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,15 +73,21 @@ class Grouping:
         self.best_fit(bins, [], order.tolist())
         return bins
 
+    def used(self, bins: list[list[int]]) -> np.ndarray:
+        """Ids in each window; none is empty."""
+        counts = np.fromiter(map(len, bins), dtype=np.int64, count=len(bins))
+        flat = np.fromiter(chain.from_iterable(bins), dtype=np.int64, count=int(counts.sum()))
+        return np.add.reduceat(self.sizes[flat], np.cumsum(counts) - counts) if len(bins) else counts
+
     def fill(self, bins: list[list[int]]) -> np.ndarray:
-        return np.array([self.sizes[b].sum() for b in bins], dtype=np.float64) / self.capacity
+        return self.used(bins) / self.capacity
 
     def fitness(self, bins: list[list[int]]) -> float:
         """Falkenauer's cost: full windows count more than evenly half-full ones."""
         return float((self.fill(bins) ** 2).sum() / len(bins))
 
     def _refill(self, bins: list[list[int]], displaced: list[int]) -> list[list[int]]:
-        free = [self.capacity - int(self.sizes[b].sum()) for b in bins]
+        free = (self.capacity - self.used(bins)).tolist()
         self.best_fit(bins, free, sorted(displaced))  # pieces are numbered in falling order of size
         return bins
 
