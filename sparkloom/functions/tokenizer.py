@@ -61,14 +61,16 @@ def load(path: str) -> FrozenTokenizer:
     return FrozenTokenizer(path)
 
 
-def tokenize(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out``, the ids of ``text``; null and empty texts have none (an empty list)."""
+def tokenize(df: DataFrame, path: str, text: str = "text", out: str = "ids", strict: bool = False) -> DataFrame:
+    """``df`` with ``out``, the ids of ``text``; null and empty texts have none (an empty list), or with ``strict`` are an error."""
     columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
             ids = tokenizer.encode_batch([x or "" for x in batch.column(columns.index(text)).to_pylist()])
+            if strict and not all(ids):
+                raise ValueError("a text has no tokens")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*columns, out])
 
     return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))

@@ -125,10 +125,17 @@ def registry(admitted: DataFrame) -> DataFrame:
     return admitted.groupBy("admission").agg(F.count("*").alias("shards"), F.sum("documents").alias("documents"), F.sum("characters").alias("characters"))
 
 
-def sample_pool(admitted: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents of shards; the ids are unnested and joined back, and an unknown id would come out with null columns."""
+def sample_pool(admitted: DataFrame, documents: DataFrame, strict: bool = False) -> DataFrame:
+    """Documents of shards; the ids are unnested and joined back. An unknown id comes out with null columns, or with ``strict`` is
+    an error; documents marked ``never_train`` are left out where the table says so."""
     ids = admitted.select("shard_id", "admission", F.explode("document_ids").alias("document_id"))
-    return ids.join(documents.select("document_id", "capability_lane", "lang", "license_tier"), "document_id", "left")
+    never = F.coalesce(F.col("never_train"), F.lit(False)) if "never_train" in documents.columns else F.lit(False)
+    facts = documents.select("document_id", "capability_lane", "lang", "license_tier", never.alias("never"), F.lit(True).alias("known"))
+    joined = ids.join(facts, "document_id", "left").where("NOT coalesce(never, false)")
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit("shard names the unknown document "), F.col("document_id")))
+        joined = joined.withColumn("admission", F.when(F.col("known").isNull(), unknown).otherwise(F.col("admission")))
+    return joined.select("document_id", "shard_id", "admission", "capability_lane", "lang", "license_tier")
 
 
 def lane_supply(documents: DataFrame) -> DataFrame:

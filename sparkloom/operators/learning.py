@@ -40,11 +40,19 @@ def shards(exposed: DataFrame) -> DataFrame:
         (F.max_by("loss", "global_step") - F.min_by("loss", "global_step")).alias("loss_delta"), F.min("first").alias("first"),
     )
     mean = F.col("weighted") / (F.col("tokens") * F.lit(float(MILLION)))
-    return grouped.select("shard_id", F.col("first.capability_lane").alias("capability_lane"), "exposures", "tokens", "first_step", "last_step", mean.alias("mean_loss"), "loss_delta", usefulness(F.col("exposures"), F.col("loss_delta")).alias("usefulness"))
+    return grouped.select("shard_id", F.col("first.capability_lane").alias("capability_lane"), "exposures", "tokens", "first_step", "last_step", mean.alias("mean_loss"), "loss_delta", perplexity(mean).alias("perplexity"), usefulness(F.col("exposures"), F.col("loss_delta")).alias("usefulness"))
 
 
 def perplexity(loss: Column) -> Column:
-    return F.round(F.exp(loss), 6)
+    """To six places; a loss that is no finite number is an error, null stays null."""
+    bad = F.isnan(loss) | (F.abs(loss) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("a loss must be finite"))).otherwise(F.round(F.exp(loss), 6))
+
+
+def shard_samples(rows: DataFrame) -> DataFrame:
+    """(shard_id, samples, sample_ids): the distinct samples of each shard, sorted; a shard is bounded by its builder."""
+    counted = rows.where("mean_loss IS NOT NULL AND shard_id IS NOT NULL AND sample_id IS NOT NULL").groupBy("shard_id").agg(F.array_sort(F.collect_set("sample_id")).alias("sample_ids"))
+    return counted.select("shard_id", F.size("sample_ids").alias("samples"), "sample_ids")
 
 
 def model_phase(step: Column, total: int, stage: Column) -> Column:

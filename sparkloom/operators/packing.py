@@ -99,6 +99,24 @@ POLICIES: dict[str, Callable[[DataFrame, int | Column], DataFrame]] = {
 }
 
 
+def packed(policy: str, records: DataFrame, length: int, ids: str = "token_ids", **more) -> DataFrame:
+    """The windows of a policy, checked: ids must be there and not negative (padding is put in, not taken in), a window has exactly
+    ``length`` places and none of them is unowned before its end."""
+    if policy not in POLICIES or length <= 0:
+        raise ValueError(f"policy {policy}, length {length}")
+    good = F.coalesce(F.forall(ids, lambda t: t.isNotNull() & (t > PAD)), F.lit(True))
+    checked = records.withColumn(ids, F.when(good, F.col(ids)).otherwise(F.raise_error(F.lit("an id is missing or not above padding"))))
+    windows = POLICIES[policy](checked, length, **more)
+    whole = (F.size("tokens") == length) & (F.size(F.filter("tokens", lambda t: t != PAD)) == F.col("useful")) & (F.size(F.filter("spans", lambda p: p >= 0)) == F.col("useful"))
+    return windows.withColumn("useful", F.when(whole, F.col("useful")).otherwise(F.raise_error(F.lit("a window does not hold what it says"))))
+
+
+def without_targets(assembled: DataFrame) -> DataFrame:
+    """(microbatch) of assembled microbatches in which no token bears loss; a run must not train on one."""
+    targets = F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    return assembled.groupBy("microbatch").agg(F.sum(targets).alias("targets")).where("targets = 0").select("microbatch")
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of ``value`` worked out once: a column that a lambda names would be worked out anew for each element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

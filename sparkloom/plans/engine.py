@@ -21,7 +21,8 @@ from sparkloom.plans import runs
 from sparkloom.sources import shardfiles
 from sparkloom.storage import positioned, table
 
-STEPS, BATCH, LENGTH, SEED = 60, 8, 128, 42
+#: Steps and slots of a plan, window length, seed.
+STEPS, BATCH, LENGTH, SEED = 60, 8, 256, 42
 EVENT_TYPES = ("click", "view", "purchase", "signup", "error", "refund")
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -341,8 +342,8 @@ def turn_loss_mask_counts(s, d):
     return windows.select("document_id", "shard_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("targets"))
 
 
-#: Window of a record whose run has no length: the reference's configuration.
-RUN_LENGTH = 256
+#: Window of a record whose run has no length.
+RUN_LENGTH = LENGTH
 _AT_RUN = f"""(SELECT document_id, shard_id, token_ids, coalesce(seq_len, {RUN_LENGTH}) AS seq_len FROM agentic
     LEFT JOIN (SELECT run_id, max(seq_len) AS seq_len FROM packing_utilization WHERE seq_len > 0 GROUP BY run_id) USING (run_id))"""
 
@@ -641,11 +642,16 @@ def shard_exposures(s, d):
     return L.exposures(_newest(s, d)).drop("first")
 
 
-@query("shard_usefulness", f"{_USEFUL} SELECT shard_id, capability_lane, exposures, tokens, first_step, last_step, round(mean_loss, 9) AS mean_loss, round(loss_delta, 9) AS loss_delta, usefulness FROM v")
+@query("shard_usefulness", f"{_USEFUL} SELECT shard_id, capability_lane, exposures, tokens, first_step, last_step, round(mean_loss, 9) AS mean_loss, round(loss_delta, 9) AS loss_delta, round(exp(mean_loss), 6) AS perplexity, usefulness FROM v")
 def shard_usefulness(s, d):
     return L.shards(L.exposures(_newest(s, d))).withColumns({c: F.round(c, 9) for c in ("mean_loss", "loss_delta")})
 
 
+@query("shard_samples", f"{_NEWEST} SELECT shard_id, count(DISTINCT sample_id)::INT AS samples, string_agg(DISTINCT sample_id, ',' ORDER BY sample_id) AS sample_ids FROM n WHERE mean_loss IS NOT NULL AND shard_id IS NOT NULL AND sample_id IS NOT NULL GROUP BY shard_id")
+def shard_samples(s, d):
+    return L.shard_samples(_newest(s, d)).withColumn("sample_ids", F.array_join("sample_ids", ","))
+
+
 @query("usefulness_counts", f"{_USEFUL} SELECT usefulness, count(*) AS shards, sum(tokens)::BIGINT AS tokens FROM v GROUP BY ALL")
 def usefulness_counts(s, d):
     return L.shards(L.exposures(_newest(s, d))).groupBy("usefulness").agg(F.count("*").alias("shards"), F.sum("tokens").alias("tokens"))

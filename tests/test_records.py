@@ -83,3 +83,35 @@ def test_offsets_of_a_hot_group(spark):
                 assert offset == at
                 at += n
             assert at == sum(len(r[2]) for r in rows if r[0] == shard)
+
+
+def test_checked_packing(spark):
+    import pytest
+
+    from sparkloom.operators import packing as P
+
+    df = spark.createDataFrame([("s", "a", [1, 2, 3]), ("s", "b", [4]), ("s", "c", None)], "shard_id string, document_id string, token_ids array<int>")
+    assert sorted(r.useful for r in P.packed("concat_and_chop", df, 3).collect()) == [1, 3]
+    for bad in ([0], [-1], [None]):
+        with pytest.raises(Exception, match="not above padding"):
+            P.packed("concat_and_chop", spark.createDataFrame([("s", "a", bad)], df.schema), 3).collect()
+    with pytest.raises(ValueError):
+        P.packed("other", df, 3)
+    made = spark.createDataFrame([(1, [0, 0]), (1, [1, 0]), (2, [0]), (3, [])], "microbatch long, loss_mask array<int>")
+    assert sorted(r.microbatch for r in P.without_targets(made).collect()) == [2, 3]
+
+
+def test_strict_pool_and_losses(spark):
+    import pytest
+
+    from sparkloom.operators import learning as L
+
+    shards = spark.createDataFrame([("s", "admitted", ["a", "b", "n"])], "shard_id string, admission string, document_ids array<string>")
+    docs = spark.createDataFrame([("a", "web", "en", "safe", None), ("n", "web", "en", "safe", True)], "document_id string, capability_lane string, lang string, license_tier string, never_train boolean")
+    assert sorted((r.document_id, r.capability_lane) for r in D.sample_pool(shards, docs).collect()) == [("a", "web"), ("b", None)]
+    with pytest.raises(Exception, match="unknown document b"):
+        D.sample_pool(shards, docs, strict=True).collect()
+    losses = spark.createDataFrame([(0.0,), (None,)], "x double")
+    assert [r[0] for r in losses.select(L.perplexity(F.col("x"))).collect()] == [1.0, None]
+    with pytest.raises(Exception, match="finite"):
+        spark.createDataFrame([(float("nan"),)], "x double").select(L.perplexity(F.col("x"))).collect()
