@@ -124,18 +124,21 @@ def positioned(df: DataFrame) -> DataFrame:
 
 def write_blocks(rows: DataFrame, label: str, size: int) -> tuple[str, int]:
     """(folder, blocks): ``rows`` in the shared folder, dealt by hash into blocks of about ``size`` rows that workers read one by one."""
-    kept = materialize(rows, label)
+    spark, whole = rows.sparkSession, new_table(rows.sparkSession, label)
+    rows.write.parquet(whole)
+    kept = spark.read.schema(rows.schema).parquet(whole)
     blocks = -(-kept.count() // size)
-    uri = new_table(rows.sparkSession, f"{label}-blocks")
-    if blocks:
-        from pyspark.sql import functions as F
+    if blocks < 2:
+        return whole, blocks
+    from pyspark.sql import functions as F
 
-        kept.withColumn("block", F.pmod(F.xxhash64(*kept.columns), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(uri)
+    uri = f"{whole}-blocks"
+    kept.withColumn("block", F.pmod(F.xxhash64(*kept.columns), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(uri)
     return uri, blocks
 
 
 def read_block(uri: str, number: int) -> list[dict]:
-    """A block of :func:`write_blocks`, in a worker."""
+    """A block of :func:`write_blocks`, in a worker; one block alone is the whole table."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -143,7 +146,8 @@ def read_block(uri: str, number: int) -> list[dict]:
     if system.get_file_info(f"{path}/_SUCCESS").type == fs.FileType.NotFound:
         raise FileNotFoundError(f"{uri} is not seen here: {_KEY} must be a folder that all executors share")
     out: list[dict] = []
-    for info in system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True)):
+    parts = system.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True))
+    for info in parts or (system.get_file_info(fs.FileSelector(path)) if number == 0 else []):
         if info.path.endswith(".parquet"):
             with system.open_input_file(info.path) as f:
                 out += pq.ParquetFile(f).read().to_pylist()
