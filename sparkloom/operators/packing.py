@@ -32,7 +32,7 @@ def offsets(records: DataFrame, group: str = "shard_id", order: str = "document_
     if bounded:
         before = Window.partitionBy(group).orderBy(order, F.size(ids)).rowsBetween(Window.unboundedPreceding, -1)
         return kept.withColumn("offset", F.coalesce(F.sum(F.size(ids)).over(before), F.lit(0)))
-    rows = positioned(kept)
+    rows = positioned(kept.drop("offset"))
     keys = ["g", "o", "n", "pos_file", "pos_row"]
     narrow = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.size(ids).alias("n"), "pos_file", "pos_row")
     ranged = materialize(narrow.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "pack-order")

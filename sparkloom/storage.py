@@ -116,10 +116,11 @@ def positioned(df: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     place = lambda d: d.select("*", F.xxhash64("_metadata.file_path").alias("pos_file"), F.col("_metadata.row_index").alias("pos_row"))
+    own = df.drop("pos_file", "pos_row")
     try:
-        return place(df)
+        return place(own)
     except AnalysisException:
-        return place(materialize(df, "positioned"))
+        return place(materialize(own, "positioned"))
 
 
 def write_blocks(rows: DataFrame, label: str, size: int) -> tuple[str, int]:

@@ -115,3 +115,21 @@ def test_strict_pool_and_losses(spark):
     assert [r[0] for r in losses.select(L.perplexity(F.col("x"))).collect()] == [1.0, None]
     with pytest.raises(Exception, match="finite"):
         spark.createDataFrame([(float("nan"),)], "x double").select(L.perplexity(F.col("x"))).collect()
+
+
+def test_clashing_names_and_empty_tables(spark, tmp_path):
+    from sparkloom.operators import floorplan as L
+    from sparkloom.operators import packing as P
+
+    ddl = "shard_id string, document_id string, token_ids array<int>, offset long, pos_file string, pos_row long, window int, part int, g int"
+    spark.createDataFrame([("s", "a", [1, 2, 3], 9, "x", 1, 1, 1, 1), ("s", "b", [4], 9, "x", 1, 1, 1, 1)], ddl).write.parquet(str(tmp_path / "t"))
+    for df in (spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "t")).where("g = 1").distinct()):
+        assert sorted(tuple(r.tokens) for r in P.concat_and_chop(df, 2).collect()) == [(1, 2), (3, 4)]
+        assert P.concat_and_chop(df.limit(0), 2).count() == 0
+    messages = spark.createDataFrame([], MESSAGES)
+    records = spark.createDataFrame([], "document_id string, token_ids array<int>")
+    assert R.rebuilt(messages, records, 4).count() == 0 and R.replayed(R.rebuilt(messages, records, 4), messages).count() == 0
+    docs = spark.createDataFrame([], "document_id string, capability_lane string, always_on_eligible boolean, opus_eligible boolean, anneal_eligible boolean")
+    schedule = spark.createDataFrame([], "step int, fraction double, anneal_only boolean, quotas map<string,double>, shares map<string,double>")
+    assert L.plan(spark, docs, schedule, {}, slots=2, run="r", branch="b", seed=1).count() == 0
+    assert shardfiles.encoded_records(records.withColumn("shard_id", F.lit("s"))).count() == 0
