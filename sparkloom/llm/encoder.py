@@ -1,7 +1,7 @@
 """Encoding of texts by a public byte-level BPE: whole columns at once.
 
-A batch is cut into the tokenizer's words with array operations on its code points. Words of the lexicon (frequent
-words of a sample of the corpus, compiled into a :class:`Transducer` with their ids) are found by walking all words of the batch together;
+A batch is cut into the tokenizer's words with array operations on its code points. Words of the lexicon (the corpus's
+most frequent words, counted over all texts and compiled into a :class:`Transducer` with their ids) are found by walking all words of the batch together;
 a word the lexicon lacks goes through the merges of the rank file themselves, once per batch and distinct word. The
 lexicon only saves time: any lexicon, an empty one included, gives the same ids.
 
@@ -12,16 +12,13 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +32,8 @@ VOCABULARY = "byte_bpe_50k"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Most words of a lexicon; the rest of a corpus's words are merged one by one.
 LEXICON_WORDS = 65_536
-#: Texts from which the lexicon is taken, files over which they are spread, and characters of a text. The lexicon only saves time:
-#: the sample decides how many words go through the merges, and no id depends on it.
-SAMPLE_TEXTS, SAMPLE_FILES, SAMPLE_CHARS = 2048, 8, 100_000
+#: Bytes of the longest word of a lexicon, and distinct words that a worker holds while it counts a batch.
+WORD_BYTES, HELD_WORDS = 64, 1 << 18
 #: Bytes of text that are cut into words at once; a longer single text is taken whole.
 CHUNK_BYTES = 1 << 20
 
@@ -185,63 +181,47 @@ class Encoder:
 
 
 def _words_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): the distinct words of each batch with their counts."""
-    rng = np.random.default_rng(7)
-    odd = rng.integers(0, 2**63, 4, dtype=np.uint64) | np.uint64(1)
+    """(word, n): the distinct words of each batch, up to ``WORD_BYTES`` long, with their counts; a batch of many words comes in parts."""
     for batch in batches:
-        total: dict[bytes, int] = {}
+        held: list[pa.Table] = []
+        size = 0
         for data, ends in _chunks(batch.column(0)):
             words = Words(data, ends)
             if not len(words.starts):
                 continue
-            # A hash of each word: differences of prefix sums of mixed bytes, taken back to the word's start.
-            power = np.full(len(words.data) + 1, odd[0], dtype=np.uint64)
-            power[0] = 1
-            np.cumprod(power, out=power)
-            mixed = (words.data.astype(np.uint64) + np.uint64(1)) * odd[1]
-            mixed ^= mixed >> np.uint64(29)
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * power[:-1])])
-            inverse = np.full(len(words.data) + 1, pow(int(odd[0]), -1, 2**64), dtype=np.uint64)
-            inverse[0] = 1
-            np.cumprod(inverse, out=inverse)
-            key = (prefix[words.starts + words.lengths] - prefix[words.starts]) * inverse[words.starts] * odd[2] + words.lengths.astype(np.uint64)
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            raw = words.data.tobytes()
-            for s, m, k in zip(words.starts[first].tolist(), words.lengths[first].tolist(), n.tolist(), strict=True):
-                w = raw[s : s + m]
-                total[w] = total.get(w, 0) + k
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-
-
-def sampled_texts(texts: DataFrame, column: str) -> list[str]:
-    """Some texts, from files spread over the whole table; at most ``SAMPLE_TEXTS``, and no more of each than ``SAMPLE_CHARS``."""
-    slim = F.substring(F.make_valid_utf8(column), 1, SAMPLE_CHARS).alias("t")
-    files = sorted(texts.inputFiles())
-    chosen = files[:: max(1, -(-len(files) // SAMPLE_FILES))]
-    try:
-        parts = [texts.where(F.col("_metadata.file_path") == F.lit(re.sub("^file:/+", "file:/", f))).select(slim) for f in chosen]
-        rows = [p.limit(-(-SAMPLE_TEXTS // len(chosen))).collect() for p in parts]
-    except AnalysisException:  # no table of files
-        rows = [texts.select(slim).limit(SAMPLE_TEXTS).collect()]
-    return [r.t for part in rows for r in part if r.t]
-
-
-def frequent_words(texts: list[str], limit: int = LEXICON_WORDS, least: int = 2) -> list[bytes]:
-    """The most frequent words of some texts: at most ``limit``, each occurring ``least`` times or more, 64 bytes at most."""
-    counts: Counter[bytes] = Counter()
-    for batch in _words_of_batches(iter([pa.record_batch([pa.array(texts, pa.string())], names=["text"])])):
-        counts.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
-    chosen = sorted((-n, w) for w, n in counts.items() if n >= least and len(w) <= 64)[:limit]
-    return sorted(w for _, w in chosen)
+            # The words tile the chunk: where one ends the next starts.
+            offsets = pa.array(np.append(words.starts, len(data)), pa.int64())
+            tiles = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.starts), [None, offsets.buffers()[1], pa.py_buffer(data)])
+            found = tiles.filter(pa.array(words.lengths <= WORD_BYTES)).cast(pa.binary()).value_counts()
+            held.append(pa.table([found.field("values"), found.field("counts")], names=["word", "n"]))
+            size += len(found)
+            if size > HELD_WORDS:
+                held = [_added(held)]
+                size = len(held[0])
+                if size > HELD_WORDS // 2:
+                    yield from held.pop().to_batches()
+                    size = 0
+        if held:
+            yield from _added(held).to_batches()
+
+
+def _added(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks()
+
+
+def frequent_words(texts: DataFrame, column: str, limit: int = LEXICON_WORDS, least: int = 2) -> list[bytes]:
+    """The most frequent words of all texts: at most ``limit``, each occurring ``least`` times or more, ``WORD_BYTES`` at most."""
+    counted = map_batches(texts.select(F.make_valid_utf8(column)), _words_of_batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return sorted(bytes(r[0]) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(limit).select("word").toLocalIterator())
 
 
 def publish_lexicon(texts: DataFrame, column: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, limit: int = LEXICON_WORDS) -> str:
-    """Compile the lexicon of a sample of a corpus, put it into the shared folder and hand it to every executor; gives its name.
+    """Compile the lexicon of a corpus, put it into the shared folder and hand it to every executor; gives its name.
 
-    The size is bounded by ``limit`` words of 64 bytes. Executors that join later fetch it too.
+    All texts are read and counted for it. The size is bounded by ``limit`` words of ``WORD_BYTES``. Executors that join later fetch it too.
     """
     spark = texts.sparkSession
-    words = frequent_words(sampled_texts(texts, column), limit)
+    words = frequent_words(texts, column, limit)
     ids = merges(folder, vocabulary).encode_ordinary_batch([w.decode("utf-8") for w in words], num_threads=4)
     return publish(spark, Transducer.compile(words, ids))
 

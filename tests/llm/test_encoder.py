@@ -82,6 +82,37 @@ def test_corpus(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in encoder.encode_texts(broken).collect()} == dict(zip((1, 2), want(["a\ufffdb", "ok"]), strict=True))
 
 
+def test_lexicon_of_all_texts(spark, tmp_path):
+    """Words count wherever they stand: in the last of many texts, and at the end of a long one."""
+    from pyspark import SparkFiles
+
+    late = "CASE WHEN id = 7 THEN concat(repeat('.', 100001), ' deep deep') WHEN id < 4500 THEN ' early' ELSE ' late late' END"
+    spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", f"{late} AS text").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def ranks(limit):
+        lexicon = Transducer.map(SparkFiles.get(encoder.publish_lexicon(df, limit=limit)))
+        words = encoder.Words(b" early late deep once", encoder.np.array([21]))
+        return (lexicon.ranks(words.data, words.starts, words.lengths) >= 0).tolist()
+
+    assert ranks(100) == [True, True, True, False]
+    assert ranks(1) == [False, True, False, False]
+
+
+def test_word_counts(monkeypatch):
+    """The counts of a batch that is cut into chunks and handed on in parts add up to those of its texts."""
+    texts = ["a b a", None, "", "c" * 64, "d" * 65, "a नम नम"] * 5
+    want = {b"a": 10, b" b": 5, b" a": 5, b"c" * 64: 5, " नम".encode(): 10}
+    for held, chunk in ((1 << 18, 1 << 20), (3, 8), (5, 100)):
+        monkeypatch.setattr(encoder, "HELD_WORDS", held)
+        monkeypatch.setattr(encoder, "CHUNK_BYTES", chunk)
+        total = {}
+        for part in encoder._words_of_batches(iter([pa.record_batch([pa.array(texts, pa.string())], names=["text"])])):
+            for w, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                total[w] = total.get(w, 0) + n
+        assert total == want
+
+
 def test_budget(spark):
     rows = [(1, "one two", " Web", "EN", None), (2, None, "web", "en_XX", "code"), (3, "", None, None, "Code "), (4, "three", "web", "en-IN", "code"), (5, "x", "b", " ", "code")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, language string, capability_lane string")
